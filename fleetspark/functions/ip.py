@@ -39,8 +39,10 @@ def num_to_ip(num) -> Column:
 
 def prefix_mask(prefix_len) -> Column:
     """Netmask of a prefix length as BIGINT (len 0 -> 0, len 32 -> 2^32-1)."""
-    length = _c(prefix_len) if not isinstance(prefix_len, int) else F.lit(prefix_len)
-    return F.shiftleft(F.lit(_FULL).cast("bigint"), F.lit(32) - length).bitwiseAND(F.lit(_FULL))
+    if isinstance(prefix_len, int):
+        return F.lit((_FULL << (32 - prefix_len)) & _FULL).cast("bigint")
+    length = _c(prefix_len)
+    return F.lit(1 << 32).cast("bigint") - F.pow(F.lit(2), F.lit(32) - length).cast("bigint")
 
 
 def network_key(ip_num, prefix_len) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fleetspark.plans import q_leases
+from fleetspark.plans import q_leases, q_policy
 
-_MODULES = [q_leases]
+_MODULES = [q_leases, q_policy]
 
 QUERIES = {}
 ORACLE_SQL = {}
