@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fleetspark.plans import q_leases, q_policy
+from fleetspark.plans import q_leases, q_lines, q_policy
 
-_MODULES = [q_leases, q_policy]
+_MODULES = [q_leases, q_policy, q_lines]
 
 QUERIES = {}
 ORACLE_SQL = {}
