@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fleetspark.plans import q_leases, q_lines, q_policy
+from fleetspark.plans import q_audit, q_leases, q_lines, q_policy, q_retention
 
-_MODULES = [q_leases, q_policy, q_lines]
+_MODULES = [q_leases, q_policy, q_lines, q_audit, q_retention]
 
 QUERIES = {}
 ORACLE_SQL = {}
