@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fleetspark.plans import q_audit, q_leases, q_lines, q_policy, q_retention
+from fleetspark.plans import q_audit, q_leases, q_lines, q_policy, q_retention, q_topology
 
-_MODULES = [q_leases, q_policy, q_lines, q_audit, q_retention]
+_MODULES = [q_leases, q_policy, q_lines, q_audit, q_retention, q_topology]
 
 QUERIES = {}
 ORACLE_SQL = {}
