@@ -23,12 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connection records (FIXTURES ``flows``) reshaped from ``events``.
+    """Connection records (FIXTURES ``flows``) reshaped from ``events``."""
+    return flows_from_events(table(spark, sf_dir, "events"))
 
-    src = 172.16.0.0 + user_id; dport by event id from PORTS; the interface,
-    state and TCP flags are read off the event type and value.
-    """
-    e = table(spark, sf_dir, "events")
+
+def flows_from_events(e: DataFrame) -> DataFrame:
+    """src = 172.16.0.0 + user_id; dport by event id from PORTS; the interface,
+    state and TCP flags are read off the event type and value (batch or stream)."""
     iface = (F.when(F.col("event_type") == "signup", "eth1")
              .when(F.col("event_type") == "error", "lo").otherwise("eth0"))
     dst = F.when(F.col("event_type") == "error", F.lit(2130706433)).otherwise(
