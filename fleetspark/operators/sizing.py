@@ -22,3 +22,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     if has_at_most(df, max_rows):
         return F.broadcast(df), True
     return df, False
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that came up with fewer partitions than the cluster has
+    cores (a single small file is one task), so row-local CPU work runs in
+    parallel.  A large input already has more splits than cores and is
+    returned unchanged, so no shuffle is added at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

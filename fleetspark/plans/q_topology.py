@@ -18,54 +18,64 @@ from fleetspark.plans.tables import BASE_ADDRESS, table
 GROUP_PATTERNS = [("?g", "type", "NodeGroup"), ("?g", "numCE", "?n"), ("?g", "baseIP", "?base")]
 
 
-def _t(s, p, o, kind="uri", dt=None):
-    return F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.cast("string").alias("object"),
-                    F.lit(kind).alias("object_kind"), F.lit(dt).cast("string").alias("datatype"))
+def _branch(df, req, s, p, o, kind="uri", dt=None):
+    """One predicate's triples from one table.  The predicate is a literal, so a
+    pattern filter on another predicate prunes this branch at planning time."""
+    return df.select(req.alias("request_id"), s.alias("subject"), F.lit(p).alias("predicate"),
+                     o.cast("string").alias("object"), F.lit(kind).alias("object_kind"),
+                     F.lit(dt).cast("string").alias("datatype"))
 
 
 def fleet_triples(spark, d):
     base = F.lit(BASE_ADDRESS)
     c = table(spark, d, "customer")
     key = F.col("c_custkey").cast("string")
-    req = F.concat(F.lit("req-"), F.col("c_nationkey").cast("string")).alias("request_id")
+    req = F.concat(F.lit("req-"), F.col("c_nationkey").cast("string"))
     node, iface, addr = (F.concat(F.lit(p), key) for p in ("node-", "if-", "ip-"))
     link = F.concat(F.lit("link-"), F.col("c_nationkey").cast("string"), F.lit("-"), F.lower("c_mktsegment"))
     img = F.concat(F.lit("img-"), F.lower("c_mktsegment"))
     dom = F.concat(F.lit("dom-"), F.col("c_nationkey").cast("string"))
-    nodes = c.select(req, F.inline(F.array(
-        _t(node, "type", F.lit("Node")),
-        _t(node, "name", F.col("c_name"), "literal", "xsd:string"),
-        _t(node, "hasInterface", iface),
-        _t(link, "hasInterface", iface),
-        _t(iface, "localIPAddress", addr),
-        _t(addr, "label_ID", num_to_ip(base + F.col("c_custkey")), "literal"),
-        _t(addr, "netmask", F.lit("255.255.0.0"), "literal"),
-        _t(node, "diskImage", img),
-    )))
-    domains = c.where(F.col("c_acctbal") >= 0).select(req, F.inline(F.array(_t(node, "inDomain", dom))))
-    links = c.select(req, link.alias("link"), img.alias("img"), F.lower("c_mktsegment").alias("seg")).distinct()
-    link_rows = links.select("request_id", F.inline(F.array(
-        _t(F.col("link"), "type", F.lit("BroadcastConnection")),
-        _t(F.col("link"), "bandwidth", F.lit("10000000"), "literal", "xsd:integer"),
-        _t(F.col("img"), "url", F.concat(F.lit("http://images.example/"), F.col("seg"), F.lit(".tgz")), "literal"),
-    )))
+    parts = [
+        _branch(c, req, node, "type", F.lit("Node")),
+        _branch(c, req, node, "name", F.col("c_name"), "literal", "xsd:string"),
+        _branch(c, req, node, "hasInterface", iface),
+        _branch(c, req, link, "hasInterface", iface),
+        _branch(c, req, iface, "localIPAddress", addr),
+        _branch(c, req, addr, "label_ID", num_to_ip(base + F.col("c_custkey")), "literal"),
+        _branch(c, req, addr, "netmask", F.lit("255.255.0.0"), "literal"),
+        _branch(c, req, node, "diskImage", img),
+        _branch(c.where(F.col("c_acctbal") >= 0), req, node, "inDomain", dom),
+    ]
+    links = c.select(req.alias("request_id"), link.alias("link"), img.alias("img"),
+                     F.lower("c_mktsegment").alias("seg")).distinct()
+    lreq = F.col("request_id")
+    parts += [
+        _branch(links, lreq, F.col("link"), "type", F.lit("BroadcastConnection")),
+        _branch(links, lreq, F.col("link"), "bandwidth", F.lit("10000000"), "literal", "xsd:integer"),
+        _branch(links, lreq, F.col("img"), "url",
+                F.concat(F.lit("http://images.example/"), F.col("seg"), F.lit(".tgz")), "literal"),
+    ]
     n = table(spark, d, "nation")
     r = table(spark, d, "region")
     nr = n.join(r, n.n_regionkey == r.r_regionkey)
+    nreq = F.concat(F.lit("req-"), F.col("n_nationkey").cast("string"))
     reg = F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"))
-    geo = nr.select(F.concat(F.lit("req-"), F.col("n_nationkey").cast("string")).alias("request_id"), F.inline(F.array(
-        _t(F.concat(F.lit("dom-"), F.col("n_nationkey").cast("string")), "inRegion", reg),
-        _t(reg, "label", F.col("r_name"), "literal"),
-    )))
+    parts += [
+        _branch(nr, nreq, F.concat(F.lit("dom-"), F.col("n_nationkey").cast("string")), "inRegion", reg),
+        _branch(nr, nreq, reg, "label", F.col("r_name"), "literal"),
+    ]
     s = table(spark, d, "supplier")
     g = F.concat(F.lit("group-"), F.col("s_suppkey").cast("string"))
-    groups = s.select(F.concat(F.lit("req-"), F.col("s_nationkey").cast("string")).alias("request_id"),
-                      F.inline(F.array(
-                          _t(g, "type", F.lit("NodeGroup")),
-                          _t(g, "numCE", F.lit(1) + F.pmod(F.col("s_suppkey"), F.lit(4)), "literal", "xsd:integer"),
-                          _t(g, "baseIP", num_to_ip(base + F.pmod(F.floor("s_acctbal"), F.lit(1500))), "literal"),
-                      )))
-    return nodes.unionByName(domains).unionByName(link_rows).unionByName(geo).unionByName(groups)
+    sreq = F.concat(F.lit("req-"), F.col("s_nationkey").cast("string"))
+    parts += [
+        _branch(s, sreq, g, "type", F.lit("NodeGroup")),
+        _branch(s, sreq, g, "numCE", F.lit(1) + F.pmod(F.col("s_suppkey"), F.lit(4)), "literal", "xsd:integer"),
+        _branch(s, sreq, g, "baseIP", num_to_ip(base + F.pmod(F.floor("s_acctbal"), F.lit(1500))), "literal"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def bgp_customer_region(spark, d):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspark.operators.sizing import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -18,8 +20,14 @@ BASE_ADDRESS = 2886729728  # 172.16.0.0
 PORTS = [22, 80, 443, 8080, 50070]
 
 
+# Small dimension tables are never spread (their rows are few).
+_DIMENSIONS = {"region", "nation", "supplier"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; a scan with fewer splits than cores is spread (see ``sizing.spread``)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df if name in _DIMENSIONS else spread(df)
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +61,13 @@ def flows_from_events(e: DataFrame) -> DataFrame:
     )
 
 
-def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lines(file, line_no, line)`` from ``documents`` (whole texts)."""
+def doc_lines(spark: SparkSession, sf_dir: str, text_filter: str | None = None) -> DataFrame:
+    """``lines(file, line_no, line)`` from ``documents`` (whole texts).
+
+    ``text_filter`` (a regex) skips documents that cannot produce a match before
+    they are split; numbering is unaffected because it is per document."""
     from fleetspark.operators.lines import to_lines
     d = table(spark, sf_dir, "documents")
+    if text_filter:
+        d = d.where(F.col("text").rlike(text_filter))
     return to_lines(d, "text", ["doc_id"])

@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAIN_FORMAT = (r'^(\S+) - (\S+) \[([^\]]+)\] "((?:[^"\\]|\\.)*)" (\d{3}) (\d+|-) '
-               r'"((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)"$')
+# nginx writes a double quote inside a field as \x22, so a quoted field is [^"]*
+MAIN_FORMAT = (r'^(\S+) - (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-) '
+               r'"([^"]*)" "([^"]*)" "([^"]*)"$')
 FIELDS = ["remote_addr", "remote_user", "time_local", "request", "status", "body_bytes_sent",
           "referer", "user_agent", "x_forwarded_for"]
 

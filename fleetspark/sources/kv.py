@@ -54,7 +54,8 @@ def inline_assignments(lines: DataFrame, pattern: str, key_cols: Sequence[str])
     """Every ``key = "value"`` match inside lines (group 1 key, group 2 value)."""
     ks = F.regexp_extract_all(F.col("line"), F.lit(pattern), 1)
     vs = F.regexp_extract_all(F.col("line"), F.lit(pattern), 2)
-    return lines.select(*key_cols, F.inline(F.arrays_zip(ks.alias("key"), vs.alias("value"))))
+    hits = lines.where(F.col("line").rlike(pattern))
+    return hits.select(*key_cols, F.inline(F.arrays_zip(ks.alias("key"), vs.alias("value"))))
 
 
 def last_wins_config(config: DataFrame, key_cols: Sequence[str] = ("file", "key"),
