@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.functions.ip import network_key
-from fleetspark.operators.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, has_at_most
+from fleetspark.operators.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, collect_bounded, has_at_most
 
 RULE_MATCH_COLUMNS = ("iface", "proto", "dst_lo", "dst_hi", "dport", "state", "tcp_flags", "syn")
 
@@ -83,13 +83,18 @@ def first_match(flows: DataFrame, rules: DataFrame, policies: DataFrame,
     tcp_flags, syn, verdict (null = any).  ``policies``: chain, verdict.
     Adds ``verdict`` and ``rule_rank`` (null when the policy decided).
     """
-    if strategy == "auto":
-        strategy = "inline" if has_at_most(rules, max_inline) else "join"
-    if strategy == "inline":
-        if not has_at_most(rules, max_inline) or not has_at_most(policies, max_inline):
+    rs = None
+    if strategy in ("auto", "inline"):
+        got = rules.limit(max_inline + 1).collect()
+        if len(got) <= max_inline:
+            rs = sorted((r.asDict() for r in got), key=lambda r: (r["chain"], r["rank"]))
+            strategy = "inline"
+        elif strategy == "inline":
             raise ValueError("rule list too large to inline; use strategy='join'")
-        rs = [r.asDict() for r in rules.orderBy("chain", "rank").collect()]
-        ps = {p["chain"]: p["verdict"] for p in policies.collect()}
+        else:
+            strategy = "join"
+    if strategy == "inline":
+        ps = {p["chain"]: p["verdict"] for p in collect_bounded(policies, max_inline, "policy table")}
         verdict = rank = None
         for r in rs:
             cond = _rule_condition_row(r)

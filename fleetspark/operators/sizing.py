@@ -33,3 +33,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def collect_bounded(df: DataFrame, max_rows: int, what: str = "table") -> list:
+    """Collect a small side in one job, failing loudly if it has more than ``max_rows`` rows."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"{what} has more than {max_rows} rows; use the distributed path")
+    return rows

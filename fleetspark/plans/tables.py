@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.operators.sizing import spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -24,10 +23,21 @@ PORTS = [22, 80, 443, 8080, 50070]
 _DIMENSIONS = {"region", "nation", "supplier"}
 
 
+_SPLITS: dict[tuple[str, int], bool] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; a scan with fewer splits than cores is spread (see ``sizing.spread``)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df if name in _DIMENSIONS else spread(df)
+    """A driver table; a scan with fewer splits than cores is spread (see
+    ``sizing.spread``).  The split count of a path is looked up once per session."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name in _DIMENSIONS:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    key = (path, cores)
+    if key not in _SPLITS:
+        _SPLITS[key] = df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if _SPLITS[key] else df
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
