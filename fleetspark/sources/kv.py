@@ -45,7 +45,7 @@ def read_kv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     ``wholetext`` keeps each file in one row so its line order is explicit; a
     config file is small, and files are spread over tasks.
     """
-    files = spark.read.option("wholetext", True).text(paths).select(
+    files = spark.read.text(paths, wholetext=True).select(
         F.input_file_name().alias("file"), F.col("value").alias("text"))
     return parse_kv_lines(to_lines(files, "text", ["file"]))
 
@@ -72,7 +72,7 @@ def xml_properties(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     Each file is read whole so the document order of its properties is explicit
     (``posexplode`` of the XPath results), never the read order.
     """
-    files = spark.read.option("wholetext", True).text(paths).select(
+    files = spark.read.text(paths, wholetext=True).select(
         F.input_file_name().alias("file"), F.col("value").alias("xml"))
     return xml_property_strings(files, "xml", ["file"])
 
