@@ -68,14 +68,21 @@ def multiset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def line_drift(a: DataFrame, b: DataFrame, key_cols: Sequence[str], line_col: str = "line",
                a_name: str = "only_a", b_name: str = "only_b") -> DataFrame:
-    """Lines only in one copy, per file, counting repeats.
+    """Lines only in one copy, per file, counting repeats (J9): ``A EXCEPT ALL B``
+    and ``B EXCEPT ALL A`` in one pass.
 
-    Two ``EXCEPT ALL``s (partial-aggregated counts per (file, line)), labelled.
+    Both copies are counted per (file, line) in a single aggregation (combined
+    map-side, so a file or line repeated everywhere is pre-reduced); the surplus
+    of each side is replayed as that many rows.
     """
     cols = [*key_cols, line_col]
-    a2, b2 = a.select(*cols), b.select(*cols)
-    return (multiset_diff(a2, b2).withColumn("side", F.lit(a_name))
-            .unionByName(multiset_diff(b2, a2).withColumn("side", F.lit(b_name))))
+    tagged = (a.select(*cols, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+              .unionByName(b.select(*cols, F.lit(0).alias("_a"), F.lit(1).alias("_b"))))
+    counts = tagged.groupBy(*cols).agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
+    surplus = counts.where(F.col("_na") != F.col("_nb")).select(
+        *cols, F.when(F.col("_na") > F.col("_nb"), F.lit(a_name)).otherwise(F.lit(b_name)).alias("side"),
+        F.abs(F.col("_na") - F.col("_nb")).cast("int").alias("_n"))
+    return surplus.select(*cols, "side", F.explode(F.array_repeat(F.lit(1), F.col("_n"))).alias("_r")).drop("_r")
 
 
 def second_last(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],

@@ -33,7 +33,7 @@ def template_references(spark, d):
 
 def secret_audit(spark, d):
     """Assignments scanned from document lines; secret-like keys with a well-known value flagged."""
-    cfg = inline_assignments(doc_lines(spark, d, text_filter=ASSIGNMENT), ASSIGNMENT, ["doc_id", "line_no"])
+    cfg = inline_assignments(doc_lines(spark, d, must_contain=' = "'), ASSIGNMENT, ["doc_id", "line_no"])
     return default_secret_audit(cfg).select("doc_id", "line_no", "key", "value", "is_default")
 
 

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetspark.functions.ip import num_to_ip
-from fleetspark.operators.graph import (address_conflicts, expand_groups, fanout_sizes, group_sizes, host_table,
-                                        match_patterns, node_link_ips, ordered_list)
+from fleetspark.operators.graph import (NODE_IP_PATTERNS, address_conflicts, expand_groups, fanout_sizes,
+                                        group_sizes, host_table, match_patterns, node_link_ips, ordered_list)
 from fleetspark.plans.tables import BASE_ADDRESS, table
 
 GROUP_PATTERNS = [("?g", "type", "NodeGroup"), ("?g", "numCE", "?n"), ("?g", "baseIP", "?base")]
@@ -21,12 +21,18 @@ GROUP_PATTERNS = [("?g", "type", "NodeGroup"), ("?g", "numCE", "?n"), ("?g", "ba
 def _branch(df, req, s, p, o, kind="uri", dt=None):
     """One predicate's triples from one table.  The predicate is a literal, so a
     pattern filter on another predicate prunes this branch at planning time."""
-    return df.select(req.alias("request_id"), s.alias("subject"), F.lit(p).alias("predicate"),
-                     o.cast("string").alias("object"), F.lit(kind).alias("object_kind"),
-                     F.lit(dt).cast("string").alias("datatype"))
+    out = df.select(req.alias("request_id"), s.alias("subject"), F.lit(p).alias("predicate"),
+                    o.cast("string").alias("object"), F.lit(kind).alias("object_kind"),
+                    F.lit(dt).cast("string").alias("datatype"))
+    out._pred = p
+    return out
 
 
-def fleet_triples(spark, d):
+def fleet_triples(spark, d, predicates=None):
+    """The stand-in graph; ``predicates`` keeps only the branches a pattern set can
+    match (the same pruning Catalyst does on the literal predicate column, done
+    before analysis so the plan stays small)."""
+    want = None if predicates is None else set(predicates)
     base = F.lit(BASE_ADDRESS)
     c = table(spark, d, "customer")
     key = F.col("c_custkey").cast("string")
@@ -72,28 +78,35 @@ def fleet_triples(spark, d):
         _branch(s, sreq, g, "numCE", F.lit(1) + F.pmod(F.col("s_suppkey"), F.lit(4)), "literal", "xsd:integer"),
         _branch(s, sreq, g, "baseIP", num_to_ip(base + F.pmod(F.floor("s_acctbal"), F.lit(1500))), "literal"),
     ]
+    if want is not None:
+        parts = [p for p in parts if p._pred in want]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def triples_for(spark, d, patterns, optional=()):
+    return fleet_triples(spark, d, {p for _, p, _ in [*patterns, *optional]})
+
+
 def bgp_customer_region(spark, d):
     """General basic graph pattern: node -> domain -> region -> label."""
     pats = [("?node", "type", "Node"), ("?node", "inDomain", "?dom"), ("?dom", "inRegion", "?reg"),
             ("?reg", "label", "?rname")]
-    return match_patterns(fleet_triples(spark, d), pats).select("request_id", "node", "dom", "reg", "rname")
+    return match_patterns(triples_for(spark, d, pats), pats).select("request_id", "node", "dom", "reg", "rname")
 
 
 def node_ip(spark, d):
     """``$Node.IP("Link")`` for every node."""
-    return node_link_ips(fleet_triples(spark, d))
+    return node_link_ips(triples_for(spark, d, NODE_IP_PATTERNS))
 
 
 def node_attrs(spark, d):
     """Node -> image -> URL, domain optional."""
     pats = [("?node", "type", "Node"), ("?node", "diskImage", "?image"), ("?image", "url", "?url")]
-    m = match_patterns(fleet_triples(spark, d), pats, optional=[("?node", "inDomain", "?domain")])
+    opt = [("?node", "inDomain", "?domain")]
+    m = match_patterns(triples_for(spark, d, pats, opt), pats, optional=opt)
     return m.select("request_id", "node", "image", "url", "domain")
 
 
@@ -103,13 +116,13 @@ def _groups(triples):
 
 def group_expand(spark, d):
     """Node groups expanded to members 0..n-1 with base + k addresses (G1)."""
-    ex = expand_groups(_groups(fleet_triples(spark, d)), "g", "n", "base")
+    ex = expand_groups(_groups(triples_for(spark, d, GROUP_PATTERNS)), "g", "n", "base")
     return ex.select("request_id", F.col("g").alias("grp"), "member_idx", "member", "ip")
 
 
 def group_size(spark, d):
     """Machines per request: singles + sum of numCE (A1)."""
-    t = fleet_triples(spark, d)
+    t = triples_for(spark, d, GROUP_PATTERNS)
     singles = match_patterns(t, [("?node", "type", "Node")])
     groups = _groups(t).withColumn("num_ce", F.col("n").cast("bigint"))
     return group_sizes(singles, groups)
@@ -117,7 +130,7 @@ def group_size(spark, d):
 
 def hosts(spark, d):
     """Hosts table from singles, group members and name aliases, duplicates kept."""
-    t = fleet_triples(spark, d)
+    t = triples_for(spark, d, NODE_IP_PATTERNS + GROUP_PATTERNS + [("?node", "name", "?alias")])
     singles = node_link_ips(t)
     names = match_patterns(t, [("?node", "name", "?alias")])
     aliases = singles.join(names, ["request_id", "node"]).select("request_id", "ip", F.col("alias").alias("hostname"))
@@ -128,7 +141,7 @@ def hosts(spark, d):
 
 def conflicts(spark, d):
     """Addresses claimed twice inside a request: groups vs singles vs groups."""
-    t = fleet_triples(spark, d)
+    t = triples_for(spark, d, NODE_IP_PATTERNS + GROUP_PATTERNS)
     singles = node_link_ips(t).select("request_id", "ip_num", F.col("node").alias("owner"))
     members = expand_groups(_groups(t), "g", "n", "base").select("request_id", "ip_num", F.col("g").alias("owner"))
     return address_conflicts(singles.unionByName(members)).select(
@@ -137,20 +150,20 @@ def conflicts(spark, d):
 
 def member_list(spark, d):
     """``name=http://ip:2380`` members of each link joined by ',' in name order (A2)."""
-    ips = node_link_ips(fleet_triples(spark, d))
+    ips = node_link_ips(triples_for(spark, d, NODE_IP_PATTERNS))
     value = F.concat(F.col("node"), F.lit("=http://"), F.col("ip"), F.lit(":2380"))
     return ordered_list(ips, ["request_id", "link"], value, F.col("node"))
 
 
 def link_peers(spark, d):
     """Hosts sharing each broadcast link: host and pair counts, pairs not emitted."""
-    ips = node_link_ips(fleet_triples(spark, d))
+    ips = node_link_ips(triples_for(spark, d, NODE_IP_PATTERNS))
     return fanout_sizes(ips, ["request_id", "link"], "node", include_self=False)
 
 
 def mesh_size(spark, d):
     """Full mesh per request, self included: host and pair counts, pairs not emitted."""
-    t = fleet_triples(spark, d)
+    t = triples_for(spark, d, GROUP_PATTERNS)
     singles = match_patterns(t, [("?node", "type", "Node")]).select("request_id", F.col("node").alias("host"))
     members = expand_groups(_groups(t), "g", "n", "base").select("request_id", F.col("member").alias("host"))
     return fanout_sizes(singles.unionByName(members), ["request_id"], "host", include_self=True)

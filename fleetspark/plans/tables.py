@@ -23,21 +23,23 @@ PORTS = [22, 80, 443, 8080, 50070]
 _DIMENSIONS = {"region", "nation", "supplier"}
 
 
-_SPLITS: dict[tuple[str, int], bool] = {}
+_LOADED: dict[tuple[int, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; a scan with fewer splits than cores is spread (see
-    ``sizing.spread``).  The split count of a path is looked up once per session."""
+    ``sizing.spread``).  The resolved scan is reused within a session, so the
+    parquet footers and file listing are read once."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in _DIMENSIONS:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    key = (path, cores)
-    if key not in _SPLITS:
-        _SPLITS[key] = df.rdd.getNumPartitions() < cores
-    return df.repartition(cores) if _SPLITS[key] else df
+    key = (id(spark._jsparkSession), path)
+    if key not in _LOADED:
+        df = spark.read.parquet(path)
+        if name not in _DIMENSIONS:
+            cores = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+        _LOADED[key] = df
+    return _LOADED[key]
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +73,14 @@ def flows_from_events(e: DataFrame) -> DataFrame:
     )
 
 
-def doc_lines(spark: SparkSession, sf_dir: str, text_filter: str | None = None) -> DataFrame:
+def doc_lines(spark: SparkSession, sf_dir: str, must_contain: str | None = None) -> DataFrame:
     """``lines(file, line_no, line)`` from ``documents`` (whole texts).
 
-    ``text_filter`` (a regex) skips documents that cannot produce a match before
-    they are split; numbering is unaffected because it is per document."""
+    ``must_contain`` (a literal every match contains) skips documents that cannot
+    produce a match before they are split; numbering is per document, so it is
+    unaffected."""
     from fleetspark.operators.lines import to_lines
     d = table(spark, sf_dir, "documents")
-    if text_filter:
-        d = d.where(F.col("text").rlike(text_filter))
+    if must_contain:
+        d = d.where(F.col("text").contains(must_contain))
     return to_lines(d, "text", ["doc_id"])
