@@ -4,14 +4,17 @@ CIDR / range membership (P9, P10).
 Scale notes
 * P11: a rule list is small and its size is probed.  Up to ``max_inline`` rules
   it is folded into one CASE expression over the flow columns: no join, no
-  shuffle, one codegen'd pass over the flows.  A larger list is joined (broadcast
-  if the probe allows, else an equi-join on (chain, salt) with the rules
-  replicated per salt so one hot chain spreads over many tasks) and the first
-  match is ``min_by`` per flow, a partial aggregation.
+  shuffle, one codegen'd pass over the flows.  A larger list is left-joined
+  (broadcast if the probe allows, else an equi-join on (chain, salt) with the
+  rules replicated per salt so one hot chain spreads over many tasks) and the
+  first match per flow is a ``row_number() = 1`` window on the flow id, limited
+  map-side before its one shuffle (flow ids are unique, so it is not skewed).
 * J7: one equality join per distinct prefix length (at most 33 for IPv4) on the
-  masked address; with a probed-small prefix table every join is a broadcast
-  hash join and the big side never shuffles.  A big prefix table takes the
-  explode path: one shuffle equi-join on (length, network) and ``max_by``.
+  masked address.  Every length whose slice is within the broadcast bound (a
+  /L slice has at most 2^L rows, so short prefixes always are) is a broadcast
+  hash join and the big side never shuffles.  Only the oversized slices take
+  the explode path: one shuffle equi-join on (length, network) and a
+  first-per-point window.
 * P10: ranges are cut into aligned address buckets and equi-joined on the
   bucket, so no nested-loop join is planned on the big side.
 """
@@ -60,18 +63,22 @@ def _rule_condition_row(r: dict) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def _rule_condition_join(f: DataFrame, r: DataFrame) -> Column:
-    def any_or(rc: str, test: Column) -> Column:
-        return r[rc].isNull() | F.coalesce(test, F.lit(False))
+def _rule_condition_join(f: DataFrame, r: DataFrame, n: dict) -> Column:
+    """Null-tolerant match of flow columns against (renamed) rule columns."""
+    def rc(c: str) -> Column:
+        return F.col(n[c])
 
-    return ((f["chain"] == r["chain"])
-            & any_or("iface", f["iface"] == r["iface"])
-            & any_or("proto", f["proto"] == r["proto"])
-            & any_or("dst_lo", f["dst"].between(r["dst_lo"], r["dst_hi"]))
-            & any_or("dport", f["dport"] == r["dport"])
-            & any_or("state", F.array_contains(r["state"], f["state"]))
-            & any_or("tcp_flags", f["tcp_flags"] == r["tcp_flags"])
-            & any_or("syn", f["syn"] == r["syn"]))
+    def any_or(c: str, test: Column) -> Column:
+        return rc(c).isNull() | F.coalesce(test, F.lit(False))
+
+    return ((F.col("chain") == rc("chain"))
+            & any_or("iface", F.col("iface") == rc("iface"))
+            & any_or("proto", F.col("proto") == rc("proto"))
+            & any_or("dst_lo", F.col("dst").between(rc("dst_lo"), rc("dst_hi")))
+            & any_or("dport", F.col("dport") == rc("dport"))
+            & any_or("state", F.array_contains(rc("state"), F.col("state")))
+            & any_or("tcp_flags", F.col("tcp_flags") == rc("tcp_flags"))
+            & any_or("syn", F.col("syn") == rc("syn")))
 
 
 def first_match(flows: DataFrame, rules: DataFrame, policies: DataFrame,
@@ -109,25 +116,33 @@ def first_match(flows: DataFrame, rules: DataFrame, policies: DataFrame,
         rank = F.lit(None).cast("int") if rank is None else rank
         return flows.withColumn("verdict", verdict).withColumn("rule_rank", rank.cast("int"))
 
-    # join strategy
-    r = rules.select("chain", "rank", *RULE_MATCH_COLUMNS, "verdict")
+    # join strategy: every flow row meets the rules it matches (left join, so a
+    # flow with no match survives with nulls), then the lowest rank per flow is
+    # kept by a row_number window that Spark limits map-side before the shuffle.
+    r = rules.select(*[F.col(c).alias(f"_r_{c}") for c in ("chain", "rank", *RULE_MATCH_COLUMNS, "verdict")])
     r_b, small = broadcast_if_small(r, max_broadcast_rows)
+    renamed = {c: f"_r_{c}" for c in ("chain", "rank", *RULE_MATCH_COLUMNS, "verdict")}
     if small:
-        matched = flows.alias("f").join(r_b.alias("r"), _rule_condition_join(flows.alias("f"), r_b.alias("r")), "inner")
+        f = flows
+        cond = _rule_condition_join(f, r_b, renamed)
+        matched = f.join(r_b, cond, "left")
     else:
         salt = F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("_salt")
         rr = r.select("*", salt)
-        ff = flows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt_buckets)))
-        cond = _rule_condition_join(ff.alias("f"), rr.alias("r")) & (F.col("f._salt") == F.col("r._salt"))
-        matched = ff.alias("f").join(rr.alias("r"), cond, "inner")
-    firsts = matched.groupBy(F.col(f"f.{id_col}").alias(id_col)).agg(
-        F.min_by(F.struct(F.col("r.verdict").alias("v"), F.col("r.rank").alias("k")), F.col("r.rank")).alias("_m"))
-    pol = F.broadcast(policies.select(F.col("chain").alias("_pc"), F.col("verdict").alias("_pv")))
-    out = (flows.join(firsts, id_col, "left")
-                .join(pol, F.col("chain") == F.col("_pc"), "left"))
-    return (out.withColumn("verdict", F.coalesce(F.col("_m.v"), F.col("_pv")))
-               .withColumn("rule_rank", F.col("_m.k").cast("int"))
-               .drop("_m", "_pc", "_pv"))
+        f = flows.withColumn("_fsalt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt_buckets)))
+        cond = _rule_condition_join(f, rr, renamed) & (F.col("_fsalt") == F.col("_salt"))
+        matched = f.join(rr, cond, "left").drop("_fsalt", "_salt")
+    w = Window.partitionBy(id_col).orderBy(F.col("_r_rank").asc_nulls_last())
+    first = matched.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1)
+    ps = collect_bounded(policies, max_inline, "policy table")
+    default = None
+    for p in ps:
+        default = (F.when(F.col("chain") == p["chain"], F.lit(p["verdict"])) if default is None
+                   else default.when(F.col("chain") == p["chain"], F.lit(p["verdict"])))
+    default = default if default is not None else F.lit(None).cast("string")
+    out = (first.withColumn("verdict", F.coalesce(F.col("_r_verdict"), default))
+                .withColumn("rule_rank", F.col("_r_rank").cast("int")))
+    return out.drop("_k", *renamed.values())
 
 
 # --------------------------------------------------------------------------- J7
@@ -141,35 +156,49 @@ def normalize_prefixes(prefixes: DataFrame) -> DataFrame:
 def most_specific_prefix(points: DataFrame, ip_col: str, prefixes: DataFrame,
                          id_col: str | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                          attr_col: str = "attr", len_col: str = "prefix_len") -> DataFrame:
-    """Attribute of the longest prefix containing each address; null when none."""
+    """Attribute of the longest prefix containing each address; null when none.
+
+    The prefix table is sized per length in one small job (at most 33 rows
+    come back).  Each length whose slice fits the broadcast bound is a
+    broadcast hash join on the masked address (no shuffle of ``points``).  The
+    lengths whose slices are too big (long prefixes of a huge table) are
+    handled together: ``points`` rows are expanded to those lengths,
+    left-joined on (length, network) and the longest hit per ``id_col`` is
+    kept by a window.  ``id_col`` must identify a point row.
+    """
     p = normalize_prefixes(prefixes)
-    lengths = sorted({int(r[0]) for r in p.select("prefix_len").distinct().limit(34).collect()}, reverse=True)
-    if len(lengths) > 33:
-        raise ValueError("prefix lengths outside 0..32")
-    small = has_at_most(p, max_broadcast_rows)
-    if small or id_col is None:
-        out = points
-        attrs, lens = [], []
-        for i, length in enumerate(lengths):
-            side = p.where(F.col("prefix_len") == length).select(
-                F.col("net").alias(f"_n{i}"), F.col("attr").alias(f"_a{i}"))
-            side = F.broadcast(side) if small else side
-            out = out.join(side, network_key(F.col(ip_col), length) == F.col(f"_n{i}"), "left")
-            attrs.append(F.col(f"_a{i}"))
-            lens.append(F.when(F.col(f"_n{i}").isNotNull(), F.lit(length)))
-        drop = [f"_n{i}" for i in range(len(lengths))] + [f"_a{i}" for i in range(len(lengths))]
-        attr = F.coalesce(*attrs) if attrs else F.lit(None).cast("string")
-        plen = F.coalesce(*lens) if lens else F.lit(None).cast("int")
-        return out.withColumn(attr_col, attr).withColumn(len_col, plen.cast("int")).drop(*drop)
-    # big prefix table: one shuffle equi-join on (length, network), best per point
-    exploded = points.select(F.col(id_col), F.col(ip_col),
-                             F.explode(F.array(*[F.lit(x) for x in lengths])).alias("_len"))
-    keyed = exploded.withColumn("_net", network_key(F.col(ip_col), F.col("_len")))
-    hits = keyed.join(p, (keyed["_len"] == p["prefix_len"]) & (keyed["_net"] == p["net"]), "inner")
-    best = hits.groupBy(id_col).agg(F.max_by(F.struct(F.col("attr"), F.col("prefix_len")), F.col("prefix_len")).alias("_b"))
-    return (points.join(best, id_col, "left")
-                  .withColumn(attr_col, F.col("_b.attr"))
-                  .withColumn(len_col, F.col("_b.prefix_len").cast("int")).drop("_b"))
+    sizes = {int(r[0]): int(r[1]) for r in collect_bounded(
+        p.groupBy("prefix_len").count(), 33, "prefix lengths")}
+    small = sorted((x for x, c in sizes.items() if c <= max_broadcast_rows), reverse=True)
+    big = sorted((x for x, c in sizes.items() if c > max_broadcast_rows), reverse=True)
+    out = points
+    if big:
+        if id_col is None:
+            raise ValueError("prefix slices above the broadcast bound need id_col to pick the best hit")
+        pb = p.where(F.col("prefix_len").isin(big)).select(
+            F.col("net").alias("_pn"), F.col("prefix_len").alias("_pl"), F.col("attr").alias("_pa"))
+        ex = (out.withColumn("_len", F.explode(F.array(*[F.lit(x) for x in big])))
+                 .withColumn("_net", network_key(F.col(ip_col), F.col("_len"))))
+        hits = ex.join(pb, (F.col("_len") == F.col("_pl")) & (F.col("_net") == F.col("_pn")), "left")
+        w = Window.partitionBy(id_col).orderBy(F.col("_pl").desc_nulls_last())
+        out = (hits.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1)
+                   .drop("_k", "_len", "_net", "_pn"))
+    else:
+        out = out.withColumn("_pl", F.lit(None).cast("int")).withColumn("_pa", F.lit(None).cast("string"))
+    attrs, lens, drop = [], [], ["_pl", "_pa"]
+    for i, length in enumerate(small):
+        side = F.broadcast(p.where(F.col("prefix_len") == length).select(
+            F.col("net").alias(f"_n{i}"), F.col("attr").alias(f"_a{i}")))
+        out = out.join(side, network_key(F.col(ip_col), length) == F.col(f"_n{i}"), "left")
+        attrs.append(F.col(f"_a{i}"))
+        lens.append(F.when(F.col(f"_n{i}").isNotNull(), F.lit(length)))
+        drop += [f"_n{i}", f"_a{i}"]
+    s_attr = F.coalesce(*attrs) if attrs else F.lit(None).cast("string")
+    s_len = F.coalesce(*lens) if lens else F.lit(None).cast("int")
+    use_big = F.col("_pl").isNotNull() & (s_len.isNull() | (F.col("_pl") > s_len))
+    return (out.withColumn(attr_col, F.when(use_big, F.col("_pa")).otherwise(s_attr))
+               .withColumn(len_col, F.when(use_big, F.col("_pl")).otherwise(s_len).cast("int"))
+               .drop(*drop))
 
 
 # --------------------------------------------------------------------------- P10

@@ -63,3 +63,8 @@ def test_most_specific_prefix(spark):
     assert rows(most_specific_prefix(pts, "n", pf), "id", "attr", "prefix_len") == expect
     big = most_specific_prefix(pts, "n", pf, id_col="id", max_broadcast_rows=0)
     assert rows(big, "id", "attr", "prefix_len") == expect
+    # mixed: the /16 slice (1 row) is broadcast, the /24 slice (2 rows) goes through the shuffle path
+    pf2 = pf.unionByName(spark.createDataFrame([(parse_cidr("172.16.3.0/24")[0], 24, "lab2")],
+                                               "net bigint, prefix_len int, attr string"))
+    mixed = most_specific_prefix(pts, "n", pf2, id_col="id", max_broadcast_rows=1)
+    assert rows(mixed, "id", "attr", "prefix_len") == expect
