@@ -15,9 +15,13 @@ from fleetspark.sources.kv import blocks, last_wins_config, parse_kv_lines, xml_
 
 
 def _log_lines(spark, d):
-    """Access-log lines written from events in the declared format; short view
-    events lose their closing quote (malformed lines for the rejects path)."""
-    e = table(spark, d, "events")
+    return log_lines_from_events(table(spark, d, "events"))
+
+
+def log_lines_from_events(e):
+    """Access-log lines written from events in the declared format (batch or
+    stream); short view events lose their closing quote (malformed lines for
+    the rejects path)."""
     user = F.when(F.col("event_type") == "purchase", F.concat(F.lit("user"), F.col("user_id").cast("string"))
                   ).otherwise(F.lit("-"))
     status = F.when(F.col("event_type") == "error", F.lit("500")).otherwise(F.lit("200"))

@@ -6,8 +6,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetspark.operators.policy import first_match
-from fleetspark.plans.q_policy import policies_frame, rules_frame
+from fleetspark.functions.ip import in_cidr, ip_to_num
+from fleetspark.operators.policy import first_match, most_specific_prefix
+from fleetspark.plans.q_policy import ALLOW_CIDR, policies_frame, prefixes_frame, rules_frame
+from fleetspark.plans.q_scan import log_lines_from_events
+from fleetspark.sources.access_log import parse_access_log
 from fleetspark.plans.tables import flows_from_events, table
 from fleetspark.streaming.deadline import deadline_batch, deadline_stream
 from fleetspark.streaming.sources import read_event_stream, run_available, shared_path, write_table
@@ -60,10 +63,24 @@ def stream_policy(spark, d):
     return run_available(verdicts.select("flow_id", "verdict", "rule_rank"), "policy")
 
 
+def stream_enrich(spark, d):
+    """The access-log scan (S6), CIDR allow (P9) and most-specific-prefix
+    enrichment (J7, stream-static broadcast joins) as one continuous job (T2)."""
+    events = table(spark, d, "events")
+    s = read_event_stream(spark, d, schema=events.schema, file_glob="events.parquet")
+    parsed, _rejects = parse_access_log(log_lines_from_events(s))
+    pts = parsed.withColumn("ip_num", ip_to_num("remote_addr"))
+    enriched = most_specific_prefix(pts, "ip_num", prefixes_frame(spark, d))
+    out = enriched.select("remote_addr", "time_local", "request", "status", "attr", "prefix_len",
+                          in_cidr(F.col("ip_num"), ALLOW_CIDR).alias("allowed"))
+    return run_available(out, "enrich")
+
+
 QUERIES = {
     "deadline": deadline,
     "deadline_stream": deadline_streaming,
     "stream_policy": stream_policy,
+    "stream_enrich": stream_enrich,
 }
 
 _DEADLINE_SQL = """
@@ -74,10 +91,20 @@ SELECT s.user_id, s.event_id, s.ts AS started, min(p.ts) AS done_at,
 FROM s LEFT JOIN p ON p.user_id = s.user_id AND p.ts BETWEEN s.ts AND s.ts + INTERVAL 120 SECOND
 GROUP BY s.user_id, s.event_id, s.ts"""
 
-from fleetspark.plans.q_policy import ORACLE as _POLICY_ORACLE  # noqa: E402
+from fleetspark.plans.q_policy import ORACLE as _POLICY_ORACLE, PREFIX_SQL  # noqa: E402
 
 ORACLE = {
     "deadline": _DEADLINE_SQL,
     "deadline_stream": _DEADLINE_SQL,
     "stream_policy": _POLICY_ORACLE["first_match_policy"],
+    "stream_enrich": f"""
+WITH {PREFIX_SQL}
+SELECT concat_ws('.', (e.src >> 24) & 255, (e.src >> 16) & 255, (e.src >> 8) & 255, e.src & 255) AS remote_addr,
+       date_trunc('second', ev.ts) AS time_local,
+       'GET /' || ev.event_type || '/' || CAST(ev.event_id AS VARCHAR) || ' HTTP/1.1' AS request,
+       CAST(CASE WHEN ev.event_type = 'error' THEN 500 ELSE 200 END AS INTEGER) AS status,
+       best.attr, CAST(best.prefix_len AS INTEGER) AS prefix_len,
+       (e.src // 128 = 2886729728 // 128) AS allowed
+FROM e JOIN events ev ON ev.event_id = e.event_id LEFT JOIN best ON best.event_id = e.event_id
+WHERE NOT (ev.event_type = 'view' AND ev.value < 1)""",
 }

@@ -45,3 +45,29 @@ def test_nth_rows_empty_when_short(spark):
     df = spark.createDataFrame([("c", 10), ("c", 20)], "c string, v int")
     out = nth_rows(df, ["c"], ["v"], [0, 1, 2], ["v"])
     assert rows(out, "idx", "v") == [(0, 10), (1, 20), (2, None)]
+
+
+def test_json_listings_scan(spark, tmp_path):
+    import json
+
+    from fleetspark.functions.jsonx import decode_inner
+    from fleetspark.sources.listings import (ALLOCATIONS_SCHEMA, HOSTS_SCHEMA, LEASE_SCHEMA, host_map,
+                                             read_listing)
+    (tmp_path / "hosts.json").write_text(json.dumps([
+        {"id": "1", "hypervisor_hostname": "c01", "node_type": "compute_haswell"},
+        {"id": "2", "hypervisor_hostname": "c02", "node_type": "compute_skylake"},
+        {"id": "1", "hypervisor_hostname": "c01b", "node_type": "compute_haswell"}]))
+    (tmp_path / "allocs.json").write_text(json.dumps([
+        {"resource_id": "1", "reservations": [{"id": "r1", "lease_id": "L"}, {"id": "r2", "lease_id": "L"}]},
+        {"resource_id": "3", "reservations": [{"id": "r3", "lease_id": "L"}]}]))
+    (tmp_path / "lease.json").write_text(json.dumps(
+        {"id": "L", "name": "n", "reservations": json.dumps({"id": "res-9"}), "start_date": "", "end_date": ""}))
+    hosts = read_listing(spark, str(tmp_path / "hosts.json"), HOSTS_SCHEMA)
+    assert hosts.count() == 3
+    hm = host_map(hosts)
+    allocs = read_listing(spark, str(tmp_path / "allocs.json"), ALLOCATIONS_SCHEMA)
+    mine = keep_per_match(allocs, "reservations", lambda r: r["lease_id"] == "L")
+    looked = mine.join(hm, mine.resource_id == hm.key, "left")
+    assert rows(looked, "resource_id", "value") == [("1", "c01b"), ("1", "c01b"), ("3", None)]
+    lease = spark.read.text(str(tmp_path / "lease.json"), wholetext=True)
+    assert lease.select(decode_inner("value", "$.reservations", "id string")["id"]).first()[0] == "res-9"
