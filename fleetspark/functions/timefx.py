@@ -14,12 +14,14 @@ def _c(c) -> Column:
 
 
 def clock(ts) -> Column:
-    """A timestamp parameter (datetime / ISO text) as a TIMESTAMP_NTZ literal in UTC."""
+    """A timestamp parameter (datetime / ISO text) as a TIMESTAMP_NTZ literal.
+
+    Built from text so no session or Python time zone is applied."""
     if isinstance(ts, Column):
         return ts
     if isinstance(ts, str):
         ts = dt.datetime.fromisoformat(ts)
-    return F.lit(ts).cast("timestamp_ntz")
+    return F.lit(ts.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def utc_stamp(ts) -> Column:

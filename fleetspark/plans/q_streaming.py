@@ -49,7 +49,7 @@ def deadline_streaming(spark, d):
     starts = ev.where(F.col("event_type") == "signup")
     dones = ev.where(F.col("event_type") == "purchase")
     out = run_available(deadline_stream(starts, dones, ["user_id"], "event_id", "ts", "ts", TIMEOUT_S, WATERMARK),
-                        "deadline")
+                        "deadline", state_partitions=spark.sparkContext.defaultParallelism)
     return out.where(F.col("event_id") >= 0).select(
         "user_id", "event_id", F.col("started").cast("timestamp_ntz").alias("started"),
         F.col("done_at").cast("timestamp_ntz").alias("done_at"), "status")
@@ -58,7 +58,8 @@ def deadline_streaming(spark, d):
 def stream_policy(spark, d):
     """First-match rule verdicts over the event stream (T2); no state, so every row is emitted."""
     events = table(spark, d, "events")
-    s = read_event_stream(spark, d, schema=events.schema, file_glob="events.parquet")
+    s = read_event_stream(spark, d, schema=events.schema, file_glob="events.parquet",
+                          spread_to=spark.sparkContext.defaultParallelism)
     verdicts = first_match(flows_from_events(s), rules_frame(spark), policies_frame(spark), strategy="inline")
     return run_available(verdicts.select("flow_id", "verdict", "rule_rank"), "policy")
 
@@ -67,7 +68,8 @@ def stream_enrich(spark, d):
     """The access-log scan (S6), CIDR allow (P9) and most-specific-prefix
     enrichment (J7, stream-static broadcast joins) as one continuous job (T2)."""
     events = table(spark, d, "events")
-    s = read_event_stream(spark, d, schema=events.schema, file_glob="events.parquet")
+    s = read_event_stream(spark, d, schema=events.schema, file_glob="events.parquet",
+                          spread_to=spark.sparkContext.defaultParallelism)
     parsed, _rejects = parse_access_log(log_lines_from_events(s))
     pts = parsed.withColumn("ip_num", ip_to_num("remote_addr"))
     enriched = most_specific_prefix(pts, "ip_num", prefixes_frame(spark, d))
