@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.operators.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from fleetspark.operators.sizing import DEFAULT_BROADCAST_ROWS, has_at_most
 
 
 def keep_per_match(df: DataFrame, array_col: str, cond: Callable[[Column], Column],
@@ -54,7 +54,9 @@ def lookup_last(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     splits skewed left partitions).
     """
     lk = last_wins(right, [right_key], value_cols, order_col).withColumnRenamed(right_key, "_lk")
-    lk, _ = broadcast_if_small(lk, max_broadcast_rows)
+    # probe the raw side (a cheap limited scan): dedupe only shrinks it
+    if has_at_most(right.select(right_key), max_broadcast_rows):
+        lk = F.broadcast(lk)
     return left.join(lk, left[left_key] == lk["_lk"], "left").drop("_lk")
 
 

@@ -18,14 +18,20 @@ from fleetspark.plans.tables import BASE_ADDRESS, table
 GROUP_PATTERNS = [("?g", "type", "NodeGroup"), ("?g", "numCE", "?n"), ("?g", "baseIP", "?base")]
 
 
-def _branch(df, req, s, p, o, kind="uri", dt=None):
-    """One predicate's triples from one table.  The predicate is a literal, so a
-    pattern filter on another predicate prunes this branch at planning time."""
-    out = df.select(req.alias("request_id"), s.alias("subject"), F.lit(p).alias("predicate"),
-                    o.cast("string").alias("object"), F.lit(kind).alias("object_kind"),
-                    F.lit(dt).cast("string").alias("datatype"))
-    out._pred = p
-    return out
+class _branch:
+    """One predicate's triples from one table, built only when asked for.  The
+    predicate is a literal, so a pattern filter on another predicate would also
+    prune this branch at planning time."""
+
+    def __init__(self, df, req, s, p, o, kind="uri", dt=None):
+        self._pred = p
+        self._args = (df, req, s, o, kind, dt)
+
+    def build(self):
+        df, req, s, o, kind, dt = self._args
+        return df.select(req.alias("request_id"), s.alias("subject"), F.lit(self._pred).alias("predicate"),
+                         o.cast("string").alias("object"), F.lit(kind).alias("object_kind"),
+                         F.lit(dt).cast("string").alias("datatype"))
 
 
 def fleet_triples(spark, d, predicates=None):
@@ -52,8 +58,8 @@ def fleet_triples(spark, d, predicates=None):
         _branch(c, req, node, "diskImage", img),
         _branch(c.where(F.col("c_acctbal") >= 0), req, node, "inDomain", dom),
     ]
-    links = c.select(req.alias("request_id"), link.alias("link"), img.alias("img"),
-                     F.lower("c_mktsegment").alias("seg")).distinct()
+    links = _Lazy(lambda: c.select(req.alias("request_id"), link.alias("link"), img.alias("img"),
+                                   F.lower("c_mktsegment").alias("seg")).distinct())
     lreq = F.col("request_id")
     parts += [
         _branch(links, lreq, F.col("link"), "type", F.lit("BroadcastConnection")),
@@ -61,16 +67,15 @@ def fleet_triples(spark, d, predicates=None):
         _branch(links, lreq, F.col("img"), "url",
                 F.concat(F.lit("http://images.example/"), F.col("seg"), F.lit(".tgz")), "literal"),
     ]
-    n = table(spark, d, "nation")
-    r = table(spark, d, "region")
-    nr = n.join(r, n.n_regionkey == r.r_regionkey)
+    nr = _Lazy(lambda: table(spark, d, "nation").join(
+        table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
     nreq = F.concat(F.lit("req-"), F.col("n_nationkey").cast("string"))
     reg = F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"))
     parts += [
         _branch(nr, nreq, F.concat(F.lit("dom-"), F.col("n_nationkey").cast("string")), "inRegion", reg),
         _branch(nr, nreq, reg, "label", F.col("r_name"), "literal"),
     ]
-    s = table(spark, d, "supplier")
+    s = _Lazy(lambda: table(spark, d, "supplier"))
     g = F.concat(F.lit("group-"), F.col("s_suppkey").cast("string"))
     sreq = F.concat(F.lit("req-"), F.col("s_nationkey").cast("string"))
     parts += [
@@ -80,12 +85,25 @@ def fleet_triples(spark, d, predicates=None):
     ]
     if want is not None:
         parts = [p for p in parts if p._pred in want]
-    out = parts[0]
-    for p in parts[1:]:
+    built = [p.build() for p in parts]
+    out = built[0]
+    for p in built[1:]:
         out = out.unionByName(p)
     return out
 
 
+class _Lazy:
+    """A DataFrame made on first use (so unused stand-in branches cost nothing)."""
+
+    def __init__(self, make):
+        self._make, self._df = make, None
+
+    def __getattr__(self, name):
+        if self._df is None:
+            self._df = self._make()
+        return getattr(self._df, name)
+
+
 def triples_for(spark, d, patterns, optional=()):
     return fleet_triples(spark, d, {p for _, p, _ in [*patterns, *optional]})
 

@@ -19,8 +19,9 @@ BASE_ADDRESS = 2886729728  # 172.16.0.0
 PORTS = [22, 80, 443, 8080, 50070]
 
 
-# Small dimension tables are never spread (their rows are few).
-_DIMENSIONS = {"region", "nation", "supplier"}
+# Dimension tables are never spread: where they arrive as one split they are
+# small, and their consumers are joins, not per-row CPU work.
+_DIMENSIONS = {"region", "nation", "supplier", "customer", "part"}
 
 
 _LOADED: dict[tuple[int, str], DataFrame] = {}
