@@ -72,16 +72,60 @@ TRIPLES_SCHEMA = T.StructType([T.StructField("request_id", T.StringType()),
                               T.StructField("subject", T.StringType())] + list(_ENTRY_TYPE.fields))
 
 
-def read_rdf(spark: SparkSession, paths: str | Sequence[str], request_col: str = "request_id") -> DataFrame:
+def read_rdf(spark: SparkSession, paths: str | Sequence[str], request_col: str = "request_id",
+             schema: T.StructType | None = None, request_from: str = "file",
+             recursive: bool = False) -> DataFrame:
     """Scan RDF/XML request files into ``triples(request_id, subject, predicate,
-    object, object_kind, datatype)``; the request id is the file's base name."""
-    df = (spark.read.format("xml").option("rowTag", "rdf:Description").option("inferSchema", False)
-          .option("samplingRatio", 1.0).load(paths))
-    df = df.withColumn(request_col, F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.rdf)?$", 1))
-    return descriptions_to_triples(df, request_col)
+    object, object_kind, datatype)``.
+
+    ``schema``: the description layout (``_rdf:about`` plus one field per
+    predicate); give it for large inputs, otherwise the XML source infers it
+    with a full pass.  ``request_from``: ``"file"`` takes the request id from
+    the file's base name, ``"subject"`` from the subject URI before ``#``.
+    ``recursive`` reads every file under the folders (no partition columns).
+    """
+    reader = spark.read.format("xml").option("rowTag", "rdf:Description")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    if schema is not None:
+        reader = reader.schema(schema)
+    else:
+        reader = reader.option("inferSchema", False).option("samplingRatio", 1.0)
+    df = reader.load(paths)
+    if request_from == "subject":
+        rid = F.regexp_extract(F.substring_index(F.col(_q(ABOUT)), "#", 1), r"([^/]+)$", 1)
+    else:
+        rid = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.rdf)?$", 1)
+    return descriptions_to_triples(df.withColumn(request_col, rid), request_col)
+
+
+def xml_escape(c) -> Column:
+    """Text for an XML element body or attribute value."""
+    c = F.col(c) if isinstance(c, str) else c
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
 
 
 def local_name(uri) -> Column:
     """Fragment of a URI, percent / plus decoded (F12): ``…#Hadoop+2.7.1+%28Centos7%29`` -> ``Hadoop 2.7.1 (Centos7)``."""
     c = F.col(uri) if isinstance(uri, str) else uri
     return F.when(F.instr(c, "#") > 0, F.try_url_decode(F.substring_index(c, "#", -1))).otherwise(c)
+
+
+def write_rdf_documents(descriptions: DataFrame, path: str, n_docs: int, key: Column,
+                        namespaces: dict[str, str]) -> None:
+    """Write ``rdf:Description`` strings (column ``value``) as ``n_docs`` RDF/XML
+    documents, each with exactly one ``rdf:RDF`` root (the XML source needs one
+    root per file).  Rows are hashed to a document by ``key``; header and footer
+    rows are sorted around each document's descriptions in its own task."""
+    spark = descriptions.sparkSession
+    xmlns = " ".join(f'xmlns:{k}="{v}"' for k, v in namespaces.items())
+    body = descriptions.select(F.pmod(F.xxhash64(key), F.lit(n_docs)).cast("int").alias("doc"),
+                               F.lit(1).alias("seq"), F.col("value"))
+    docs = spark.range(n_docs).select(F.col("id").cast("int").alias("doc"))
+    head = docs.select("doc", F.lit(0).alias("seq"), F.lit(f"<rdf:RDF {xmlns}>").alias("value"))
+    foot = docs.select("doc", F.lit(2).alias("seq"), F.lit("</rdf:RDF>").alias("value"))
+    out = (body.unionByName(head).unionByName(foot)
+           .repartition(n_docs, "doc").sortWithinPartitions("doc", "seq").select("doc", "value"))
+    out.write.mode("overwrite").partitionBy("doc").text(path)
