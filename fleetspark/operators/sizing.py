@@ -29,10 +29,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     cores (a single small file is one task), so row-local CPU work runs in
     parallel.  A large input already has more splits than cores and is
     returned unchanged, so no shuffle is added at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    from fleetspark.session import parallelism
+    target = min_partitions or parallelism(df.sparkSession)
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (remote session): leave as is
+        return df
+    return df.repartition(target) if n < target else df
 
 
 def collect_bounded(df: DataFrame, max_rows: int, what: str = "table") -> list:

@@ -10,8 +10,9 @@ from fleetspark.functions.ip import in_cidr, ip_to_num
 from fleetspark.operators.policy import first_match, most_specific_prefix
 from fleetspark.plans.q_policy import ALLOW_CIDR, policies_frame, prefixes_frame, rules_frame
 from fleetspark.plans.q_scan import log_lines_from_events
-from fleetspark.sources.access_log import parse_access_log
 from fleetspark.plans.tables import flows_from_events, table
+from fleetspark.session import parallelism
+from fleetspark.sources.access_log import parse_access_log
 from fleetspark.streaming.deadline import deadline_batch, deadline_stream
 from fleetspark.streaming.sources import read_event_stream, run_available, shared_path, write_table
 
@@ -49,7 +50,7 @@ def deadline_streaming(spark, d):
     starts = ev.where(F.col("event_type") == "signup")
     dones = ev.where(F.col("event_type") == "purchase")
     out = run_available(deadline_stream(starts, dones, ["user_id"], "event_id", "ts", "ts", TIMEOUT_S, WATERMARK),
-                        "deadline", state_partitions=spark.sparkContext.defaultParallelism)
+                        "deadline", state_partitions=parallelism(spark))
     return out.where(F.col("event_id") >= 0).select(
         "user_id", "event_id", F.col("started").cast("timestamp_ntz").alias("started"),
         F.col("done_at").cast("timestamp_ntz").alias("done_at"), "status")
@@ -59,7 +60,7 @@ def stream_policy(spark, d):
     """First-match rule verdicts over the event stream (T2); no state, so every row is emitted."""
     events = table(spark, d, "events")
     s = read_event_stream(spark, d, schema=events.schema, file_glob="events.parquet",
-                          spread_to=spark.sparkContext.defaultParallelism)
+                          spread_to=parallelism(spark))
     verdicts = first_match(flows_from_events(s), rules_frame(spark), policies_frame(spark), strategy="inline")
     return run_available(verdicts.select("flow_id", "verdict", "rule_rank"), "policy")
 
@@ -69,7 +70,7 @@ def stream_enrich(spark, d):
     enrichment (J7, stream-static broadcast joins) as one continuous job (T2)."""
     events = table(spark, d, "events")
     s = read_event_stream(spark, d, schema=events.schema, file_glob="events.parquet",
-                          spread_to=spark.sparkContext.defaultParallelism)
+                          spread_to=parallelism(spark))
     parsed, _rejects = parse_access_log(log_lines_from_events(s))
     pts = parsed.withColumn("ip_num", ip_to_num("remote_addr"))
     enriched = most_specific_prefix(pts, "ip_num", prefixes_frame(spark, d))

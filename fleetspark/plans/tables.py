@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspark.operators.sizing import spread
+
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -24,23 +26,31 @@ PORTS = [22, 80, 443, 8080, 50070]
 _DIMENSIONS = {"region", "nation", "supplier", "customer", "part"}
 
 
-_LOADED: dict[tuple[int, str], DataFrame] = {}
+_LOADED: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
+def _session_key(spark: SparkSession) -> tuple:
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext exposed
+        app = None
+    return app, id(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; a scan with fewer splits than cores is spread (see
-    ``sizing.spread``).  The resolved scan is reused within a session, so the
-    parquet footers and file listing are read once."""
+    ``sizing.spread``).  The resolved scan is reused within one session and
+    application, so the parquet footers and file listing are read once."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    if key not in _LOADED:
-        df = spark.read.parquet(path)
-        if name not in _DIMENSIONS:
-            cores = spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
-        _LOADED[key] = df
-    return _LOADED[key]
+    key = (*_session_key(spark), path)
+    hit = _LOADED.get(key)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = spark.read.parquet(path)
+    if name not in _DIMENSIONS:
+        df = spread(df)
+    _LOADED[key] = (spark, df)  # the session is kept referenced, so its id is not reused
+    return df
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:

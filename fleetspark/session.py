@@ -62,3 +62,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Total task slots of the cluster (``defaultParallelism``), falling back to
+    the shuffle partition setting where no SparkContext is exposed."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - e.g. a remote session
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
