@@ -18,6 +18,9 @@ PLACEHOLDER = r"<([A-Z_]+)>"
 # Passwords the fleet scripts ship with and flag as to be changed.
 WELL_KNOWN_SECRETS = ["secret", "soadmin", "zebra", "please-set-at-here"]
 SECRET_KEY_PATTERN = "(?i)(pass|secret|token)"
+# Fixed value: the routing daemon that keeps its priority (every other enabled
+# daemon is moved one step later so it starts first).
+PRIORITY_ANCHOR_DAEMON = "zebra"
 
 
 def fill_placeholders(text, params: Sequence[tuple[str, str]] | Mapping[str, str],
@@ -61,7 +64,7 @@ def default_secret_audit(config: DataFrame, key_col: str = "key", value_col: str
                   .withColumn("is_default", v.isin(list(known))))
 
 
-def normalize_priority(name, value, special: str = "zebra") -> Column:
+def normalize_priority(name, value, special: str = PRIORITY_ANCHOR_DAEMON) -> Column:
     """``convert_daemon_prios``: no/empty -> 0, yes/true -> 1, every enabled
     daemon except ``special`` +1; anything non-numeric is never scheduled (null)."""
     n = F.col(name) if isinstance(name, str) else name

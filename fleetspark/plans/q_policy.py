@@ -132,14 +132,14 @@ def role_map(spark, d):
     role = (F.when(F.col("c_mktsegment") == "BUILDING", F.lit("NameNode"))
             .when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("ResourceManager"))
             .when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit("Workers/"), F.col("c_custkey").cast("string")))
-            .when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("AccumuloMaster"))
+            .when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("MonitorMaster"))
             .otherwise(F.concat(F.lit("MyWorkers"), F.col("c_custkey").cast("string"))))
     c = c.select("c_custkey", role.alias("role"))
     port = first_true([
         (F.col("role") == "NameNode", 50070),
         (F.col("role") == "ResourceManager", 8088),
         (matches_glob("role", "Workers*"), F.lit(None).cast("int")),
-        (F.col("role") == "AccumuloMaster", 9995),
+        (F.col("role") == "MonitorMaster", 9995),
     ])
     return c.select("c_custkey", "role", port.cast("int").alias("port"),
                     matches_glob("role", "Workers*").alias("is_worker"))
@@ -243,11 +243,11 @@ FROM lineitem
 """,
     "role_map": """
 WITH c AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'NameNode' WHEN 'AUTOMOBILE' THEN 'ResourceManager'
-             WHEN 'MACHINERY' THEN 'Workers/' || CAST(c_custkey AS VARCHAR) WHEN 'HOUSEHOLD' THEN 'AccumuloMaster'
+             WHEN 'MACHINERY' THEN 'Workers/' || CAST(c_custkey AS VARCHAR) WHEN 'HOUSEHOLD' THEN 'MonitorMaster'
              ELSE 'MyWorkers' || CAST(c_custkey AS VARCHAR) END AS role FROM customer)
 SELECT c_custkey, role,
        CAST(CASE WHEN role = 'NameNode' THEN 50070 WHEN role = 'ResourceManager' THEN 8088
-                 WHEN role LIKE 'Workers%' THEN NULL WHEN role = 'AccumuloMaster' THEN 9995 END AS INTEGER) AS port,
+                 WHEN role LIKE 'Workers%' THEN NULL WHEN role = 'MonitorMaster' THEN 9995 END AS INTEGER) AS port,
        role LIKE 'Workers%' AS is_worker
 FROM c
 """,

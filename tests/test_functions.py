@@ -44,7 +44,7 @@ def test_addressed_replace_first_only(spark):
 
 
 def test_capture_groups(spark):
-    assert one(spark, text.capture_replace(F.col("s"), "^(RYU_APP=.*)", r"#\1"), "RYU_APP=x") == "#RYU_APP=x"
+    assert one(spark, text.capture_replace(F.col("s"), "^(APP_MODULE=.*)", r"#\1"), "APP_MODULE=x") == "#APP_MODULE=x"
     assert one(spark, text.capture_replace(F.col("s"), '(^.*&& INTERNET=)"UP"', r'\1"DOWN"', global_=True),
                'a && INTERNET="UP"') == 'a && INTERNET="DOWN"'
     with pytest.raises(ValueError):
