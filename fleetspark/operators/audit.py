@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspark.operators.ranking import distributed_row_number
+
 PLACEHOLDER = r"<([A-Z_]+)>"
 
 # Passwords the fleet scripts ship with and flag as to be changed.
@@ -75,15 +77,24 @@ def normalize_priority(name, value, special: str = PRIORITY_ANCHOR_DAEMON) -> Co
     return F.when((n != special) & (base > 0), base + 1).otherwise(base)
 
 
+def _sequence(df: DataFrame, host_col: str, order: list, seq_col: str, skew_safe: bool) -> DataFrame:
+    if skew_safe:
+        return distributed_row_number(df, [host_col], order, seq_col)
+    return df.withColumn(seq_col, F.row_number().over(Window.partitionBy(host_col).orderBy(*order)))
+
+
 def start_order(daemons: DataFrame, host_col: str, name_col: str, pos_col: str, prio_col: str,
-                wanted: int = 10, seq_col: str = "start_seq") -> DataFrame:
-    """``start_prio N``: priorities 1..N ascending, ties in list order (O1)."""
-    w = Window.partitionBy(host_col).orderBy(F.col(prio_col), F.col(pos_col), F.col(name_col))
-    return daemons.where(F.col(prio_col).between(1, wanted)).withColumn(seq_col, F.row_number().over(w))
+                wanted: int = 10, seq_col: str = "start_seq", skew_safe: bool = True) -> DataFrame:
+    """``start_prio N``: priorities 1..N ascending, ties in list order (O1).
+
+    ``skew_safe`` numbers the sequence with :func:`distributed_row_number`, so a
+    host with a huge table is not one task; ``False`` uses a plain window."""
+    order = [F.col(prio_col), F.col(pos_col), F.col(name_col)]
+    return _sequence(daemons.where(F.col(prio_col).between(1, wanted)), host_col, order, seq_col, skew_safe)
 
 
 def stop_order(daemons: DataFrame, host_col: str, name_col: str, pos_col: str, prio_col: str,
-               wanted: int = 0, seq_col: str = "stop_seq") -> DataFrame:
+               wanted: int = 0, seq_col: str = "stop_seq", skew_safe: bool = True) -> DataFrame:
     """``stop_prio N``: priorities 10 down to N, ties in list order (O2); N=0 includes disabled."""
-    w = Window.partitionBy(host_col).orderBy(F.col(prio_col).desc(), F.col(pos_col), F.col(name_col))
-    return daemons.where(F.col(prio_col).between(wanted, 10)).withColumn(seq_col, F.row_number().over(w))
+    order = [F.col(prio_col).desc(), F.col(pos_col), F.col(name_col)]
+    return _sequence(daemons.where(F.col(prio_col).between(wanted, 10)), host_col, order, seq_col, skew_safe)
