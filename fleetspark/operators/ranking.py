@@ -14,8 +14,9 @@ core.  ``distributed_row_number`` gives the same numbers without that:
    partitions rows); a running sum over each group's chunks gives the offset
    of every chunk, joined back by (group, partition).
 
-``ordered_list_chunks`` uses the same chunks for A2: one string per
-(group, chunk), bounded by the partition size, numbered in order.
+``distributed_running_sum`` uses the same chunks for running totals (W4), and
+``ordered_list_chunks`` for A2: one string per (group, chunk), bounded by the
+partition size, numbered in order.
 """
 
 from __future__ import annotations
@@ -56,6 +57,22 @@ def distributed_row_number(df: DataFrame, group_cols: Sequence[str], order_cols:
     return out.withColumn(out_col, rn).drop("_pid", "_mid", "_first", "_off")
 
 
+def distributed_running_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, value_col: str,
+                            out_col: str = "running", n_partitions: int | None = None) -> DataFrame:
+    """``sum(value) OVER (PARTITION BY g ORDER BY o ROWS UNBOUNDED PRECEDING)``
+    without a group in one task: a running sum inside each (group, range
+    partition) chunk plus the total of the group's earlier chunks.
+    ``order_cols`` must make the order total."""
+    s, _ = _chunked(df, group_cols, order_cols, n_partitions)
+    totals = s.groupBy(*group_cols, "_pid").agg(F.sum(value_col).alias("_t"))
+    wo = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(wo), F.lit(0))).drop("_t")
+    wi = Window.partitionBy(*group_cols, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    inner = s.withColumn("_in", F.sum(value_col).over(wi))
+    out = inner.join(offsets, [*group_cols, "_pid"], "inner")
+    return out.withColumn(out_col, F.col("_off") + F.col("_in")).drop("_pid", "_mid", "_off", "_in")
+
+
 def ordered_list_chunks(df: DataFrame, group_cols: Sequence[str], value: Column, order: Sequence,
                         sep: str = ",", out_col: str = "members", chunk_col: str = "chunk",
                         n_partitions: int | None = None) -> DataFrame:

@@ -3,10 +3,9 @@
 
 Scale notes
 * W4 needs a running sum per host in time order.  A window over a host holding
-  a third of the data would be one task, so the sum is split in two: totals per
-  (host, day) bucket (partial aggregation) give each bucket's offset from the
-  small bucket table, and the running sum inside a bucket is a window
-  partitioned by (host, bucket).
+  a third of the data would be one task, so the sum is split over the chunks
+  of a range-partitioned sort: a running sum inside each (host, partition)
+  chunk plus the totals of the host's earlier chunks (a small table).
 * F23 aggregates to (host, week) first; ranking happens on that small table.
 """
 
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.functions.timefx import within_days
+from fleetspark.operators.ranking import distributed_running_sum
 
 
 def age_filter(df: DataFrame, ts_col: str, asof, keep_days: int = 10, repair_days: int = 7,
@@ -26,18 +26,14 @@ def age_filter(df: DataFrame, ts_col: str, asof, keep_days: int = 10, repair_day
 
 
 def newest_within_budget(df: DataFrame, host_col: str, ts_col: str, bytes_col: str, budget: int,
-                         tie_col: str, bucket: str = "day", cum_col: str = "cum_bytes") -> DataFrame:
+                         tie_col: str, cum_col: str = "cum_bytes", n_partitions: int | None = None) -> DataFrame:
     """Rows kept when walking each host's records newest first until the byte
-    budget is exceeded (W4).  ``tie_col`` makes the order total."""
-    b = df.withColumn("_bk", F.date_trunc(bucket, F.col(ts_col)))
-    totals = b.groupBy(host_col, "_bk").agg(F.sum(bytes_col).alias("_bt"))
-    wb = Window.partitionBy(host_col).orderBy(F.col("_bk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(wb), F.lit(0))).drop("_bt")
-    wi = (Window.partitionBy(host_col, "_bk").orderBy(F.col(ts_col).desc(), F.col(tie_col).desc())
-          .rowsBetween(Window.unboundedPreceding, 0))
-    inner = b.withColumn("_in", F.sum(bytes_col).over(wi))
-    out = inner.join(offsets, [host_col, "_bk"], "inner").withColumn(cum_col, F.col("_off") + F.col("_in"))
-    return out.where(F.col(cum_col) <= budget).drop("_bk", "_off", "_in")
+    budget is exceeded (W4).  ``tie_col`` makes the order total.  The running
+    total is :func:`~fleetspark.operators.ranking.distributed_running_sum`, so a
+    host with a third of all records is spread over many tasks."""
+    order = [F.col(ts_col).desc(), F.col(tie_col).desc()]
+    out = distributed_running_sum(df, [host_col], order, bytes_col, cum_col, n_partitions)
+    return out.where(F.col(cum_col) <= budget)
 
 
 def weekly_rotation(df: DataFrame, host_col: str, ts_col: str, bytes_col: str, keep: int = 4,
