@@ -21,13 +21,11 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.functions.ip import network_key
-from fleetspark.operators.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, collect_bounded, has_at_most
+from fleetspark.operators.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, collect_bounded
 
 RULE_MATCH_COLUMNS = ("iface", "proto", "dst_lo", "dst_hi", "dport", "state", "tcp_flags", "syn")
 

@@ -3,7 +3,6 @@ W5), XML property lists (S3), blocks (S7), file-name globs (P8)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetspark.functions.ip import num_to_ip

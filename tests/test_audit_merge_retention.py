@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from fleetspark.operators.audit import (default_secret_audit, fill_placeholders, normalize_priority, start_order,
                                         stop_order, unresolved_placeholders)
 from fleetspark.operators.merge import force_merge, newer_wins

@@ -5,7 +5,6 @@ import datetime as dt
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from fleetspark.functions.text import replace_first
 from fleetspark.operators.lines import edit_after_match, to_lines

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from fleetspark.operators.leases import bounded_allocation, keep_per_match, lookup_last, map_from_rows, nth_rows
 from tests.conftest import rows
 
@@ -51,8 +49,7 @@ def test_json_listings_scan(spark, tmp_path):
     import json
 
     from fleetspark.functions.jsonx import decode_inner
-    from fleetspark.sources.listings import (ALLOCATIONS_SCHEMA, HOSTS_SCHEMA, LEASE_SCHEMA, host_map,
-                                             read_listing)
+    from fleetspark.sources.listings import ALLOCATIONS_SCHEMA, HOSTS_SCHEMA, host_map, read_listing
     (tmp_path / "hosts.json").write_text(json.dumps([
         {"id": "1", "hypervisor_hostname": "c01", "node_type": "compute_haswell"},
         {"id": "2", "hypervisor_hostname": "c02", "node_type": "compute_skylake"},

@@ -1,9 +1,7 @@
-from pyspark.sql import functions as F
-
 from fleetspark.functions.text import replace_first
 from fleetspark.operators.lines import edit_after_match, line_drift, second_last, to_lines
 from fleetspark.sources.access_log import parse_access_log
-from fleetspark.sources.kv import blocks, last_wins_config, parse_kv_lines, read_kv, xml_properties
+from fleetspark.sources.kv import blocks, last_wins_config, read_kv, xml_properties
 from tests.conftest import rows
 
 

@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from fleetspark.operators.policy import first_match
 from fleetspark.plans.q_policy import policies_frame, rules_frame
 from fleetspark.streaming.deadline import deadline_batch, deadline_stream
