@@ -129,3 +129,13 @@ def write_rdf_documents(descriptions: DataFrame, path: str, n_docs: int, key: Co
     out = (body.unionByName(head).unionByName(foot)
            .repartition(n_docs, "doc").sortWithinPartitions("doc", "seq").select("doc", "value"))
     out.write.mode("overwrite").partitionBy("doc").text(path)
+
+
+def local_triples(triples: DataFrame) -> DataFrame:
+    """Triples with local names: subject and URI objects reduced to their
+    decoded fragment (F12), predicates to the part after the prefix
+    (``topology:hasInterface`` -> ``hasInterface``)."""
+    obj = F.when(F.col("object_kind") == "uri", local_name(F.col("object"))).otherwise(F.col("object"))
+    return triples.select("request_id", local_name(F.col("subject")).alias("subject"),
+                          F.substring_index(F.col("predicate"), ":", -1).alias("predicate"),
+                          obj.alias("object"), "object_kind", "datatype")
