@@ -57,21 +57,21 @@ def bounded_alloc(spark, d):
 
 def double_json(spark, d):
     """A JSON field holding JSON text, decoded twice."""
-    e = table(spark, d, "events")
+    e = table(spark, d, "events", spread_rows=True)
     payload = F.to_json(F.struct(F.col("props").alias("reservations")))
     return e.select("event_id", decode_inner(payload, "$.reservations", "k bigint")["k"].alias("k"))
 
 
 def map_lookup(spark, d):
     """Per order: map return flag -> part (last line wins, A3), looked up for 'R' (F15)."""
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem", spread_rows=True)  # sort-based dedupe: spread the CPU work
     m = map_from_rows(li, ["l_orderkey"], "l_returnflag", "l_partkey", "l_linenumber")
     return m.select("l_orderkey", map_get("m", "R").alias("r_partkey"), F.size("m").alias("n_keys"))
 
 
 def prop_predicate(spark, d):
     """Prefix predicate with a nested path into parsed properties."""
-    e = table(spark, d, "events").withColumn("props", F.from_json("props", "map<string,string>"))
+    e = table(spark, d, "events", spread_rows=True).withColumn("props", F.from_json("props", "map<string,string>"))
     return e.where(compile_predicate(PROP_PREDICATE, e)).select("event_id", "user_id", "ts")
 
 

@@ -14,7 +14,7 @@ from fleetspark.sources.kv import blocks, last_wins_config, parse_kv_lines, xml_
 
 
 def _log_lines(spark, d):
-    return log_lines_from_events(table(spark, d, "events"))
+    return log_lines_from_events(table(spark, d, "events", spread_rows=True))
 
 
 def log_lines_from_events(e):

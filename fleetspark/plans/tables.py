@@ -21,9 +21,11 @@ BASE_ADDRESS = 2886729728  # 172.16.0.0
 PORTS = [22, 80, 443, 8080, 50070]
 
 
-# Dimension tables are never spread: where they arrive as one split they are
-# small, and their consumers are joins, not per-row CPU work.
-_DIMENSIONS = {"region", "nation", "supplier", "customer", "part"}
+# Text tables are spread by default: every query on them does per-row regex or
+# split work.  Other tables are spread only when a query asks (its per-row work
+# is heavy); for light projections an extra round-robin shuffle costs more than
+# it saves.
+_TEXT_TABLES = {"documents", "pages"}
 
 
 _LOADED: dict[tuple, tuple[SparkSession, DataFrame]] = {}
@@ -37,17 +39,19 @@ def _session_key(spark: SparkSession) -> tuple:
     return app, id(spark)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; a scan with fewer splits than cores is spread (see
-    ``sizing.spread``).  The resolved scan is reused within one session and
-    application, so the parquet footers and file listing are read once."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool | None = None) -> DataFrame:
+    """A driver table.  With ``spread_rows`` (default: text tables only) a scan
+    with fewer splits than cores is spread (see ``sizing.spread``).  The
+    resolved scan is reused within one session and application, so the
+    parquet footers and file listing are read once."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (*_session_key(spark), path)
+    want = (name in _TEXT_TABLES) if spread_rows is None else spread_rows
+    key = (*_session_key(spark), path, want)
     hit = _LOADED.get(key)
     if hit is not None and hit[0] is spark:
         return hit[1]
     df = spark.read.parquet(path)
-    if name not in _DIMENSIONS:
+    if want:
         df = spread(df)
     _LOADED[key] = (spark, df)  # the session is kept referenced, so its id is not reused
     return df
