@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.functions.ip import ip_to_num, num_to_ip
+from fleetspark.functions.ranges import number_range
 
 Pattern = tuple[str, str, str]
 
@@ -91,13 +92,14 @@ def node_link_ips(triples: DataFrame, request_col: str = "request_id") -> DataFr
 
 
 def expand_groups(groups: DataFrame, group_col: str, count_col: str, base_ip_col: str,
-                  idx_col: str = "member_idx", member_col: str = "member") -> DataFrame:
+                  idx_col: str = "member_idx", member_col: str = "member", stride: int = 1) -> DataFrame:
     """``#foreach ($j in [0..$size-1])``: one row per member with its index and
-    address base + index (G1, G3)."""
+    address base + index * stride (G1, G3).  Contiguous addresses
+    (``stride=1``) are an inference from the requests, so it is a parameter."""
     n = F.col(count_col).cast("int")
-    return (groups.withColumn(idx_col, F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    return (groups.withColumn(idx_col, F.explode(number_range(0, n - 1)))
             .withColumn(member_col, F.concat(F.col(group_col), F.lit("/"), F.col(idx_col).cast("string")))
-            .withColumn("ip_num", ip_to_num(base_ip_col) + F.col(idx_col))
+            .withColumn("ip_num", ip_to_num(base_ip_col) + F.col(idx_col) * F.lit(stride))
             .withColumn("ip", num_to_ip("ip_num")))
 
 

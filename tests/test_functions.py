@@ -98,3 +98,10 @@ def test_glob_first_true_band(spark):
     assert got["NameNode"] == 50070 and got["Other"] is None and got["Workers/0"] == 0
     b = spark.createDataFrame([(79,), (80,), (90,), (None,)], "p int")
     assert [r[0] for r in b.select(predicate.threshold_band("p")).collect()] == ["ok", "warn", "critical", None]
+
+
+def test_number_range_like_seq(spark):
+    from fleetspark.functions.ranges import number_range
+    r = spark.range(1).select(number_range(1, 3).alias("a"), number_range(10, 8, -1).alias("b"),
+                              number_range(1, 0).alias("c"), number_range(10, 11, -1).alias("d")).first()
+    assert (r["a"], r["b"], r["c"], r["d"]) == ([1, 2, 3], [10, 9, 8], [], [])

@@ -63,6 +63,10 @@ def test_group_expand_and_overlap(spark):
     owners = ex.select("request_id", "ip_num", F.col("g").alias("owner")).unionByName(single)
     out = address_conflicts(owners)
     assert rows(out, "ip", "n_owners") == [("192.168.1.4", 2)]
+    wide = expand_groups(g, "g", "n", "base", stride=2)
+    assert rows(wide, "ip") == [("192.168.1.2",), ("192.168.1.4",), ("192.168.1.6",)]
+    empty = spark.createDataFrame([("r", "none", 0, "10.0.0.1")], "request_id string, g string, n int, base string")
+    assert expand_groups(empty, "g", "n", "base").count() == 0
 
 
 def test_full_mesh_and_link_pair_counts(spark):
