@@ -5,10 +5,11 @@ Batch form: an equi-join on (key, time bucket) with the exact window as the
 residual condition, so a key with very many events is not a per-key range
 join; the first completion per start is a ``min`` (partial aggregation).
 
-Stream form: a stream-stream left outer join with watermarks on both sides and
-the same time-range condition; the unmatched (timeout) rows are emitted once
-the watermark passes ``start + timeout``.  A final ``groupBy`` on the start
-(event time included) keeps the first completion.
+Stream form: a stream-stream left outer join with watermarks on both sides,
+the same (key, bucket) equality and time-range condition; the unmatched
+(timeout) rows are emitted once the watermark passes ``start + timeout``.  A
+final ``groupBy`` on the start (event time included) keeps the first
+completion and folds the two bucket rows of a start together.
 """
 
 from __future__ import annotations
@@ -48,13 +49,18 @@ def deadline_stream(starts: DataFrame, dones: DataFrame, key_cols: Sequence[str]
                     start_ts: str, done_ts: str, timeout_s: int = 120,
                     watermark: str = "10 minutes") -> DataFrame:
     """Streaming twin of :func:`deadline_batch` (append mode)."""
-    s = starts.select(*key_cols, start_id, F.col(start_ts).cast("timestamp").alias("started")) \
-        .withWatermark("started", watermark)
+    s = starts.select(*key_cols, start_id, F.col(start_ts).cast("timestamp").alias("started"))
+    b0 = _bucket(F.col("started"), timeout_s)
+    s = s.withColumn("_b", F.explode(F.array(b0, b0 + 1))).withWatermark("started", watermark)
     d = dones.select(*[F.col(k).alias(f"_d_{k}") for k in key_cols],
-                     F.col(done_ts).cast("timestamp").alias("_done")).withWatermark("_done", watermark)
+                     F.col(done_ts).cast("timestamp").alias("_done"))
+    d = d.withColumn("_db", _bucket(F.col("_done"), timeout_s)).withWatermark("_done", watermark)
     cond = F.col("_done").between(F.col("started"), F.col("started") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS"))
+    cond = cond & (F.col("_b") == F.col("_db"))
     for k in key_cols:
         cond = cond & (F.col(k) == F.col(f"_d_{k}"))
+    # state is keyed by (key, time bucket), so a hot key spreads over buckets;
+    # the two rows of a start (one per candidate bucket) meet again in the min
     j = s.join(d, cond, "leftOuter")
     out = j.groupBy(*key_cols, start_id, "started").agg(F.min("_done").alias("done_at"))
     return out.withColumn("status", F.when(F.col("done_at").isNotNull(), "done").otherwise("timeout"))

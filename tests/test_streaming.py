@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from fleetspark.operators.policy import first_match
 from fleetspark.plans.q_policy import policies_frame, rules_frame
 from fleetspark.streaming.deadline import deadline_batch, deadline_stream
@@ -55,3 +57,24 @@ def test_sink_overwrite_and_append(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     write_table(df, path, mode="append")
     assert spark.read.parquet(path).count() == 6  # append keeps duplicates
+
+
+def test_deadline_stream_equals_batch_on_random_events(spark, tmp_path):
+    import random
+    rnd = random.Random(7)
+    data = []
+    for i in range(300):
+        user = f"u{rnd.randrange(3)}"  # three users, so every key is hot
+        data.append((user, rnd.choice(["start", "done"]), T0 + dt.timedelta(seconds=rnd.randrange(3600)),
+                     f"s{i}"))
+    data += [("zz", "start", T0 + dt.timedelta(days=1), "close"), ("zz", "done", T0 + dt.timedelta(days=1), None)]
+    e = spark.createDataFrame(data, EV)
+    batch = deadline_batch(e.where("kind = 'start'"), e.where("kind = 'done'"), ["user"], "sid", "ts", "ts", 120)
+    write_table(e, str(tmp_path / "ev"))
+    s = read_event_stream(spark, str(tmp_path / "ev"), schema=e.schema)
+    out = run_available(deadline_stream(s.where("kind = 'start'"), s.where("kind = 'done'"), ["user"], "sid", "ts",
+                                        "ts", 120, "10 minutes"), "t1random")
+    key = ("sid", "status")
+    assert rows(out.where("sid <> 'close'"), *key) == rows(batch.where("sid <> 'close'"), *key)
+    assert rows(out.where("sid <> 'close'").select("sid", F.col("done_at").cast("timestamp_ntz"))) == \
+        rows(batch.where("sid <> 'close'").select("sid", "done_at"))
