@@ -201,14 +201,20 @@ def most_specific_prefix(points: DataFrame, ip_col: str, prefixes: DataFrame,
 
 # --------------------------------------------------------------------------- P10
 def range_membership(points: DataFrame, ip_col: str, ranges: DataFrame, name_col: str = "network",
-                     lo_col: str = "lo", hi_col: str = "hi", bucket_bits: int = 8,
+                     lo_col: str = "lo", hi_col: str = "hi", bucket_bits: int | None = None,
+                     max_buckets_per_range: int = 64,
                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Left join of each address to every range containing it, both ends included (P10).
 
     Ranges are expanded into the aligned ``2^bucket_bits`` buckets they cover and
     equi-joined on the bucket; the exact test is the residual ``between``.
+    Without ``bucket_bits`` the width comes from the widest range (one small
+    aggregate), so no range expands to more than ``max_buckets_per_range`` rows.
     """
     r = ranges.select(F.col(name_col).alias("_rn"), F.col(lo_col).alias("_lo"), F.col(hi_col).alias("_hi"))
+    if bucket_bits is None:
+        widest = r.agg(F.max(F.col("_hi") - F.col("_lo") + 1).alias("w")).first()["w"] or 1
+        bucket_bits = max(8, (int(widest) // max_buckets_per_range).bit_length())
     r = r.withColumn("_rbk", F.explode(F.sequence(F.shiftright("_lo", bucket_bits), F.shiftright("_hi", bucket_bits))))
     r, _ = broadcast_if_small(r, max_broadcast_rows)
     pts = points.withColumn("_pbk", F.shiftright(F.col(ip_col), bucket_bits))

@@ -52,6 +52,11 @@ def test_range_membership_both_ends(spark):
     out = range_membership(pts, "n", pools)
     assert rows(out, "s", "network") == [("192.168.200.51", "pool"), ("192.168.200.90", "pool"),
                                          ("192.168.200.91", None)]
+    # a /8-wide range next to a narrow one: the bucket width adapts, answers do not change
+    wide = pools.unionByName(spark.createDataFrame([("ten", 10 << 24, (11 << 24) - 1)], "network string, lo bigint, hi bigint"))
+    pts2 = pts.unionByName(spark.createDataFrame([("10.1.2.3", (10 << 24) + 66051)], "s string, n bigint"))
+    got = rows(range_membership(pts2, "n", wide), "s", "network")
+    assert ("10.1.2.3", "ten") in got and ("192.168.200.91", None) in got and len(got) == 4
 
 
 def test_most_specific_prefix(spark):
