@@ -89,3 +89,38 @@ def ordered_list_chunks(df: DataFrame, group_cols: Sequence[str], value: Column,
                                  lambda x: x["_v"]), sep).alias(out_col))
     w = Window.partitionBy(*group_cols).orderBy("_pid")
     return per.withColumn(chunk_col, (F.row_number().over(w) - 1).cast("int")).drop("_pid")
+
+
+# A group up to this many rows is ordered comfortably by one task.
+DEFAULT_MAX_GROUP_ROWS = 1_000_000
+
+
+def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Row count of the biggest group (one partially-aggregated job, one number back)."""
+    row = df.groupBy(*group_cols).count().agg(F.max("count").alias("m")).first()
+    return int(row["m"] or 0)
+
+
+def row_number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, out_col: str = "rn",
+                      skew_safe: bool | str = "auto", max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+    """``row_number()`` per group: a plain window when every group is provably
+    small, else :func:`distributed_row_number`.  ``skew_safe`` forces either."""
+    if skew_safe == "auto":
+        skew_safe = largest_group(df, group_cols) > max_group_rows
+    if skew_safe:
+        return distributed_row_number(df, group_cols, order_cols, out_col)
+    w = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols))
+    return df.withColumn(out_col, F.row_number().over(w))
+
+
+def running_sum_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, value_col: str,
+                       out_col: str = "running", skew_safe: bool | str = "auto",
+                       max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+    """Running sum per group in order: a plain window when every group is
+    provably small, else :func:`distributed_running_sum`."""
+    if skew_safe == "auto":
+        skew_safe = largest_group(df, group_cols) > max_group_rows
+    if skew_safe:
+        return distributed_running_sum(df, group_cols, order_cols, value_col, out_col)
+    w = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out_col, F.sum(value_col).over(w))

@@ -3,9 +3,10 @@
 
 Scale notes
 * W4 needs a running sum per host in time order.  A window over a host holding
-  a third of the data would be one task, so the sum is split over the chunks
-  of a range-partitioned sort: a running sum inside each (host, partition)
-  chunk plus the totals of the host's earlier chunks (a small table).
+  a third of the data would be one task; when the largest host is above the
+  bound the sum is split over the chunks of a range-partitioned sort: a
+  running sum inside each (host, partition) chunk plus the totals of the
+  host's earlier chunks (a small table).
 * F23 aggregates to (host, week) first; ranking happens on that small table.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.functions.timefx import within_days
-from fleetspark.operators.ranking import distributed_running_sum
+from fleetspark.operators.ranking import running_sum_within
 
 
 def age_filter(df: DataFrame, ts_col: str, asof, keep_days: int = 10, repair_days: int = 7,
@@ -26,13 +27,14 @@ def age_filter(df: DataFrame, ts_col: str, asof, keep_days: int = 10, repair_day
 
 
 def newest_within_budget(df: DataFrame, host_col: str, ts_col: str, bytes_col: str, budget: int,
-                         tie_col: str, cum_col: str = "cum_bytes", n_partitions: int | None = None) -> DataFrame:
+                         tie_col: str, cum_col: str = "cum_bytes", skew_safe: bool | str = "auto") -> DataFrame:
     """Rows kept when walking each host's records newest first until the byte
     budget is exceeded (W4).  ``tie_col`` makes the order total.  The running
-    total is :func:`~fleetspark.operators.ranking.distributed_running_sum`, so a
-    host with a third of all records is spread over many tasks."""
+    total is :func:`~fleetspark.operators.ranking.running_sum_within`: a plain
+    window while every host is provably small, else the distributed running sum
+    that spreads a host holding a third of all records over many tasks."""
     order = [F.col(ts_col).desc(), F.col(tie_col).desc()]
-    out = distributed_running_sum(df, [host_col], order, bytes_col, cum_col, n_partitions)
+    out = running_sum_within(df, [host_col], order, bytes_col, cum_col, skew_safe=skew_safe)
     return out.where(F.col(cum_col) <= budget)
 
 

@@ -14,13 +14,15 @@ def daemons(spark):
 
 
 def test_start_order_priority_ten_never_starts(spark):
-    out = start_order(daemons(spark), "host", "daemon", "pos", "prio", wanted=10)
-    assert rows(out, "start_seq", "daemon", "prio") == [(1, "zebra", 1), (2, "bgpd", 2)]
+    for mode in ("auto", True, False):
+        out = start_order(daemons(spark), "host", "daemon", "pos", "prio", wanted=10, skew_safe=mode)
+        assert rows(out, "start_seq", "daemon", "prio") == [(1, "zebra", 1), (2, "bgpd", 2)]
 
 
 def test_stop_order_zero_includes_disabled(spark):
-    out = stop_order(daemons(spark), "host", "daemon", "pos", "prio", wanted=0)
-    assert rows(out, "stop_seq", "daemon") == [(1, "bgpd"), (2, "zebra"), (3, "ripd")]
+    for mode in ("auto", True, False):
+        out = stop_order(daemons(spark), "host", "daemon", "pos", "prio", wanted=0, skew_safe=mode)
+        assert rows(out, "stop_seq", "daemon") == [(1, "bgpd"), (2, "zebra"), (3, "ripd")]
 
 
 def test_placeholder_fill_then_audit(spark):
@@ -62,8 +64,9 @@ def test_byte_budget_newest_first(spark):
     base = dt.datetime(2024, 1, 10, 12)
     logs = spark.createDataFrame([("h", i, base - dt.timedelta(hours=i), 40) for i in range(3)],
                                  "host string, id int, ts timestamp_ntz, bytes bigint")
-    out = newest_within_budget(logs, "host", "ts", "bytes", 100, tie_col="id")
-    assert rows(out, "id", "cum_bytes") == [(0, 40), (1, 80)]
+    for mode in ("auto", True, False):
+        out = newest_within_budget(logs, "host", "ts", "bytes", 100, tie_col="id", skew_safe=mode)
+        assert rows(out, "id", "cum_bytes") == [(0, 40), (1, 80)]
 
 
 def test_weekly_rotation_keeps_newest_big_weeks(spark):
