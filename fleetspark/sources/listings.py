@@ -19,14 +19,34 @@ ALLOCATIONS_SCHEMA = "resource_id string, reservations array<struct<id:string,le
 LEASE_SCHEMA = "id string, name string, reservations string, start_date string, end_date string"
 
 
-def read_listing(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
+def read_listing(spark: SparkSession, paths: str | Sequence[str], schema: str,
+                 recursive: bool = False) -> DataFrame:
     """Rows of JSON-array listing files, with the file and the element's position
-    in it (``ord``) so "last duplicate wins" has an explicit order."""
-    raw = spark.read.text(paths, wholetext=True).select(
-        F.input_file_name().alias("file"), F.col("value").alias("js"))
+    in it (``ord``) so "last duplicate wins" has an explicit order.  ``null``
+    elements are skipped.  Each listing file is one row while it is parsed, as a
+    CLI listing is; many files are spread over tasks."""
+    reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
+    raw = reader.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("js"))
     elems = raw.select("file", F.posexplode(F.from_json("js", f"array<struct<{_struct_fields(schema)}>>")).alias(
         "ord", "e"))
-    return elems.select("file", "ord", "e.*")
+    return elems.where(F.col("e").isNotNull()).select("file", "ord", "e.*")
+
+
+def write_listing_documents(objects: DataFrame, path: str, n_docs: int, key) -> None:
+    """Write JSON objects (column ``value``) as ``n_docs`` JSON-array files.
+
+    Elements are hashed to a file by ``key`` and written in parallel, so no
+    element knows it is the last: each is followed by a comma and a ``null``
+    closes the array (``read_listing`` skips nulls)."""
+    spark = objects.sparkSession
+    body = objects.select(F.pmod(F.xxhash64(key), F.lit(n_docs)).cast("int").alias("doc"), F.lit(1).alias("seq"),
+                          F.concat(F.col("value"), F.lit(",")).alias("value"))
+    docs = spark.range(n_docs).select(F.col("id").cast("int").alias("doc"))
+    head = docs.select("doc", F.lit(0).alias("seq"), F.lit("[").alias("value"))
+    foot = docs.select("doc", F.lit(2).alias("seq"), F.lit("null]").alias("value"))
+    out = (body.unionByName(head).unionByName(foot)
+           .repartition(n_docs, "doc").sortWithinPartitions("doc", "seq").select("doc", "value"))
+    out.write.mode("overwrite").partitionBy("doc").text(path)
 
 
 def _struct_fields(ddl: str) -> str:
