@@ -78,3 +78,21 @@ def test_deadline_stream_equals_batch_on_random_events(spark, tmp_path):
     assert rows(out.where("sid <> 'close'"), *key) == rows(batch.where("sid <> 'close'"), *key)
     assert rows(out.where("sid <> 'close'").select("sid", F.col("done_at").cast("timestamp_ntz"))) == \
         rows(batch.where("sid <> 'close'").select("sid", "done_at"))
+
+
+def test_kafka_source_is_gated_without_connector(spark):
+    import pytest
+    try:
+        read_event_stream(spark, fmt="kafka", bootstrap="localhost:9092", topic="events")
+    except RuntimeError as exc:
+        assert "connector" in str(exc)
+    else:  # the connector is on the classpath: nothing to gate
+        pytest.skip("Kafka connector present")
+
+
+def test_cut_lineage_uses_shared_checkpoint_dir(spark):
+    from fleetspark.session import checkpoint_dir, cut_lineage
+    df = spark.range(100).withColumn("x", F.col("id") * 2)
+    cut = cut_lineage(df)
+    assert cut.count() == 100 and cut.agg(F.sum("x")).first()[0] == 9900
+    assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
