@@ -90,8 +90,7 @@ ORACLE = {
 WITH cand AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders
               WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS rn FROM cand),
-want AS (SELECT k.o_custkey, i.idx FROM (SELECT DISTINCT o_custkey FROM cand) k,
-         (VALUES (0), (1), (2)) i(idx)),
+want AS (SELECT o_custkey, unnest([0, 1, 2]) AS idx FROM (SELECT DISTINCT o_custkey FROM cand)),
 cust AS (SELECT c_custkey, arg_max(c_name, c_acctbal) AS c_name FROM customer GROUP BY c_custkey)
 SELECT w.o_custkey, cu.c_name, CAST(w.idx AS INTEGER) AS idx, r.o_orderkey, r.o_orderdate
 FROM want w LEFT JOIN ranked r ON r.o_custkey = w.o_custkey AND r.rn = w.idx

@@ -212,7 +212,7 @@ _MEMBERS = """grp AS (
   FROM supplier),
 members AS (
   SELECT request_id, g, CAST(k AS INTEGER) AS member_idx, g || '/' || CAST(k AS VARCHAR) AS member, base_num + k AS ip_num
-  FROM grp, range(0, 4) r(k) WHERE k < n)"""
+  FROM (SELECT *, unnest(generate_series(0, n - 1)) AS k FROM grp))"""
 
 ORACLE = {
     "bgp_customer_region": """
