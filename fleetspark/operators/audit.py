@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.operators.ranking import row_number_within
+from fleetspark.operators.ranking import DEFAULT_MAX_GROUP_ROWS, row_number_within
 
 PLACEHOLDER = r"<([A-Z_]+)>"
 
@@ -77,23 +77,27 @@ def normalize_priority(name, value, special: str = PRIORITY_ANCHOR_DAEMON) -> Co
     return F.when((n != special) & (base > 0), base + 1).otherwise(base)
 
 
-def _sequence(df: DataFrame, host_col: str, order: list, seq_col: str, skew_safe) -> DataFrame:
-    return row_number_within(df, [host_col], order, seq_col, skew_safe=skew_safe)
+def _sequence(df: DataFrame, host_col: str, order: list, seq_col: str, skew_safe, max_group_rows: int) -> DataFrame:
+    return row_number_within(df, [host_col], order, seq_col, skew_safe=skew_safe, max_group_rows=max_group_rows)
 
 
 def start_order(daemons: DataFrame, host_col: str, name_col: str, pos_col: str, prio_col: str,
-                wanted: int = 10, seq_col: str = "start_seq", skew_safe: bool | str = "auto") -> DataFrame:
+                wanted: int = 10, seq_col: str = "start_seq", skew_safe: bool | str = "auto",
+                max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """``start_prio N``: priorities 1..N ascending, ties in list order (O1).
 
     The per-host sequence is :func:`row_number_within`: a plain window while
     every host's table is provably small, the distributed numbering (no host in
     one task) otherwise; ``skew_safe`` forces either."""
     order = [F.col(prio_col), F.col(pos_col), F.col(name_col)]
-    return _sequence(daemons.where(F.col(prio_col).between(1, wanted)), host_col, order, seq_col, skew_safe)
+    return _sequence(daemons.where(F.col(prio_col).between(1, wanted)), host_col, order, seq_col, skew_safe,
+                     max_group_rows)
 
 
 def stop_order(daemons: DataFrame, host_col: str, name_col: str, pos_col: str, prio_col: str,
-               wanted: int = 0, seq_col: str = "stop_seq", skew_safe: bool | str = "auto") -> DataFrame:
+               wanted: int = 0, seq_col: str = "stop_seq", skew_safe: bool | str = "auto",
+               max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """``stop_prio N``: priorities 10 down to N, ties in list order (O2); N=0 includes disabled."""
     order = [F.col(prio_col).desc(), F.col(pos_col), F.col(name_col)]
-    return _sequence(daemons.where(F.col(prio_col).between(wanted, 10)), host_col, order, seq_col, skew_safe)
+    return _sequence(daemons.where(F.col(prio_col).between(wanted, 10)), host_col, order, seq_col, skew_safe,
+                     max_group_rows)

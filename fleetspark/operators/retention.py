@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.functions.timefx import within_days
-from fleetspark.operators.ranking import running_sum_within
+from fleetspark.operators.ranking import DEFAULT_MAX_GROUP_ROWS, running_sum_within
 
 
 def age_filter(df: DataFrame, ts_col: str, asof, keep_days: int = 10, repair_days: int = 7,
@@ -27,14 +27,16 @@ def age_filter(df: DataFrame, ts_col: str, asof, keep_days: int = 10, repair_day
 
 
 def newest_within_budget(df: DataFrame, host_col: str, ts_col: str, bytes_col: str, budget: int,
-                         tie_col: str, cum_col: str = "cum_bytes", skew_safe: bool | str = "auto") -> DataFrame:
+                         tie_col: str, cum_col: str = "cum_bytes", skew_safe: bool | str = "auto",
+                         max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """Rows kept when walking each host's records newest first until the byte
     budget is exceeded (W4).  ``tie_col`` makes the order total.  The running
     total is :func:`~fleetspark.operators.ranking.running_sum_within`: a plain
     window while every host is provably small, else the distributed running sum
     that spreads a host holding a third of all records over many tasks."""
     order = [F.col(ts_col).desc(), F.col(tie_col).desc()]
-    out = running_sum_within(df, [host_col], order, bytes_col, cum_col, skew_safe=skew_safe)
+    out = running_sum_within(df, [host_col], order, bytes_col, cum_col, skew_safe=skew_safe,
+                             max_group_rows=max_group_rows)
     return out.where(F.col(cum_col) <= budget)
 
 

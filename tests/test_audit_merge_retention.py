@@ -17,6 +17,8 @@ def test_start_order_priority_ten_never_starts(spark):
     for mode in ("auto", True, False):
         out = start_order(daemons(spark), "host", "daemon", "pos", "prio", wanted=10, skew_safe=mode)
         assert rows(out, "start_seq", "daemon", "prio") == [(1, "zebra", 1), (2, "bgpd", 2)]
+    out = start_order(daemons(spark), "host", "daemon", "pos", "prio", wanted=10, max_group_rows=1)
+    assert rows(out, "start_seq", "daemon", "prio") == [(1, "zebra", 1), (2, "bgpd", 2)]
 
 
 def test_stop_order_zero_includes_disabled(spark):
@@ -67,6 +69,9 @@ def test_byte_budget_newest_first(spark):
     for mode in ("auto", True, False):
         out = newest_within_budget(logs, "host", "ts", "bytes", 100, tie_col="id", skew_safe=mode)
         assert rows(out, "id", "cum_bytes") == [(0, 40), (1, 80)]
+    # "auto" with a tiny bound takes the distributed plan; same answer
+    out = newest_within_budget(logs, "host", "ts", "bytes", 100, tie_col="id", max_group_rows=1)
+    assert rows(out, "id", "cum_bytes") == [(0, 40), (1, 80)]
 
 
 def test_weekly_rotation_keeps_newest_big_weeks(spark):
