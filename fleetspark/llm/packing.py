@@ -83,7 +83,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = SEQUENCE_TOK
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        encoder = ChunkEncoder(tokenizer, words=True)
+        encoder = ChunkEncoder.of_worker(tokenizer, words=True)
         step = 4 * max_tokens
         for batch in batches:
             for first, texts in text_blocks(batch, "text"):

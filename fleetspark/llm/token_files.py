@@ -22,7 +22,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
 
 import numpy as np
@@ -35,99 +35,107 @@ from fleetspark.llm.common import scratch
 
 END_ID = 0
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
-#: white space that is not one blank or one line feed between other characters
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
-_ODD_CONTROL = re.compile("[\x1c-\x1f\x01]")
+_ODD = "\x1c\x1d\x1e\x1f"
+_MARKS = ".,!?;:"
+
+
+def _shown_bytes() -> list[str]:
+    """How byte-level vocabularies write each byte: printable ones as themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+_SHOWN = _shown_bytes()
+
+
+class _Chunks(dict):
+    """Id bytes by chunk; a chunk that is not there is encoded and, if short, kept."""
+
+    def __init__(self, encode, longest: int):
+        super().__init__()
+        self.encode, self.longest = encode, longest
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(chunk)
+        if len(chunk) <= self.longest:
+            self[chunk] = ids
+        return ids
 
 
 class ChunkEncoder:
     """Exact ``tokenizers`` ids as little-endian uint32 bytes, cached by chunk.
 
-    ``words=True`` is for vocabularies that drop white space (every chunk is
-    independent); ``words=False`` for byte-level ones, where a blank belongs to
-    the chunk after it.  At most ``max_entries`` chunks and ``max_bytes`` of their
-    text are kept; beyond that the cache starts anew.
+    ``words=True`` is for vocabularies that lower-case and drop white space (every
+    chunk is independent); ``words=False`` for byte-level ones, where a blank
+    belongs to the chunk after it.  A chunk of letters, with or without marks after
+    it, goes straight to the vocabulary's model; anything else through the whole
+    tokenizer.  At most ``max_entries`` chunks of ``longest`` characters are kept; beyond
+    that the cache starts anew.
     """
 
-    def __init__(self, path: str, words: bool, max_entries: int = 600_000, max_bytes: int = 48 << 20):
+    def __init__(self, path: str, words: bool, max_entries: int = 1_300_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = words
-        self.max_entries, self.max_bytes = max_entries, max_bytes
-        self.led: dict[str, bytes] = {}  # chunks after a blank (or all, if words)
-        self.first: dict[str, bytes] = {}  # chunks that begin a line
-        self.kept_bytes = 0
-        self.sep = " \x01 " if words else "\n"
-        sep_ids = self._ids(self.sep)
-        self.sep_id = sep_ids[0] if len(sep_ids) == 1 else None
+        self.model = self.tokenizer.model
+        self.words, self.max_entries = words, max_entries
+        self.tails: dict[str, bytes] = {"": b""}
+        self.led = _Chunks(lambda c: self._chunk(c, not words), longest)  # chunks after a blank (or all, if words)
+        self.first = _Chunks(lambda c: self._chunk(c, False), longest)  # chunks that begin a line
         self.newline = self._bytes(self._ids("\n"))
 
+    @classmethod
+    def of_worker(cls, path: str, words: bool) -> ChunkEncoder:
+        """The Python worker's encoder, which later tasks use again."""
+        if (path, words) not in _ENCODERS:
+            _ENCODERS[path, words] = cls(path, words)
+        return _ENCODERS[path, words]
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     @staticmethod
     def _bytes(ids) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
-
-    def _learn(self, cache: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        missing = [c for c in chunks if c not in cache]
-        joined = [c for c in missing if c] if self.sep_id is not None else []
-        for at in range(0, len(joined), 20_000):
-            some = joined[at:at + 20_000]
-            ids = np.asarray(self._ids(self.sep.join(lead + c for c in some)), dtype="<u4")
-            ends = np.flatnonzero(ids == self.sep_id)
-            if len(ends) != len(some) - 1:  # the separator is not alone: one by one
-                for c in some:
-                    cache[c] = self._bytes(self._ids(lead + c))
-                continue
-            raw = ids.tobytes()
-            begin = 0
-            for c, end in zip(some, [*ends.tolist(), len(ids)], strict=True):
-                cache[c] = raw[4 * begin:4 * end]
-                begin = end + 1
-        for c in missing:
-            if c not in cache:
-                cache[c] = self._bytes(self._ids(lead + c))
-        self.kept_bytes += sum(map(len, missing))
-
-    def _simple(self, text: str) -> bool:
-        return not (_ODD_CONTROL.search(text) if self.words else _ODD_SPACE.search(text))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str, led: bool) -> bytes:
+        stem = chunk.rstrip(_MARKS)
+        if not stem.isalpha() or self.words and max(stem) > "\xff":
+            return self._bytes(self._ids(" " + chunk if led else chunk))
+        shown = stem.lower() if self.words else stem
+        if not shown.isascii():
+            shown = "".join([_SHOWN[b] for b in shown.encode()])
+        ids = self._bytes([t.id for t in self.model.tokenize(_SHOWN[32] + shown if led else shown)])
+        tail = chunk[len(stem):]
+        if tail not in self.tails:
+            self.tails[tail] = self._bytes(self._ids(tail))
+        return ids + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Id bytes of each text; call it with a few MB of text at a time."""
-        if len(self.led) + len(self.first) > self.max_entries or self.kept_bytes > self.max_bytes:
+        """Id bytes of each text."""
+        if len(self.led) + len(self.first) > self.max_entries:
             self.led.clear()
             self.first.clear()
-            self.kept_bytes = 0
-        simple = [self._simple(t) for t in texts]
-        out: list[bytes] = []
-        if self.words:
-            parts = [t.split() if ok else None for t, ok in zip(texts, simple, strict=True)]
-            self._learn(self.led, set().union(*[p for p in parts if p]), "")
-            get = self.led.__getitem__
-            for t, p in zip(texts, parts, strict=True):
-                out.append(self._bytes(self._ids(t)) if p is None else b"".join(map(get, p)))
-            return out
-        lines = [[ln.split(" ") for ln in t.split("\n")] if ok else None for t, ok in zip(texts, simple, strict=True)]
-        led: set[str] = set()
-        first: set[str] = set()
-        for doc in lines:
-            for p in doc or ():
-                first.add(p[0])
-                led.update(p[1:])
-        self._learn(self.led, led, " ")
-        first.discard("")
-        self._learn(self.first, first, "")
-        self.first[""] = b""
-        get = self.led.__getitem__
-        for t, doc in zip(texts, lines, strict=True):
-            if doc is None:
-                out.append(self._bytes(self._ids(t)))
-            else:
-                out.append(self.newline.join(self.first[p[0]] + b"".join(map(get, p[1:])) for p in doc))
-        return out
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        return [self._words(t) if self.words else self._lines(t) for t in texts]
+
+    def _words(self, text: str) -> bytes:
+        if any(c in text for c in _ODD):  # white space to Python only
+            return self._bytes(self._ids(text))
+        return b"".join(map(self.led.__getitem__, text.split()))
+
+    def _lines(self, text: str) -> bytes:
+        if text.replace("\n", " ").split(" ") != text.split():
+            return self._bytes(self._ids(text))  # white space other than single blanks and line feeds within the text
+        lines = [ln.split(" ") for ln in text.split("\n")]
+        led, first = self.led.__getitem__, self.first
+        return self.newline.join([first[p[0]] + b"".join(map(led, p[1:])) for p in lines])
+
+
+_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 def text_blocks(batch: pa.RecordBatch, column: str, max_chars: int = 2 << 20):
@@ -149,7 +157,7 @@ def _encoder_map(path: str, end_id: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def encode(batches):
-        encoder = ChunkEncoder(path, words=False)
+        encoder = ChunkEncoder.of_worker(path, words=False)
         part, local = TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, texts in text_blocks(batch, "text"):
