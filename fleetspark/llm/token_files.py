@@ -36,6 +36,9 @@ from fleetspark.llm.common import scratch
 END_ID = 0
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 _ODD = "\x1c\x1d\x1e\x1f"
+_PLAIN_SPACE = (" ", "\n")
+#: two of these in a row, or any other white space: the split into chunks could change ids
+_JOINED_SPACE = ("  ", " \n", "\n ", "\n\n", *[chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"])
 _MARKS = ".,!?;:"
 
 
@@ -58,7 +61,7 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encode(chunk)
-        if len(chunk) <= self.longest:
+        if len(chunk) <= self.longest and chunk[:1] != "\n":  # a line's first chunk has its own entry
             self[chunk] = ids
         return ids
 
@@ -101,6 +104,10 @@ class ChunkEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str, led: bool) -> bytes:
+        if chunk[:1] == "\n" and not self.words:
+            return self.newline + self.first[chunk[1:]]
+        if not chunk:
+            return b""
         stem = chunk.rstrip(_MARKS)
         if not stem.isalpha() or self.words and max(stem) > "\xff":
             return self._bytes(self._ids(" " + chunk if led else chunk))
@@ -128,11 +135,11 @@ class ChunkEncoder:
         return b"".join(map(self.led.__getitem__, text.split()))
 
     def _lines(self, text: str) -> bytes:
-        if text.replace("\n", " ").split(" ") != text.split():
-            return self._bytes(self._ids(text))  # white space other than single blanks and line feeds within the text
-        lines = [ln.split(" ") for ln in text.split("\n")]
-        led, first = self.led.__getitem__, self.first
-        return self.newline.join([first[p[0]] + b"".join(map(led, p[1:])) for p in lines])
+        if text[:1] in _PLAIN_SPACE or text[-1:] in _PLAIN_SPACE or any([c in text for c in _JOINED_SPACE]):
+            if text:  # white space other than single blanks and line feeds within the text
+                return self._bytes(self._ids(text))
+        pieces = iter(text.replace("\n", " \n").split(" "))
+        return self.first[next(pieces)] + b"".join(map(self.led.__getitem__, pieces))
 
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
