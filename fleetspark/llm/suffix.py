@@ -384,8 +384,8 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     left out of it.  ``text`` itself is dropped.
     """
     spark = docs.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
-    docs_in = _prime_from(2 * shuffle_partitions(spark) + 1)
+    buckets = 2 * shuffle_partitions(spark)
+    docs_in = _prime_from(shuffle_partitions(spark) + 1)  # a group of documents sends a row per bucket
     keyed = with_keys(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     packed = keyed.select("key", "text").mapInArrow(_gather_runs(buckets, docs_in), _PACKED)
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
