@@ -70,9 +70,11 @@ def mix(docs: DataFrame, quality: Column | None = None, max_epochs: int = 3, chu
 
     ``quality`` is a positive weight per row (1 if not given).
     """
-    more = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
-    keyed = written(docs.select("doc_id", "source", "size", *more, exponential_key(
-        F.col("doc_id"), F.lit(1.0) if quality is None else quality).alias("__key")), "mix")
+    names = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
+    more = [f"carry_{i}" for i in range(len(names))]
+    keyed = written(docs.select(
+        "doc_id", "source", "size", *[F.col(f"`{c}`").alias(m) for c, m in zip(names, more, strict=True)],
+        exponential_key(F.col("doc_id"), F.lit(1.0) if quality is None else quality).alias("__key")), "mix")
     sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = source_targets(sizes, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -98,8 +100,9 @@ def mix(docs: DataFrame, quality: Column | None = None, max_epochs: int = 3, chu
     edge = placed.where(split).withColumn("chosen", at - F.col("size") / 2 <= F.col("rest"))
     taken = F.col("epochs") * F.col("size") + F.when(F.col("chosen"), F.col("size")).otherwise(0)
     times = F.col("epochs") + F.col("chosen").cast("long")
-    return plain.unionByName(edge).select("doc_id", "source", "size", *more, "source_size", "target",
-                                          taken.alias("taken"), times.alias("times"))
+    return plain.unionByName(edge).select(
+        "doc_id", "source", "size", *[F.col(m).alias(c) for c, m in zip(names, more, strict=True)], "source_size", "target",
+        taken.alias("taken"), times.alias("times"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:

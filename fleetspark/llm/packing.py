@@ -7,8 +7,8 @@ closes when it is full; when a new one would exceed the fixed number, the
 fullest open one closes first.
 
 Spark deals the pieces by a hash into groups of about ``group_rows`` pieces, each
-packed as one online stream.  Bins that are still open at a group's end are
-undone: their pieces go on to the next level, where far fewer groups remain,
+packed as one online stream.  Bins that still have a twentieth free at a group's
+end are undone: their pieces go on to the next level, where far fewer groups remain,
 until one group is left.  So no task sees more than a group, and only the last
 group leaves partly filled bins behind.
 
@@ -70,8 +70,8 @@ class BestFit:
             self.n_open += 1
         return bin_id, self.capacity - free
 
-    def still_open(self) -> set[int]:
-        return {b for stack in self.by_free for b in stack}
+    def still_open(self, least_free: int = 1) -> set[int]:
+        return {b for stack in self.by_free[least_free:] for b in stack}
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = SEQUENCE_TOKENS, end_id: int = END_ID,
@@ -118,13 +118,17 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, open_bins: i
     ``pieces`` has the columns of ``PIECE_SCHEMA``; it is written once before it is dealt.
     """
     rest = written(pieces, "pieces")
-    placed, level = [], 0
+    placed, level, before = [], 0, None
     while True:
-        groups = max(1, -(-rest.count() // group_rows))
-        out = written(_pack_level(rest, capacity, open_bins, groups, level), "placed")
+        n = rest.count()
+        groups = max(1, -(-n // group_rows))
+        # the last level: one group, or undone bins did not become fewer (a group smaller than its open bins)
+        last = groups == 1 or before is not None and 2 * n > before
+        out = written(_pack_level(rest, capacity, open_bins, groups, level, last), "placed")
         placed.append(out.where("sequence_id IS NOT NULL"))
-        if groups == 1:
+        if last:
             break
+        before = n
         rest = out.where("sequence_id IS NULL").select("doc_id", "piece", "start", "length", "ids_crc32")
         level += 1
     result = placed[0]
@@ -133,8 +137,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, open_bins: i
     return result.drop("level", "group_id")
 
 
-def _pack_level(pieces: DataFrame, capacity: int, open_bins: int, groups: int, level: int) -> DataFrame:
-    last = groups == 1
+def _pack_level(pieces: DataFrame, capacity: int, open_bins: int, groups: int, level: int,
+                last: bool) -> DataFrame:
+    almost_full = capacity // 20  # a bin with no more free than this is not worth undoing
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         # a fixed order, unrelated to length, that does not hang on how rows arrived
@@ -146,7 +151,7 @@ def _pack_level(pieces: DataFrame, capacity: int, open_bins: int, groups: int, l
         out = pdf.drop(columns="order")
         sequence = pd.Series((level << 58) + (group << 26) + bins, index=out.index, dtype="Int64")
         if not last:
-            sequence[np.isin(bins, np.fromiter(packer.still_open(), dtype=np.int64))] = pd.NA
+            sequence[np.isin(bins, np.fromiter(packer.still_open(almost_full + 1), dtype=np.int64))] = pd.NA
         return out.assign(level=level, sequence_id=sequence, offset=[o for _, o in spots])[
             [c.split(" ")[0] for c in PLACED_SCHEMA.split(", ")]].astype({"doc_id": "Int64"})
 

@@ -20,7 +20,8 @@ def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +60,42 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_ppm_language, op3_warc_revisits, op4_robust_outliers,
                                    op5_bit_sliced_simhash, op6_best_fit_packing, op7_order_minhash, op8_suffix_dedup,
                                    op9_license_scan, op10_source_mix)}
-ORACLE = {}
+
+ORACLE = {
+    "op3_warc_revisits": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+        h AS (SELECT page_id, url, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM h),
+        r AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM original AND original IS NOT NULL AS again FROM w)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN original END AS refers_to
+        FROM r""",
+    "op10_source_mix": r"""
+        WITH q AS (SELECT doc_id AS of_doc, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        d AS (SELECT doc_id, source, quality,
+                     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+              FROM documents LEFT JOIN q ON doc_id = of_doc),
+        k AS (SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5)
+                            / 4503599627370496.0)
+                        / CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS key FROM d),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+        t AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+                     coalesce(sum(3 * source_size) OVER capped_first, 0) AS caps_before,
+                     coalesce(sum(weight) OVER capped_first, 0) AS weights_before
+              FROM w WINDOW capped_first AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        c AS (SELECT *, 3 * source_size * (weights - weights_before) < weight * (total - caps_before) AS capped FROM t),
+        l AS (SELECT *, (total - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER ())::DOUBLE
+                        / nullif(sum(CASE WHEN capped THEN 0 ELSE weight END) OVER (), 0) AS share FROM c),
+        g AS (SELECT source AS of_source, source_size,
+                     CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE coalesce(weight * share, 0.0) END AS target FROM l),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g),
+        m AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
+                     sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+              FROM k JOIN e ON source IS NOT DISTINCT FROM of_source)
+        SELECT doc_id, size, source_size, target,
+               (epochs * size + CASE WHEN upto - size / 2.0 <= rest THEN size ELSE 0 END)::BIGINT AS taken
+        FROM m""",
+}

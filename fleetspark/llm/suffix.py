@@ -34,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.llm.common import shuffle_partitions, written
@@ -365,8 +365,6 @@ def with_keys(docs: DataFrame) -> DataFrame:
     each = docs.select(F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(0)).alias("id"),
                        F.xxhash64("text").alias("of_text"))
     ranged = written(each.distinct().repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ids")
-    from pyspark.sql import Window
-
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -386,7 +384,10 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     buckets = 2 * shuffle_partitions(spark)
     docs_in = _prime_from(shuffle_partitions(spark) + 1)  # a group of documents sends a row per bucket
-    keyed = with_keys(docs.withColumn("text", F.coalesce("text", F.lit(""))))
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
+                       *[F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(more)])
+    keyed = with_keys(rows)
     packed = keyed.select("key", "text").mapInArrow(_gather_runs(buckets, docs_in), _PACKED)
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
     rounds = written(dealt.mapInArrow(_settle_runs(docs_in), _PACKED), "runs")
@@ -397,8 +398,10 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     late = (windows.repartition("bucket").sortWithinPartitions("bucket")
             .mapInArrow(_settle_windows(docs_in), _PACKED))
     spans = rounds.where(F.col("kind") == SPANS).unionByName(late)
-    columns = [c for c in docs.columns if c != "text"]
+    columns = ["doc_id", *[f"carry_{i}" for i in range(len(more))]]
     fields = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in columns] + [
+    schema = ", ".join([f"{c} {fields[c]}" for c in columns] + [
         "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + (["kept_text string"] if with_text else []))
-    return grouped.cogroup(spans.groupBy("bucket")).applyInArrow(_remove(columns, with_text), schema)
+    out = grouped.cogroup(spans.groupBy("bucket")).applyInArrow(_remove(columns, with_text), schema)
+    return out.select("doc_id", *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(more)], "n_bytes", "n_removed",
+                      "n_spans", "kept_sha256", *(["kept_text"] if with_text else []))

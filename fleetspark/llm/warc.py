@@ -92,22 +92,38 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = W
 
 
 class _Stream:
-    """Records out of the byte stream of one archive, which arrives in blocks."""
+    """Records out of the byte stream of one archive, which arrives in blocks between separators."""
 
     def __init__(self):
         self.parts: list[bytes] = []
         self.size = self.need = 0
+        self.begun = False
 
     def feed(self, block: bytes):
-        """Add a block and the separator after it; yield (header lines, block bytes) of each whole record."""
-        self.parts += [block, END.encode()]
-        self.size += len(block) + len(END)
-        if self.size < self.need:
-            return
+        """Add a block (and the separator before it); yield (header fields, block bytes) of each whole record."""
+        if self.begun:
+            block = END.encode() + block
+        self.begun = True
+        self.parts.append(block)
+        self.size += len(block)
+        if self.size >= self.need:
+            yield from self._records()
+
+    def finish(self):
+        """The file has ended, with a separator or with bytes that end in one."""
+        if self.begun:
+            self.parts.append(END.encode())
+            self.size += len(END)
+            yield from self._records()
+            if b"".join(self.parts).strip(b"\r\n"):
+                raise ValueError("an archive ends within a record")
+        self.__init__()
+
+    def _records(self):
         data = b"".join(self.parts)
         while True:
             head_end = data.find(END.encode())
-            if head_end < 0:
+            if head_end <= 0:
                 self.need = 0
                 break
             lines = data[:head_end].decode().split(CRLF)
@@ -133,16 +149,17 @@ def _parse(batches):
         for path, value in zip(batch.column("file"), batch.column("value"), strict=True):
             path = path.as_py()
             if path != current:
-                if stream.size:
-                    raise ValueError(f"{current} ends within a record")
-                stream, current = _Stream(), path
+                rows += [_index_row(fields, block) for fields, block in stream.finish()]
+                current = path
             rows += [_index_row(fields, block) for fields, block in stream.feed(value.as_py())]
-        names = [x.split(" ")[0] for x in INDEX_SCHEMA.split(", ")]
-        types = [pa.int64() if x.endswith("long") else pa.string() for x in INDEX_SCHEMA.split(", ")]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
-    if stream.size:
-        raise ValueError(f"{current} ends within a record")
+        yield _index_batch(rows)
+    yield _index_batch([_index_row(fields, block) for fields, block in stream.finish()])
+
+
+def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split(" ")[0] for x in INDEX_SCHEMA.split(", ")]
+    types = [pa.int64() if x.endswith("long") else pa.string() for x in INDEX_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
 
 
 def _index_row(fields: dict[str, str], block: bytes) -> tuple:
