@@ -54,7 +54,7 @@ def regex_replace_first(s, pattern: str, repl: str) -> Column:
     The lazy prefix is kept through a *named* group so the replacement never
     contains a numbered reference.
     """
-    wrapped = "^(?s)(?<fspre>.*?)(?:" + pattern + ")"
+    wrapped = "^(?s)(?<fspre>.*?)(?:" + _shift_references(pattern, "\\", 1) + ")"
     return F.regexp_replace(_c(s), wrapped, "${fspre}" + _java_literal_repl(repl))
 
 
@@ -97,9 +97,25 @@ def capture_replace(s, pattern: str, sed_repl: str, global_: bool = False) -> Co
     java = sed_to_java_replacement(sed_repl)
     if global_ or pattern.startswith("^"):
         return F.regexp_replace(_c(s), pattern, java)
-    # first match only: shift groups by one behind a leading lazy group
-    shifted = re.sub(r"\$(\d)", lambda m: "$" + str(int(m.group(1)) + 1), java)
-    return F.regexp_replace(_c(s), "^(?s)(.*?)(?:" + pattern + ")", "$1" + shifted)
+    # first match only: group 1 is what stands before it, group 2 the match (``&``), the pattern's own follow
+    return F.regexp_replace(_c(s), "^(?s)(.*?)(" + _shift_references(pattern, "\\", 2) + ")",
+                            "$1" + _shift_references(java, "$", 2))
+
+
+def _shift_references(text: str, mark: str, by: int) -> str:
+    """Add ``by`` to the group references of a Java pattern (``\\1``) or replacement (``$0``); escapes stay."""
+    out, i = [], 0
+    while i < len(text):
+        pair = text[i:i + 2]
+        if pair[0] == mark and pair[1:].isdigit() and (mark == "$" or pair[1] != "0"):
+            out.append(mark + str(int(pair[1]) + by))
+        elif pair[0] == "\\":
+            out.append(pair)
+        else:
+            out.append(pair[0])
+            i -= 1
+        i += 2
+    return "".join(out)
 
 
 def strip_to_first_space(s) -> Column:

@@ -98,4 +98,8 @@ def bounded_allocation(df: DataFrame, group_cols: Sequence[str], order_cols: Seq
     counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(count_col)).where(F.col(count_col) >= min_count)
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
     top = df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= max_count)
-    return top.join(counts, list(group_cols), "inner")
+    named = counts.withColumnsRenamed({c: f"_g_{c}" for c in group_cols})
+    same = F.lit(True)
+    for c in group_cols:  # a null group is a group too
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return top.join(named, same, "inner").drop(*[f"_g_{c}" for c in group_cols])

@@ -79,6 +79,12 @@ def _rule_condition_join(f: DataFrame, r: DataFrame, n: dict) -> Column:
             & any_or("syn", F.col("syn") == rc("syn")))
 
 
+def _chain_policies(policies: DataFrame, max_rows: int) -> dict:
+    """Verdict by chain; a chain listed twice takes the verdict that sorts last, in every plan."""
+    return {p["chain"]: p["verdict"] for p in sorted(
+        collect_bounded(policies, max_rows, "policy table"), key=lambda p: (str(p["chain"]), str(p["verdict"])))}
+
+
 def first_match(flows: DataFrame, rules: DataFrame, policies: DataFrame,
                 id_col: str = "flow_id", strategy: str = "auto", max_inline: int = 1024,
                 salt_buckets: int = 64, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -99,7 +105,7 @@ def first_match(flows: DataFrame, rules: DataFrame, policies: DataFrame,
         else:
             strategy = "join"
     if strategy == "inline":
-        ps = {p["chain"]: p["verdict"] for p in collect_bounded(policies, max_inline, "policy table")}
+        ps = _chain_policies(policies, max_inline)
         verdict = rank = None
         for r in rs:
             cond = _rule_condition_row(r)
@@ -121,32 +127,36 @@ def first_match(flows: DataFrame, rules: DataFrame, policies: DataFrame,
     r_b, small = broadcast_if_small(r, max_broadcast_rows)
     renamed = {c: f"_r_{c}" for c in ("chain", "rank", *RULE_MATCH_COLUMNS, "verdict")}
     if small:
-        f = flows
+        f = flows.withColumn("_row", F.monotonically_increasing_id())
         cond = _rule_condition_join(f, r_b, renamed)
         matched = f.join(r_b, cond, "left")
     else:
         salt = F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("_salt")
         rr = r.select("*", salt)
-        f = flows.withColumn("_fsalt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt_buckets)))
+        f = flows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_fsalt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt_buckets)))
         cond = _rule_condition_join(f, rr, renamed) & (F.col("_fsalt") == F.col("_salt"))
         matched = f.join(rr, cond, "left").drop("_fsalt", "_salt")
-    w = Window.partitionBy(id_col).orderBy(F.col("_r_rank").asc_nulls_last())
+    # by row, not by id alone: flows that share an id each keep a verdict, as in the inline plan
+    w = Window.partitionBy(id_col, "_row").orderBy(F.col("_r_rank").asc_nulls_last())
     first = matched.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1)
-    ps = collect_bounded(policies, max_inline, "policy table")
+    ps = _chain_policies(policies, max_inline)
     default = None
-    for p in ps:
-        default = (F.when(F.col("chain") == p["chain"], F.lit(p["verdict"])) if default is None
-                   else default.when(F.col("chain") == p["chain"], F.lit(p["verdict"])))
+    for chain, v in ps.items():
+        default = (F.when(F.col("chain") == chain, F.lit(v)) if default is None
+                   else default.when(F.col("chain") == chain, F.lit(v)))
     default = default if default is not None else F.lit(None).cast("string")
     out = (first.withColumn("verdict", F.coalesce(F.col("_r_verdict"), default))
                 .withColumn("rule_rank", F.col("_r_rank").cast("int")))
-    return out.drop("_k", *renamed.values())
+    return out.drop("_k", "_row", *renamed.values())
 
 
 # --------------------------------------------------------------------------- J7
 def normalize_prefixes(prefixes: DataFrame) -> DataFrame:
-    """Mask host bits off ``net`` and keep one attribute per (net, len) (smallest, for determinism)."""
-    p = prefixes.select(network_key(F.col("net"), F.col("prefix_len")).alias("net"),
+    """Mask host bits off ``net`` and keep one attribute per (net, len) (smallest, for determinism).
+
+    Rows whose length is null or not 0 to 32, or whose network is null, cover nothing.
+    """
+    p = prefixes.where(F.col("prefix_len").between(0, 32) & F.col("net").isNotNull()).select(network_key(F.col("net"), F.col("prefix_len")).alias("net"),
                         F.col("prefix_len").cast("int").alias("prefix_len"), "attr")
     return p.groupBy("net", "prefix_len").agg(F.min("attr").alias("attr"))
 
@@ -162,7 +172,7 @@ def most_specific_prefix(points: DataFrame, ip_col: str, prefixes: DataFrame,
     lengths whose slices are too big (long prefixes of a huge table) are
     handled together: ``points`` rows are expanded to those lengths,
     left-joined on (length, network) and the longest hit per ``id_col`` is
-    kept by a window.  ``id_col`` must identify a point row.
+    kept by a window per row (``id_col``, if given, only adds to the row's identity).
     """
     p = normalize_prefixes(prefixes)
     sizes = {int(r[0]): int(r[1]) for r in collect_bounded(
@@ -171,16 +181,14 @@ def most_specific_prefix(points: DataFrame, ip_col: str, prefixes: DataFrame,
     big = sorted((x for x, c in sizes.items() if c > max_broadcast_rows), reverse=True)
     out = points
     if big:
-        if id_col is None:
-            raise ValueError("prefix slices above the broadcast bound need id_col to pick the best hit")
         pb = p.where(F.col("prefix_len").isin(big)).select(
             F.col("net").alias("_pn"), F.col("prefix_len").alias("_pl"), F.col("attr").alias("_pa"))
-        ex = (out.withColumn("_len", F.explode(F.array(*[F.lit(x) for x in big])))
+        ex = (out.withColumn("_row", F.monotonically_increasing_id()).withColumn("_len", F.explode(F.array(*[F.lit(x) for x in big])))
                  .withColumn("_net", network_key(F.col(ip_col), F.col("_len"))))
         hits = ex.join(pb, (F.col("_len") == F.col("_pl")) & (F.col("_net") == F.col("_pn")), "left")
-        w = Window.partitionBy(id_col).orderBy(F.col("_pl").desc_nulls_last())
+        w = Window.partitionBy(*([id_col] if id_col else []), "_row").orderBy(F.col("_pl").desc_nulls_last())
         out = (hits.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1)
-                   .drop("_k", "_len", "_net", "_pn"))
+                   .drop("_k", "_row", "_len", "_net", "_pn"))
     else:
         out = out.withColumn("_pl", F.lit(None).cast("int")).withColumn("_pa", F.lit(None).cast("string"))
     attrs, lens, drop = [], [], ["_pl", "_pa"]

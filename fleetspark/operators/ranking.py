@@ -4,7 +4,7 @@
 one task, so a group holding a third of the data is a third of the job on one
 core.  ``distributed_row_number`` gives the same numbers without that:
 
-1. ``repartitionByRange(g, o)`` sorts globally; its sampled bounds split a hot
+1. ``repartitionByRange(g, o)`` sorts globally, once: the ranged rows are written; its sampled bounds split a hot
    group over many partitions, and each partition holds a contiguous slice
    of the (g, o) order;
 2. inside a partition, ``monotonically_increasing_id`` follows the sorted rows,
@@ -33,14 +33,29 @@ def _cols(cs):
 
 def _chunked(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, n_partitions: int | None):
     from fleetspark.session import parallelism
+    from fleetspark.streaming.sources import shared_path
     n = n_partitions or max(2, 2 * parallelism(df.sparkSession))
     keys = [*_cols(group_cols), *_cols(order_cols)]
-    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    # Written once: the range bounds are sampled, so a second evaluation (pruned to other
+    # columns, or after a lost executor) could cut elsewhere and disagree on the chunk ids.
+    path = shared_path(df.sparkSession, "ranking")
+    ranged.write.parquet(path)
+    s = df.sparkSession.read.schema(ranged.schema).parquet(path)
     chunks = s.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     return s, chunks
 
 
+def _join_chunks(rows: DataFrame, chunks: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Rows with their chunk's columns; null groups are groups too."""
+    named = chunks.withColumnsRenamed({c: f"_c_{c}" for c in [*group_cols, "_pid"]})
+    same = F.col("_pid") == F.col("_c__pid")
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
+    return rows.join(named, same, "inner").drop(*[f"_c_{c}" for c in [*group_cols, "_pid"]])
+
+
 def distributed_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                            out_col: str = "rn", n_partitions: int | None = None) -> DataFrame:
     """``row_number()`` within each group in the given order, without putting a
@@ -52,8 +67,8 @@ def distributed_row_number(df: DataFrame, group_cols: Sequence[str], order_cols:
     s, chunks = _chunked(df, group_cols, order_cols, n_partitions)
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    out = s.join(offsets, [*group_cols, "_pid"], "inner")
-    rn = (F.col("_off") + (F.col("_mid") - F.col("_first")) + 1).cast("int")
+    out = _join_chunks(s, offsets, group_cols)
+    rn = (F.col("_off") + (F.col("_mid") - F.col("_first")) + 1).cast("bigint")
     return out.withColumn(out_col, rn).drop("_pid", "_mid", "_first", "_off")
 
 
@@ -69,7 +84,7 @@ def distributed_running_sum(df: DataFrame, group_cols: Sequence[str], order_cols
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(wo), F.lit(0))).drop("_t")
     wi = Window.partitionBy(*group_cols, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     inner = s.withColumn("_in", F.sum(value_col).over(wi))
-    out = inner.join(offsets, [*group_cols, "_pid"], "inner")
+    out = _join_chunks(inner, offsets, group_cols)
     return out.withColumn(out_col, F.col("_off") + F.col("_in")).drop("_pid", "_mid", "_off", "_in")
 
 
@@ -110,7 +125,7 @@ def row_number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     if skew_safe:
         return distributed_row_number(df, group_cols, order_cols, out_col)
     w = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols))
-    return df.withColumn(out_col, F.row_number().over(w))
+    return df.withColumn(out_col, F.row_number().over(w).cast("bigint"))
 
 
 def running_sum_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, value_col: str,

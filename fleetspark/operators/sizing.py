@@ -1,6 +1,6 @@
 """Size checks in front of every explicit broadcast.
 
-A side is broadcast only after a bounded probe (``limit(n+1).count()``) proves
+A side is broadcast only after a bounded probe (an aggregated count) proves
 it has at most ``n`` rows; otherwise the caller takes its shuffle path.  AQE
 may still turn a shuffle join into a broadcast at run time from real sizes.
 """
@@ -15,7 +15,8 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    """One aggregated count: a task sends one number, where ``limit`` would send its rows to one task."""
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:

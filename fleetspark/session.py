@@ -2,8 +2,8 @@
 
 The library never hard-codes a machine-local folder: lineage is cut with
 ``DataFrame.checkpoint()`` into the shared folder the cluster names in
-``spark.checkpoint.dir``.  Only when that setting is absent (tests, laptops)
-do we set one ourselves.
+``spark.checkpoint.dir``.  Only when that setting is absent and the master is local
+(tests, laptops) do we set one ourselves; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="fleetspark-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

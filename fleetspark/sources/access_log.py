@@ -23,7 +23,7 @@ FIELDS = ["remote_addr", "remote_user", "time_local", "request", "status", "body
 def local_time_to_utc(text) -> F.Column:
     """``10/Oct/2000:13:55:36 -0700`` -> UTC TIMESTAMP_NTZ."""
     c = F.col(text) if isinstance(text, str) else text
-    stamp = F.to_timestamp_ntz(F.regexp_extract(c, r"^(\S+)", 1), F.lit("dd/MMM/yyyy:HH:mm:ss"))
+    stamp = F.try_to_timestamp(F.regexp_extract(c, r"^(\S+)", 1), F.lit("dd/MMM/yyyy:HH:mm:ss")).cast("timestamp_ntz")
     zone = F.regexp_extract(c, r"([+-])(\d{2})(\d{2})$", 0)
     sign = F.when(F.substr(zone, F.lit(1), F.lit(1)) == "-", F.lit(-1)).otherwise(F.lit(1))
     minutes = (F.substr(zone, F.lit(2), F.lit(2)).try_cast("int") * 60
@@ -34,7 +34,9 @@ def local_time_to_utc(text) -> F.Column:
 
 def parse_access_log(lines: DataFrame, line_col: str = "value", keep_cols=()) -> tuple[DataFrame, DataFrame]:
     """Split into (parsed, rejects).  ``parsed`` has the nine declared fields."""
-    ok = F.coalesce(F.col(line_col).rlike(MAIN_FORMAT), F.lit(False))
+    # a line of the right form whose date is none is a reject, not an error
+    dated = local_time_to_utc(F.regexp_extract(F.col(line_col), MAIN_FORMAT, 3)).isNotNull()
+    ok = F.coalesce(F.col(line_col).rlike(MAIN_FORMAT) & dated, F.lit(False))
     good = lines.where(ok)
     g = lambda i: F.regexp_extract(F.col(line_col), MAIN_FORMAT, i)
     parsed = good.select(
@@ -44,7 +46,7 @@ def parse_access_log(lines: DataFrame, line_col: str = "value", keep_cols=()) ->
         local_time_to_utc(g(3)).alias("time_local"),
         g(4).alias("request"),
         g(5).cast("int").alias("status"),
-        F.when(g(6) != "-", g(6).cast("bigint")).alias("body_bytes_sent"),
+        F.when(g(6) != "-", g(6).try_cast("bigint")).alias("body_bytes_sent"),
         g(7).alias("referer"),
         g(8).alias("user_agent"),
         g(9).alias("x_forwarded_for"),

@@ -32,6 +32,14 @@ def read_listing(spark: SparkSession, paths: str | Sequence[str], schema: str,
     return elems.where(F.col("e").isNotNull()).select("file", "ord", "e.*")
 
 
+def rejected_listings(spark: SparkSession, paths: str | Sequence[str], schema: str, recursive: bool = False) -> DataFrame:
+    """Files (``file``, ``js``) that are no JSON array of ``schema``, such as truncated ones: ``read_listing``
+    has no row of them."""
+    reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
+    raw = reader.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("js"))
+    return raw.where(F.from_json("js", f"array<struct<{_struct_fields(schema)}>>").isNull())
+
+
 def write_listing_documents(objects: DataFrame, path: str, n_docs: int, key) -> None:
     """Write JSON objects (column ``value``) as ``n_docs`` JSON-array files.
 

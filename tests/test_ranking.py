@@ -4,7 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetspark.operators.graph import ordered_list
-from fleetspark.operators.ranking import distributed_row_number, ordered_list_chunks
+from fleetspark.operators.ranking import distributed_row_number, distributed_running_sum, ordered_list_chunks
+
+w_first = Window.unboundedPreceding
 
 
 def skewed(spark, n=3000):
@@ -34,3 +36,17 @@ def test_ordered_list_chunks_join_to_the_whole_list(spark):
         joined[r["g"]] = r["members"] if r["g"] not in joined else joined[r["g"]] + "," + r["members"]
     assert joined == whole
     assert max(r["chunk"] for r in chunks if r["g"] == "hot") >= 1
+
+
+def test_extra_columns_and_null_groups_keep_every_row(spark):
+    df = skewed(spark, 30000).select(F.when(F.col("g") != "g7", F.col("g")).alias("g"), "o", "k",
+                                     F.sha2(F.col("k").cast("string"), 256).alias("payload"))
+    w = Window.partitionBy("g").orderBy("o", "k")
+    want = df.select("k", F.row_number().over(w).alias("rn"), F.sum("k").over(w.rowsBetween(w_first, 0)).alias("s"))
+    want = {r["k"]: (r["rn"], r["s"]) for r in want.collect()}
+    got = distributed_row_number(df, ["g"], ["o", "k"], n_partitions=8)
+    assert got.select("k", "rn").count() == 30000
+    for _ in range(2):  # one evaluation with all columns, one pruned
+        assert {r["k"]: r["rn"] for r in got.collect()} == {k: v[0] for k, v in want.items()}
+    sums = distributed_running_sum(df, ["g"], ["o", "k"], "k", n_partitions=8)
+    assert {r["k"]: r["running"] for r in sums.collect()} == {k: v[1] for k, v in want.items()}
