@@ -28,33 +28,13 @@ PORTS = [22, 80, 443, 8080, 50070]
 _TEXT_TABLES = {"documents", "pages"}
 
 
-_LOADED: dict[tuple, tuple[SparkSession, DataFrame]] = {}
-
-
-def _session_key(spark: SparkSession) -> tuple:
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - no SparkContext exposed
-        app = None
-    return app, id(spark)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool | None = None) -> DataFrame:
     """A driver table.  With ``spread_rows`` (default: text tables only) a scan
-    with fewer splits than cores is spread (see ``sizing.spread``).  The
-    resolved scan is reused within one session and application, so the
-    parquet footers and file listing are read once."""
+    with fewer splits than cores is spread (see ``sizing.spread``)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     want = (name in _TEXT_TABLES) if spread_rows is None else spread_rows
-    key = (*_session_key(spark), path, want)
-    hit = _LOADED.get(key)
-    if hit is not None and hit[0] is spark:
-        return hit[1]
     df = spark.read.parquet(path)
-    if want:
-        df = spread(df)
-    _LOADED[key] = (spark, df)  # the session is kept referenced, so its id is not reused
-    return df
+    return spread(df) if want else df
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
