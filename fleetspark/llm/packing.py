@@ -86,9 +86,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = SEQUENCE_TOK
         encoder = ChunkEncoder.of_worker(tokenizer, words=True)
         step = 4 * max_tokens
         for batch in batches:
-            for first, texts in text_blocks(batch, "text"):
+            for first, texts in text_blocks(batch.column("text"), 2 << 20):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, raw in enumerate(encoder.encode(texts)):
+                for i, raw in enumerate(encoder.encode(texts.to_pylist())):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), step)):
                         part = raw[at:at + step]

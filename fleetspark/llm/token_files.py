@@ -11,8 +11,10 @@ fetch some documents' ids, or only metadata, without reading the rest
 (``read_tokens``).
 
 ``ChunkEncoder`` calls the ``tokenizers`` library for each distinct chunk between
-white space once and joins cached id bytes; texts whose white space could make
-the result depend on more than one chunk go through the library whole.
+white space once and keeps its ids; a block of texts is split into chunks and
+numbered by Arrow, so Python looks up each distinct chunk of a block once. Texts
+whose white space could make the result depend on more than one chunk go through
+the library whole.
 
 Defined results: a null text counts as empty (only the end id); rows are ordered
 by ``doc_id`` with nulls first, rows of one ``doc_id`` by their text; repeated
@@ -27,6 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +39,6 @@ from fleetspark.llm.common import scratch
 END_ID = 0
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 _ODD = "\x1c\x1d\x1e\x1f"
-_PLAIN_SPACE = (" ", "\n")
-#: two of these in a row, or any other white space: the split into chunks could change ids
-_JOINED_SPACE = ("  ", " \n", "\n ", "\n\n", *[chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"])
 _MARKS = ".,!?;:"
 
 
@@ -59,7 +59,7 @@ class _Chunks(dict):
         super().__init__()
         self.encode, self.longest = encode, longest
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: str) -> bytes | None:
         ids = self.encode(chunk)
         if len(chunk) <= self.longest and chunk[:1] != "\n":  # a line's first chunk has its own entry
             self[chunk] = ids
@@ -71,7 +71,8 @@ class ChunkEncoder:
 
     ``words=True`` is for vocabularies that lower-case and drop white space (every
     chunk is independent); ``words=False`` for byte-level ones, where a blank
-    belongs to the chunk after it.  A chunk of letters, with or without marks after
+    belongs to the chunk after it and a chunk that holds or borders on other white
+    space than one blank or line feed has no ids of its own.  A chunk of letters, with or without marks after
     it, goes straight to the vocabulary's model; anything else through the whole
     tokenizer.  At most ``max_entries`` chunks of ``longest`` characters are kept; beyond
     that the cache starts anew.
@@ -103,77 +104,101 @@ class ChunkEncoder:
     def _bytes(ids) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _chunk(self, chunk: str, led: bool) -> bytes:
-        if chunk[:1] == "\n" and not self.words:
-            return self.newline + self.first[chunk[1:]]
-        if not chunk:
-            return b""
+    def _chunk(self, chunk: str, led: bool) -> bytes | None:
+        if not self.words:
+            line = chunk[1:] if chunk[:1] == "\n" else chunk
+            if line.split() != [line]:
+                return None
+            if line is not chunk:
+                return self.newline + self.first[line]
         stem = chunk.rstrip(_MARKS)
         if not stem.isalpha() or self.words and max(stem) > "\xff":
             return self._bytes(self._ids(" " + chunk if led else chunk))
         shown = stem.lower() if self.words else stem
         if not shown.isascii():
             shown = "".join([_SHOWN[b] for b in shown.encode()])
-        ids = self._bytes([t.id for t in self.model.tokenize(_SHOWN[32] + shown if led else shown)])
         tail = chunk[len(stem):]
+        ids = (self.led if led or self.words else self.first).get(stem) if tail else None
+        if ids is None:
+            ids = self._bytes([t.id for t in self.model.tokenize(_SHOWN[32] + shown if led else shown)])
         if tail not in self.tails:
             self.tails[tail] = self._bytes(self._ids(tail))
         return ids + self.tails[tail]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Id bytes of each text."""
+    def _bound(self) -> None:
         if len(self.led) + len(self.first) > self.max_entries:
             self.led.clear()
             self.first.clear()
         if len(self.tails) > 10_000:
             self.tails = {"": b""}
-        return [self._words(t) if self.words else self._lines(t) for t in texts]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Id bytes of each text."""
+        self._bound()
+        if self.words:
+            return [self._words(t) for t in texts]
+        ids, n = self.encode_block(pa.array(texts, type=pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(n)[:-1])]
 
     def _words(self, text: str) -> bytes:
         if any(c in text for c in _ODD):  # white space to Python only
             return self._bytes(self._ids(text))
         return b"".join(map(self.led.__getitem__, text.split()))
 
-    def _lines(self, text: str) -> bytes:
-        if text[:1] in _PLAIN_SPACE or text[-1:] in _PLAIN_SPACE or any([c in text for c in _JOINED_SPACE]):
-            if text:  # white space other than single blanks and line feeds within the text
-                return self._bytes(self._ids(text))
-        pieces = iter(text.replace("\n", " \n").split(" "))
-        return self.first[next(pieces)] + b"".join(map(self.led.__getitem__, pieces))
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has (``words=False``; no nulls)."""
+        self._bound()
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        n_pieces = pc.list_value_length(pieces).to_numpy().astype(np.int64)
+        heads = np.cumsum(n_pieces) - n_pieces
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        table = [self.led[chunk] for chunk in distinct]
+        whole = np.logical_or.reduceat(np.asarray([ids is None for ids in table])[codes], heads)
+        # a text's first piece follows no blank: it, or the whole text, has an entry of its own
+        first = [self._bytes(self._ids(texts[i].as_py())) if alone else self.first[distinct[code]]
+                 for i, (alone, code) in enumerate(zip(whole.tolist(), codes[heads].tolist(), strict=True))]
+        codes[heads] = len(table) + np.arange(len(first))
+        if whole.any():
+            kept = ~np.repeat(whole, n_pieces)
+            kept[heads] = True
+            codes, n_pieces = codes[kept], np.where(whole, 1, n_pieces)
+            heads = np.cumsum(n_pieces) - n_pieces
+        table = [ids or b"" for ids in table] + first
+        sizes = np.asarray([len(ids) // 4 for ids in table], dtype=np.int64)
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        at = np.repeat(begins[codes] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(table), dtype="<i4")[at], np.add.reduceat(n, heads)
 
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, max_chars: int = 2 << 20):
-    """(first row, texts) blocks of about ``max_chars`` characters; null counts as empty."""
-    texts: list[str] = []
-    size = first = 0
-    for i, value in enumerate(batch.column(column)):
-        text = value.as_py() or ""
-        texts.append(text)
-        size += len(text)
-        if size >= max_chars:
-            yield first, texts
-            first, texts, size = i + 1, [], 0
-    if texts:
-        yield first, texts
+def text_blocks(texts: pa.Array, max_bytes: int = 8 << 20):
+    """(first row, texts) blocks of about ``max_bytes`` bytes; null counts as empty."""
+    texts = pc.fill_null(texts, "")
+    before = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // max_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(texts)]
+    for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+        if end > first:
+            yield first, texts.slice(first, end - first)
 
 
 def _encoder_map(path: str, end_id: int):
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-
     def encode(batches):
         encoder = ChunkEncoder.of_worker(path, words=False)
         part, local = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, texts in text_blocks(batch, "text"):
-                raw = [b + end for b in encoder.encode(texts)]
-                n = np.asarray([len(b) // 4 for b in raw], dtype=np.int64)
+            for first, texts in text_blocks(batch.column("text")):
+                ids, n = encoder.encode_block(texts)
+                ids = np.insert(ids, np.cumsum(n), end_id)
+                n = n + 1
                 ends = np.cumsum(n)
                 start = local + ends - n
                 local += int(ends[-1])
-                ids = np.frombuffer(b"".join(raw), dtype="<i4")
                 offsets = np.concatenate([[0], ends]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, len(texts)).cast(pa.int64()),

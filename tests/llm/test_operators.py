@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -78,6 +79,19 @@ def test_chunked_encoding_is_exact(path, words):
         assert e.encode([t])[0] == np.asarray(e._ids(t), dtype="<u4").tobytes(), repr(t)
 
 
+def test_blocks_of_texts_encode_like_each_text():
+    draw = random.Random(2)
+    parts = [*"abZÉé.,! \n\t1\r", "  ", "thonre", "thonre,", " word", "\u3000"]
+    texts = [None, "", *["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) for _ in range(3000)], "x" * 5000]
+    e = token_files.ChunkEncoder(BYTE_BPE, False)
+    got = []
+    for first, block in token_files.text_blocks(pa.array(texts), max_bytes=500):
+        assert first == len(got)
+        ids, n = e.encode_block(block)
+        got += [part.tolist() for part in np.split(ids, np.cumsum(n)[:-1])]
+    assert [[*ids, 0] for ids in got] == encoded(BYTE_BPE, texts)
+
+
 def by_id(rows):
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
 
