@@ -177,7 +177,7 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def text_blocks(texts: pa.Array, max_bytes: int = 8 << 20):
+def text_blocks(texts: pa.Array, max_bytes: int = 4 << 20):
     """(first row, texts) blocks of about ``max_bytes`` bytes; null counts as empty."""
     texts = pc.fill_null(texts, "")
     before = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // max_bytes
