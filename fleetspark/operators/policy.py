@@ -3,18 +3,16 @@ CIDR / range membership (P9, P10).
 
 Scale notes
 * P11: a rule list is small and its size is probed.  Up to ``max_inline`` rules
-  it is folded into one CASE expression over the flow columns: no join, no
-  shuffle, one codegen'd pass over the flows.  A larger list is left-joined
+  it is folded into one CASE over the flow columns that finds the rule's place
+  (verdict and rank are looked up there): no join, no shuffle, one pass.  A larger list is left-joined
   (broadcast if the probe allows, else an equi-join on (chain, salt) with the
   rules replicated per salt so one hot chain spreads over many tasks) and the
   first match per flow is a ``row_number() = 1`` window on the flow id, limited
   map-side before its one shuffle (flow ids are unique, so it is not skewed).
-* J7: one equality join per distinct prefix length (at most 33 for IPv4) on the
-  masked address.  Every length whose slice is within the broadcast bound (a
-  /L slice has at most 2^L rows, so short prefixes always are) is a broadcast
-  hash join and the big side never shuffles.  Only the oversized slices take
-  the explode path: one shuffle equi-join on (length, network) and a
-  first-per-point window.
+* J7: one left equality join per distinct prefix length (at most 33 for IPv4)
+  on the masked address.  The smallest slices are broadcast while their sum is
+  within the bound, and then the big side does not shuffle; larger slices are
+  shuffle joins.  No row multiplies, so no window follows.
 * P10: ranges are cut into aligned address buckets and equi-joined on the
   bucket, so no nested-loop join is planned on the big side.
 """
@@ -79,10 +77,17 @@ def _rule_condition_join(f: DataFrame, r: DataFrame, n: dict) -> Column:
             & any_or("syn", F.col("syn") == rc("syn")))
 
 
-def _chain_policies(policies: DataFrame, max_rows: int) -> dict:
-    """Verdict by chain; a chain listed twice takes the verdict that sorts last, in every plan."""
-    return {p["chain"]: p["verdict"] for p in sorted(
-        collect_bounded(policies, max_rows, "policy table"), key=lambda p: (str(p["chain"]), str(p["verdict"])))}
+def _with_policy(flows: DataFrame, policies: DataFrame, max_inline: int, max_broadcast_rows: int) -> DataFrame:
+    """Add ``_policy``, the verdict of the flow's chain; of a chain listed twice the one that sorts last."""
+    known = policies.where(F.col("chain").isNotNull()).groupBy(F.col("chain").alias("_pc")).agg(F.max("verdict").alias("_policy"))
+    got = known.limit(max_inline + 1).collect()
+    if len(got) > max_inline:
+        side, _ = broadcast_if_small(known, max_broadcast_rows)
+        return flows.join(side, F.col("chain") == F.col("_pc"), "left").drop("_pc")
+    default = F.lit(None).cast("string")
+    for p in got:
+        default = F.when(F.col("chain") == p["_pc"], F.lit(p["_policy"])).otherwise(default)
+    return flows.withColumn("_policy", default)
 
 
 def first_match(flows: DataFrame, rules: DataFrame, policies: DataFrame,
@@ -105,20 +110,17 @@ def first_match(flows: DataFrame, rules: DataFrame, policies: DataFrame,
         else:
             strategy = "join"
     if strategy == "inline":
-        ps = _chain_policies(policies, max_inline)
-        verdict = rank = None
-        for r in rs:
-            cond = _rule_condition_row(r)
-            verdict = F.when(cond, F.lit(r["verdict"])) if verdict is None else verdict.when(cond, F.lit(r["verdict"]))
-            rank = F.when(cond, F.lit(int(r["rank"]))) if rank is None else rank.when(cond, F.lit(int(r["rank"])))
-        default = None
-        for chain, v in ps.items():
-            default = (F.when(F.col("chain") == chain, F.lit(v)) if default is None
-                       else default.when(F.col("chain") == chain, F.lit(v)))
-        default = default if default is not None else F.lit(None).cast("string")
-        verdict = default if verdict is None else verdict.otherwise(default)
-        rank = F.lit(None).cast("int") if rank is None else rank
-        return flows.withColumn("verdict", verdict).withColumn("rule_rank", rank.cast("int"))
+        # one CASE finds the rule's place; its verdict and rank are looked up there
+        place = F.lit(None).cast("int")
+        if rs:
+            place = F.when(_rule_condition_row(rs[0]), F.lit(1))
+            for i, r in enumerate(rs[1:], 2):
+                place = place.when(_rule_condition_row(r), F.lit(i))
+        verdicts = F.array(*[F.lit(r["verdict"]).cast("string") for r in rs] or [F.lit(None).cast("string")])
+        ranks = F.array(*[F.lit(int(r["rank"])) for r in rs] or [F.lit(None).cast("int")])
+        out = _with_policy(flows.withColumn("_place", place), policies, max_inline, max_broadcast_rows)
+        return (out.withColumn("verdict", F.coalesce(F.get(verdicts, F.col("_place") - 1), F.col("_policy")))
+                .withColumn("rule_rank", F.get(ranks, F.col("_place") - 1)).drop("_place", "_policy"))
 
     # join strategy: every flow row meets the rules it matches (left join, so a
     # flow with no match survives with nulls), then the lowest rank per flow is
@@ -139,15 +141,10 @@ def first_match(flows: DataFrame, rules: DataFrame, policies: DataFrame,
     # by row, not by id alone: flows that share an id each keep a verdict, as in the inline plan
     w = Window.partitionBy(id_col, "_row").orderBy(F.col("_r_rank").asc_nulls_last())
     first = matched.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1)
-    ps = _chain_policies(policies, max_inline)
-    default = None
-    for chain, v in ps.items():
-        default = (F.when(F.col("chain") == chain, F.lit(v)) if default is None
-                   else default.when(F.col("chain") == chain, F.lit(v)))
-    default = default if default is not None else F.lit(None).cast("string")
-    out = (first.withColumn("verdict", F.coalesce(F.col("_r_verdict"), default))
-                .withColumn("rule_rank", F.col("_r_rank").cast("int")))
-    return out.drop("_k", "_row", *renamed.values())
+    out = (_with_policy(first, policies, max_inline, max_broadcast_rows)
+           .withColumn("verdict", F.coalesce(F.col("_r_verdict"), F.col("_policy")))
+           .withColumn("rule_rank", F.col("_r_rank").cast("int")))
+    return out.drop("_k", "_row", "_policy", *renamed.values())
 
 
 # --------------------------------------------------------------------------- J7
@@ -167,44 +164,34 @@ def most_specific_prefix(points: DataFrame, ip_col: str, prefixes: DataFrame,
     """Attribute of the longest prefix containing each address; null when none.
 
     The prefix table is sized per length in one small job (at most 33 rows
-    come back).  Each length whose slice fits the broadcast bound is a
-    broadcast hash join on the masked address (no shuffle of ``points``).  The
-    lengths whose slices are too big (long prefixes of a huge table) are
-    handled together: ``points`` rows are expanded to those lengths,
-    left-joined on (length, network) and the longest hit per ``id_col`` is
-    kept by a window per row (``id_col``, if given, only adds to the row's identity).
+    come back), and each length is one left equi-join on the masked address.
+    A slice holds a network once, so no row multiplies and no row needs an
+    identity (``id_col`` is accepted and not used).  The smallest slices are
+    broadcast as long as all of them together stay within
+    ``max_broadcast_rows``; the others are shuffle joins on the network, which
+    AQE splits where an address is hot.  The same plan serves streams.
     """
     p = normalize_prefixes(prefixes)
     sizes = {int(r[0]): int(r[1]) for r in collect_bounded(
         p.groupBy("prefix_len").count(), 33, "prefix lengths")}
-    small = sorted((x for x, c in sizes.items() if c <= max_broadcast_rows), reverse=True)
-    big = sorted((x for x, c in sizes.items() if c > max_broadcast_rows), reverse=True)
-    out = points
-    if big:
-        pb = p.where(F.col("prefix_len").isin(big)).select(
-            F.col("net").alias("_pn"), F.col("prefix_len").alias("_pl"), F.col("attr").alias("_pa"))
-        ex = (out.withColumn("_row", F.monotonically_increasing_id()).withColumn("_len", F.explode(F.array(*[F.lit(x) for x in big])))
-                 .withColumn("_net", network_key(F.col(ip_col), F.col("_len"))))
-        hits = ex.join(pb, (F.col("_len") == F.col("_pl")) & (F.col("_net") == F.col("_pn")), "left")
-        w = Window.partitionBy(*([id_col] if id_col else []), "_row").orderBy(F.col("_pl").desc_nulls_last())
-        out = (hits.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1)
-                   .drop("_k", "_row", "_len", "_net", "_pn"))
-    else:
-        out = out.withColumn("_pl", F.lit(None).cast("int")).withColumn("_pa", F.lit(None).cast("string"))
-    attrs, lens, drop = [], [], ["_pl", "_pa"]
-    for i, length in enumerate(small):
-        side = F.broadcast(p.where(F.col("prefix_len") == length).select(
-            F.col("net").alias(f"_n{i}"), F.col("attr").alias(f"_a{i}")))
-        out = out.join(side, network_key(F.col(ip_col), length) == F.col(f"_n{i}"), "left")
-        attrs.append(F.col(f"_a{i}"))
+    room, small = max_broadcast_rows, set()
+    for length in sorted(sizes, key=lambda x: (sizes[x], x)):
+        room -= sizes[length]
+        if room >= 0:
+            small.add(length)
+    out, attrs, lens, drop = points, [], [], []
+    for i, length in enumerate(sorted(sizes, reverse=True)):
+        side = p.where(F.col("prefix_len") == length).select(F.col("net").alias(f"_n{i}"), F.col("attr").alias(f"_a{i}"))
+        out = out.join(F.broadcast(side) if length in small else side,
+                       network_key(F.col(ip_col), length) == F.col(f"_n{i}"), "left")
+        attrs.append((F.col(f"_n{i}").isNotNull(), F.col(f"_a{i}")))
         lens.append(F.when(F.col(f"_n{i}").isNotNull(), F.lit(length)))
         drop += [f"_n{i}", f"_a{i}"]
-    s_attr = F.coalesce(*attrs) if attrs else F.lit(None).cast("string")
-    s_len = F.coalesce(*lens) if lens else F.lit(None).cast("int")
-    use_big = F.col("_pl").isNotNull() & (s_len.isNull() | (F.col("_pl") > s_len))
-    return (out.withColumn(attr_col, F.when(use_big, F.col("_pa")).otherwise(s_attr))
-               .withColumn(len_col, F.when(use_big, F.col("_pl")).otherwise(s_len).cast("int"))
-               .drop(*drop))
+    attr = F.lit(None).cast("string")
+    for hit, value in reversed(attrs):
+        attr = F.when(hit, value).otherwise(attr)
+    longest = F.coalesce(*lens) if lens else F.lit(None)
+    return out.withColumn(attr_col, attr).withColumn(len_col, longest.cast("int")).drop(*drop)
 
 
 # --------------------------------------------------------------------------- P10

@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetspark.plans.q_lines import _embedded_copy
-from fleetspark.plans.q_policy import policies_frame, prefixes_frame, rules_frame
+from fleetspark.plans.q_policy import policies_frame, prefix_points, prefixes_frame, rules_frame
 from fleetspark.plans.q_retention import _logs
 from fleetspark.plans.q_scan import _log_lines
-from fleetspark.plans.tables import BASE_ADDRESS, doc_lines, flows, table
+from fleetspark.plans.tables import doc_lines, flows, table
 
 _DOT = "concat_ws('.', shiftright({x}, 24) & 255, shiftright({x}, 16) & 255, shiftright({x}, 8) & 255, {x} & 255)"
 
@@ -53,8 +53,7 @@ FROM b_flows f LEFT JOIN m ON m.flow_id = f.flow_id LEFT JOIN b_pol p ON p.chain
 
 
 def prefix_enrich(spark, d):
-    pts = table(spark, d, "events").select("event_id", (F.lit(BASE_ADDRESS) + F.col("user_id")).alias("src"))
-    _views(spark, b_points=pts, b_prefixes=prefixes_frame(spark, d))
+    _views(spark, b_points=prefix_points(spark, d), b_prefixes=prefixes_frame(spark, d))
     mask = "(4294967296 - CAST(pow(2, 32 - {l}) AS BIGINT))"
     return spark.sql(f"""
 WITH pn AS (SELECT net & {mask.format(l='prefix_len')} AS net, prefix_len, min(attr) AS attr
@@ -71,7 +70,7 @@ def deadline(spark, d):
     return spark.sql("""
 SELECT s.user_id, s.event_id, s.ts AS started, min(p.ts) AS done_at,
        CASE WHEN min(p.ts) IS NULL THEN 'timeout' ELSE 'done' END AS status
-FROM (SELECT user_id, event_id, ts FROM b_events WHERE event_type = 'signup') s
+FROM (SELECT user_id, event_id, ts FROM b_events WHERE event_type = 'click') s
 LEFT JOIN (SELECT user_id, ts FROM b_events WHERE event_type = 'purchase') p
   ON p.user_id = s.user_id AND p.ts BETWEEN s.ts AND s.ts + INTERVAL 120 SECONDS
 GROUP BY s.user_id, s.event_id, s.ts""")

@@ -33,7 +33,7 @@ def template_references(spark, d):
 
 def secret_audit(spark, d):
     """Assignments scanned from document lines; secret-like keys with a well-known value flagged."""
-    cfg = inline_assignments(doc_lines(spark, d, must_contain=' = "'), ASSIGNMENT, ["doc_id", "line_no"])
+    cfg = inline_assignments(doc_lines(spark, d), ASSIGNMENT, ["doc_id", "line_no"])
     return default_secret_audit(cfg).select("doc_id", "line_no", "key", "value", "is_default")
 
 
@@ -62,10 +62,10 @@ def daemon_stop_order(spark, d):
 
 
 def _dirs(spark, d):
-    """Two directories from events: clicks are the source, views the target; one file per user-day."""
-    e = table(spark, d, "events").where(F.col("event_type").isin("click", "view"))
+    """Two directories from all events: clicks and signups are the source, the rest the target; one file per user-day."""
+    e = table(spark, d, "events")
     files = e.groupBy(
-        F.when(F.col("event_type") == "click", "source").otherwise("target").alias("dir"),
+        F.when(F.col("event_type").isin("click", "signup"), "source").otherwise("target").alias("dir"),
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"),
                  F.date_format("ts", "yyyy-MM-dd")).alias("name"),
     ).agg(F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz").alias("mtime"),
@@ -104,10 +104,10 @@ n AS (SELECT *, CASE WHEN val IN ('no', '') THEN 0 WHEN val IN ('yes', 'true') T
 p AS (SELECT host, daemon, list_pos, CAST(CASE WHEN daemon <> 'zebra' AND b > 0 THEN b + 1 ELSE b END AS INTEGER) AS prio FROM n)"""
 
 _DIRS_SQL = """f AS (
-  SELECT CASE WHEN event_type = 'click' THEN 'source' ELSE 'target' END AS side,
+  SELECT CASE WHEN event_type IN ('click', 'signup') THEN 'source' ELSE 'target' END AS side,
          'u' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS name,
-         date_trunc('hour', max(ts)) AS mtime, arg_max(event_id, ts) AS content
-  FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL)"""
+         date_trunc('hour', max(ts)) AS mtime, last(event_id ORDER BY ts, event_id) AS content
+  FROM events GROUP BY ALL)"""
 
 ORACLE = {
     "placeholder_audit": """

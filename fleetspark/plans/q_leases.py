@@ -49,10 +49,10 @@ def nested_exists(spark, d):
 
 
 def bounded_alloc(spark, d):
-    """Urgent orders per customer: valid with at least 2, take at most 3 (A5)."""
-    o = table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT")
-    out = bounded_allocation(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], 2, 3)
-    return out.select("o_custkey", "o_orderkey", "pick", "n_candidates")
+    """Orders per customer and priority: valid with at least 2, take at most 3 (A5)."""
+    o = table(spark, d, "orders")
+    out = bounded_allocation(o, ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"], 2, 3)
+    return out.select("o_custkey", "o_orderpriority", "o_orderkey", "pick", "n_candidates")
 
 
 def double_json(spark, d):
@@ -106,11 +106,10 @@ SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus FROM orders o
 WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')
 """,
     "bounded_alloc": """
-WITH c AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT'),
-r AS (SELECT o_custkey, o_orderkey,
-             CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS pick,
-             COUNT(*) OVER (PARTITION BY o_custkey) AS n_candidates FROM c)
-SELECT o_custkey, o_orderkey, pick, n_candidates FROM r WHERE n_candidates >= 2 AND pick <= 3
+WITH r AS (SELECT o_custkey, o_orderpriority, o_orderkey,
+             CAST(row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS pick,
+             COUNT(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n_candidates FROM orders)
+SELECT o_custkey, o_orderpriority, o_orderkey, pick, n_candidates FROM r WHERE n_candidates >= 2 AND pick <= 3
 """,
     "double_json": """
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events

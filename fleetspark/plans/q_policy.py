@@ -62,7 +62,7 @@ def first_match_policy(spark, d):
 
 
 def first_match_joined(spark, d):
-    """P11 through the rule-join plan (broadcast rules + min_by); same answer as the inline plan."""
+    """P11 through the rule-join plan (broadcast rules, first match by a window); same answer as the inline plan."""
     out = first_match(flows(spark, d), rules_frame(spark), policies_frame(spark), strategy="join")
     return out.select("flow_id", "verdict", "rule_rank")
 
@@ -93,29 +93,33 @@ def pool_range(spark, d):
 
 
 def prefixes_frame(spark, d):
-    """Prefix table: a campus /16, a /24 per nation, a /29 per supplier, a /32 per BUILDING customer."""
+    """Prefix table: a campus /16, a /24 per nation, a /29 per supplier, a /32 per customer (every third address)."""
     base = F.lit(BASE_ADDRESS)
     campus = spark.createDataFrame([(BASE_ADDRESS, 16, "campus")], "net bigint, prefix_len int, attr string")
     nat = table(spark, d, "nation").select((base + F.col("n_nationkey") * 256).alias("net"),
                                            F.lit(24).alias("prefix_len"), F.col("n_name").alias("attr"))
     sup = table(spark, d, "supplier").select((base + F.col("s_suppkey") * 8).alias("net"),
                                              F.lit(29).alias("prefix_len"), F.col("s_name").alias("attr"))
-    cus = table(spark, d, "customer").where(F.col("c_mktsegment") == "BUILDING").select(
-        (base + F.col("c_custkey")).alias("net"), F.lit(32).alias("prefix_len"), F.col("c_name").alias("attr"))
+    cus = table(spark, d, "customer").select(
+        (base + F.col("c_custkey") * 3).alias("net"), F.lit(32).alias("prefix_len"), F.col("c_name").alias("attr"))
     return campus.unionByName(nat).unionByName(sup).unionByName(cus)
 
 
+def prefix_points(spark, d):
+    """An address per event, spread over the campus and as much again outside it."""
+    address = F.lit(BASE_ADDRESS) + F.pmod(F.col("user_id") * 1009, F.lit(131072))
+    return table(spark, d, "events").select("event_id", address.alias("src"))
+
+
 def prefix_enrich(spark, d):
     """Most specific containing network per event source address."""
-    e = table(spark, d, "events").select("event_id", (F.lit(BASE_ADDRESS) + F.col("user_id")).alias("src"))
-    out = most_specific_prefix(e, "src", prefixes_frame(spark, d))
+    out = most_specific_prefix(prefix_points(spark, d), "src", prefixes_frame(spark, d))
     return out.select("event_id", num_to_ip("src").alias("src_ip"), "attr", "prefix_len")
 
 
 def prefix_enrich_shuffled(spark, d):
-    """J7 through the big-prefix-table plan (explode lengths, one shuffle join, max_by)."""
-    e = table(spark, d, "events").select("event_id", (F.lit(BASE_ADDRESS) + F.col("user_id")).alias("src"))
-    out = most_specific_prefix(e, "src", prefixes_frame(spark, d), id_col="event_id", max_broadcast_rows=0)
+    """J7 without explicit broadcasts (prefix tables of any size): one keyed join per length."""
+    out = most_specific_prefix(prefix_points(spark, d), "src", prefixes_frame(spark, d), max_broadcast_rows=0)
     return out.select("event_id", num_to_ip("src").alias("src_ip"), "attr", "prefix_len")
 
 
@@ -199,19 +203,20 @@ SELECT f.flow_id, coalesce(m.v, 'DROP') AS verdict, CAST(m.k AS INTEGER) AS rule
 FROM flows2 f LEFT JOIN m ON m.flow_id = f.flow_id
 """
 
-PREFIX_SQL = """p AS (
+def prefix_sql(src: str) -> str:
+    return """p AS (
   SELECT 2886729728 AS net, 16 AS prefix_len, 'campus' AS attr
   UNION ALL SELECT 2886729728 + n_nationkey * 256, 24, n_name FROM nation
   UNION ALL SELECT 2886729728 + s_suppkey * 8, 29, s_name FROM supplier
-  UNION ALL SELECT 2886729728 + c_custkey, 32, c_name FROM customer WHERE c_mktsegment = 'BUILDING'),
+  UNION ALL SELECT 2886729728 + c_custkey * 3, 32, c_name FROM customer),
 pn AS (SELECT net // CAST(pow(2, 32 - prefix_len) AS BIGINT) AS blk, prefix_len, min(attr) AS attr FROM p GROUP BY ALL),
-e AS (SELECT event_id, 2886729728 + user_id AS src FROM events),
+e AS (SELECT event_id, 2886729728 + """ + src + """ AS src FROM events),
 hits AS (SELECT e.event_id, pn.attr, pn.prefix_len FROM e JOIN pn
          ON e.src // CAST(pow(2, 32 - pn.prefix_len) AS BIGINT) = pn.blk),
 best AS (SELECT event_id, arg_max(attr, prefix_len) AS attr, max(prefix_len) AS prefix_len FROM hits GROUP BY event_id)"""
 
 _PREFIX_Q = f"""
-WITH {PREFIX_SQL}
+WITH {prefix_sql("(user_id * 1009) % 131072")}
 SELECT e.event_id, {DOTTED.format(x='e.src')} AS src_ip, best.attr, CAST(best.prefix_len AS INTEGER) AS prefix_len
 FROM e LEFT JOIN best ON best.event_id = e.event_id
 """

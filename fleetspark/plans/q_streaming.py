@@ -21,9 +21,9 @@ WATERMARK = "10 minutes"
 
 
 def deadline(spark, d):
-    """Signup -> purchase by the same user within 120 s, else timeout (T1, batch)."""
+    """Click -> purchase by the same user within 120 s, else timeout (T1, batch)."""
     e = table(spark, d, "events")
-    starts = e.where(F.col("event_type") == "signup")
+    starts = e.where(F.col("event_type") == "click")
     dones = e.where(F.col("event_type") == "purchase")
     return deadline_batch(starts, dones, ["user_id"], "event_id", "ts", "ts", TIMEOUT_S).select(
         "user_id", "event_id", "started", "done_at", "status")
@@ -31,27 +31,29 @@ def deadline(spark, d):
 
 def _event_stream_with_close(spark, d):
     """The events file as a stream, plus an end-of-input marker one day after
-    the last event (derived from the table) so the watermark passes every real row."""
+    the last event (derived from the table) so the watermark passes every real row; with the last
+    event's time in microseconds, which tells real rows from the marker."""
     events = table(spark, d, "events")
     marker_dir = shared_path(spark, "events-close")
     close = events.agg(F.max("ts").alias("m")).select(
         F.lit(-1).cast("bigint").alias("event_id"), (F.col("m") + F.expr("INTERVAL 1 DAY")).alias("ts"),
-        F.lit(-1).cast("bigint").alias("user_id"), F.explode(F.array(F.lit("signup"), F.lit("purchase"))).alias(
+        F.lit(-1).cast("bigint").alias("user_id"), F.explode(F.array(F.lit("click"), F.lit("purchase"))).alias(
             "event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
     write_table(close.select(*events.columns), marker_dir, mode="overwrite")
+    last = events.agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("m")).first()["m"]
     s1 = read_event_stream(spark, d, schema=events.schema, file_glob="events.parquet")
     s2 = read_event_stream(spark, marker_dir, schema=events.schema)
-    return s1.unionByName(s2)
+    return s1.unionByName(s2), last
 
 
 def deadline_streaming(spark, d):
     """T1 as a stream-stream left outer join with watermarks (stream = batch)."""
-    ev = _event_stream_with_close(spark, d)
-    starts = ev.where(F.col("event_type") == "signup")
+    ev, last = _event_stream_with_close(spark, d)
+    starts = ev.where(F.col("event_type") == "click")
     dones = ev.where(F.col("event_type") == "purchase")
     out = run_available(deadline_stream(starts, dones, ["user_id"], "event_id", "ts", "ts", TIMEOUT_S, WATERMARK),
                         "deadline", state_partitions=parallelism(spark))
-    return out.where(F.col("event_id") >= 0).select(
+    return out.where(F.unix_micros(F.col("started").cast("timestamp")) <= F.lit(last)).select(
         "user_id", "event_id", F.col("started").cast("timestamp_ntz").alias("started"),
         F.col("done_at").cast("timestamp_ntz").alias("done_at"), "status")
 
@@ -87,21 +89,21 @@ QUERIES = {
 }
 
 _DEADLINE_SQL = """
-WITH s AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'signup'),
+WITH s AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'),
 p AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')
 SELECT s.user_id, s.event_id, s.ts AS started, min(p.ts) AS done_at,
        CASE WHEN min(p.ts) IS NOT NULL THEN 'done' ELSE 'timeout' END AS status
 FROM s LEFT JOIN p ON p.user_id = s.user_id AND p.ts BETWEEN s.ts AND s.ts + INTERVAL 120 SECOND
 GROUP BY s.user_id, s.event_id, s.ts"""
 
-from fleetspark.plans.q_policy import ORACLE as _POLICY_ORACLE, PREFIX_SQL  # noqa: E402
+from fleetspark.plans.q_policy import ORACLE as _POLICY_ORACLE, prefix_sql  # noqa: E402
 
 ORACLE = {
     "deadline": _DEADLINE_SQL,
     "deadline_stream": _DEADLINE_SQL,
     "stream_policy": _POLICY_ORACLE["first_match_policy"],
     "stream_enrich": f"""
-WITH {PREFIX_SQL}
+WITH {prefix_sql("user_id")}
 SELECT concat_ws('.', (e.src >> 24) & 255, (e.src >> 16) & 255, (e.src >> 8) & 255, e.src & 255) AS remote_addr,
        date_trunc('second', ev.ts) AS time_local,
        'GET /' || ev.event_type || '/' || CAST(ev.event_id AS VARCHAR) || ' HTTP/1.1' AS request,

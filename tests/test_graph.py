@@ -14,10 +14,10 @@ RDF = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"
   <rdf:Description rdf:about="http://example.org/r1#VLAN0">
     <topology:hasInterface rdf:resource="http://example.org/r1#VLAN0-a"/>
     <topology:hasInterface rdf:resource="http://example.org/r1#VLAN0-b"/>
-    <layer:bandwidth rdf:datatype="http://www.w3.org/2001/XMLSchema#integer">10000000</layer:bandwidth>
+    <layer:bandwidth rdf:datatype="http://www.w3.org/2001/XMLSchema#integer">2500</layer:bandwidth>
     <topology:hasGUID>g &amp; h</topology:hasGUID>
   </rdf:Description>
-  <rdf:Description rdf:about="http://example.org/r1#Hadoop+2.7.1+%28Centos7%29">
+  <rdf:Description rdf:about="http://example.org/r1#Kiwi+3.1+%28Lab%29">
     <time:days rdf:datatype="http://www.w3.org/2001/XMLSchema#decimal">1.5</time:days>
   </rdf:Description>
 </rdf:RDF>
@@ -93,4 +93,4 @@ def test_rdf_scan(spark, tmp_path):
     dt = t.where("predicate = 'layer:bandwidth'").first()["datatype"]
     assert dt.endswith("#integer")
     names = {r[0] for r in t.select(local_name("subject")).collect()}
-    assert "Hadoop 2.7.1 (Centos7)" in names
+    assert "Kiwi 3.1 (Lab)" in names

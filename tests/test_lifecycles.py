@@ -87,11 +87,11 @@ def test_lease_query(spark, tmp_path):
 
 
 def test_config_fill_and_schedule(spark):
-    template = "router bgp <LOCAL_ASN>\n neighbor <REMOTE_ROUTER_IP> remote-as <REMOTE_ASN>\n password <BGP_PASSWORD>"
-    t = spark.createDataFrame([("bgpd.conf", template)], "file string, text string")
-    filled = t.select("file", fill_placeholders("text", [("LOCAL_ASN", "65015"), ("REMOTE_ROUTER_IP", "172.16.100.2"),
-                                                          ("REMOTE_ASN", "55038")]).alias("text"))
-    assert rows(unresolved_placeholders(filled, "text", ["file"]), "placeholder") == [("BGP_PASSWORD",)]
+    template = "listen <PORT>\nupstream <PEER_NAME> weight <WEIGHT>\nticket <SHARED_TICKET>"
+    t = spark.createDataFrame([("edge.conf", template)], "file string, text string")
+    filled = t.select("file", fill_placeholders("text", [("PORT", "7001"), ("PEER_NAME", "kiwi"),
+                                                          ("WEIGHT", "12")]).alias("text"))
+    assert rows(unresolved_placeholders(filled, "text", ["file"]), "placeholder") == [("SHARED_TICKET",)]
     daemons_file = spark.createDataFrame([("host1", "zebra=yes\nbgpd=yes\nospfd=no\nripd=no\n")], "file string, text string")
     cfg = parse_kv_lines(to_lines(daemons_file, "text", ["file"]))
     d = cfg.select(F.col("file").alias("host"), F.col("key").alias("daemon"), "line_no",
