@@ -2,13 +2,13 @@
 CIDR / range membership (P9, P10).
 
 Scale notes
-* P11: a rule list is small and its size is probed.  Up to ``max_inline`` rules
-  it is folded into one CASE over the flow columns that finds the rule's place
-  (verdict and rank are looked up there): no join, no shuffle, one pass.  A larger list is left-joined
-  (broadcast if the probe allows, else an equi-join on (chain, salt) with the
-  rules replicated per salt so one hot chain spreads over many tasks) and the
-  first match per flow is a ``row_number() = 1`` window on the flow id, limited
-  map-side before its one shuffle (flow ids are unique, so it is not skewed).
+* P11: a short rule list (``max_inline``) is folded into one CASE over the flow
+  columns that finds the rule's place (verdict and rank are looked up there): no
+  join, no shuffle, one pass.  A longer list is joined by key: rules that fix the
+  same columns form one *shape*, a destination range is cut into aligned address
+  blocks, and each shape keeps the lowest rank per key, so it is one left equality
+  join that never multiplies a flow; the lowest rank over the shapes decides.  No
+  window, no flow identity; both plans serve streams and give the same rows.
 * J7: one left equality join per distinct prefix length (at most 33 for IPv4)
   on the masked address.  The smallest slices are broadcast while their sum is
   within the bound, and then the big side does not shuffle; larger slices are
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from fleetspark.functions.ip import network_key
 from fleetspark.operators.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, collect_bounded
 
-RULE_MATCH_COLUMNS = ("iface", "proto", "dst_lo", "dst_hi", "dport", "state", "tcp_flags", "syn")
-
 
 # --------------------------------------------------------------------------- P11
 def rank_rules(commands: DataFrame) -> DataFrame:
@@ -59,22 +57,76 @@ def _rule_condition_row(r: dict) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def _rule_condition_join(f: DataFrame, r: DataFrame, n: dict) -> Column:
-    """Null-tolerant match of flow columns against (renamed) rule columns."""
-    def rc(c: str) -> Column:
-        return F.col(n[c])
+# Aligned blocks of 2^0, 2^4, ... 2^60 addresses cover a destination range; few levels
+# keep the number of joins small, and a range has at most 30 blocks of a level.
+_LEVEL_STEP, _LEVELS = 4, 16
+_KEY_COLUMNS = ("iface", "proto", "dport", "state", "tcp_flags", "syn")
 
-    def any_or(c: str, test: Column) -> Column:
-        return rc(c).isNull() | F.coalesce(test, F.lit(False))
 
-    return ((F.col("chain") == rc("chain"))
-            & any_or("iface", F.col("iface") == rc("iface"))
-            & any_or("proto", F.col("proto") == rc("proto"))
-            & any_or("dst_lo", F.col("dst").between(rc("dst_lo"), rc("dst_hi")))
-            & any_or("dport", F.col("dport") == rc("dport"))
-            & any_or("state", F.array_contains(rc("state"), F.col("state")))
-            & any_or("tcp_flags", F.col("tcp_flags") == rc("tcp_flags"))
-            & any_or("syn", F.col("syn") == rc("syn")))
+def _range_blocks(lo: Column, hi: Column) -> Column:
+    """The aligned blocks (``lv``, ``blk`` = address >> lv) that make up [lo, hi]: of each
+    size those inside the range whose next larger block is not."""
+    def of_level(lv: int) -> Column:
+        first = F.shiftright(lo + F.lit((1 << lv) - 1), lv)
+        last = F.shiftright(hi + F.lit(1), lv) - F.lit(1)
+        if lv == _LEVEL_STEP * (_LEVELS - 1):
+            blocks = F.when(first <= last, F.sequence(first, last))
+        else:
+            up = lv + _LEVEL_STEP
+            # the larger blocks inside the range take [left, right) of this level
+            left = F.shiftleft(F.shiftright(lo + F.lit((1 << up) - 1), up), _LEVEL_STEP)
+            right = F.shiftleft(F.shiftright(hi + F.lit(1), up), _LEVEL_STEP)
+            blocks = F.when(left >= right, F.when(first <= last, F.sequence(first, last))).otherwise(F.concat(
+                F.when(first < left, F.sequence(first, left - 1)).otherwise(F.array().cast("array<bigint>")),
+                F.when(right <= last, F.sequence(right, last)).otherwise(F.array().cast("array<bigint>"))))
+        return F.transform(F.coalesce(blocks, F.array().cast("array<bigint>")),
+                           lambda x: F.struct(F.lit(lv).alias("lv"), x.alias("blk")))
+
+    return F.concat(*[of_level(_LEVEL_STEP * i) for i in range(_LEVELS)])
+
+
+def _keyed_rules(rules: DataFrame) -> DataFrame:
+    """Rules as rows of plain equality keys: ``shape`` (fixed columns), ``lv`` / ``blk`` (destination), columns."""
+    r = rules.where(F.col("chain").isNotNull() & F.col("rank").isNotNull())
+    anywhere = F.array(F.struct(F.lit(None).cast("int").alias("lv"), F.lit(None).cast("bigint").alias("blk")))
+    lo, hi = F.col("dst_lo").cast("bigint"), F.col("dst_hi").cast("bigint")
+    dst = F.when(lo.isNull(), anywhere).when(lo <= hi, _range_blocks(lo, hi))
+    states = F.when(F.col("state").isNull(), F.array(F.lit(None).cast("string"))).otherwise(
+        F.filter(F.array_distinct("state"), lambda x: x.isNotNull()))
+    shape = F.concat(*[F.when(F.col(c).isNotNull(), F.lit("1")).otherwise(F.lit("0")) for c in _KEY_COLUMNS])
+    r = r.select("chain", "rank", "verdict", "iface", "proto", "dport", "tcp_flags", "syn", shape.alias("shape"),
+                 states.alias("_states"), F.explode(dst).alias("_d"))
+    return r.select("chain", "rank", "verdict", "iface", "proto", "dport", "tcp_flags", "syn", "shape", "_d.lv", "_d.blk",
+                    F.explode("_states").alias("state"))
+
+
+def _first_match_joined(flows: DataFrame, rules: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """Add ``_hit`` = (rank, verdict) of the first matching rule by one left equality join per shape."""
+    keyed = _keyed_rules(rules).groupBy("shape", "lv", "chain", "blk", *_KEY_COLUMNS).agg(
+        F.min(F.struct("rank", "verdict")).alias("hit"))
+    sizes = {(x["shape"], x["lv"]): x["count"] for x in collect_bounded(
+        keyed.groupBy("shape", "lv").count(), 2 ** len(_KEY_COLUMNS) * (_LEVELS + 1), "rule shapes")}
+    room, small = max_broadcast_rows, set()
+    for at in sorted(sizes, key=lambda x: (sizes[x], x[0], x[1] or -1)):
+        room -= sizes[at]
+        if room >= 0:
+            small.add(at)
+    out, hits = flows, []
+    for i, (shape, lv) in enumerate(sorted(sizes, key=lambda x: (x[0], x[1] if x[1] is not None else -1))):
+        fixed = ["chain", *[c for c, bit in zip(_KEY_COLUMNS, shape) if bit == "1"]]
+        of_level = F.col("lv").isNull() if lv is None else F.col("lv") == lv
+        side = keyed.where((F.col("shape") == shape) & of_level).select(
+            *[F.col(c).alias(f"_k{i}_{c}") for c in fixed], F.col("blk").alias(f"_k{i}_blk"), F.col("hit").alias(f"_h{i}"))
+        cond = F.lit(True)
+        for c in fixed:
+            cond = cond & (F.col(c) == F.col(f"_k{i}_{c}"))
+        if lv is not None:
+            cond = cond & (F.shiftright(F.col("dst").cast("bigint"), lv) == F.col(f"_k{i}_blk"))
+        out = out.join(F.broadcast(side) if (shape, lv) in small else side, cond, "left")
+        out = out.drop(*[f"_k{i}_{c}" for c in fixed], f"_k{i}_blk")
+        hits.append(F.col(f"_h{i}"))
+    first = F.least(*hits) if len(hits) > 1 else hits[0] if hits else F.lit(None).cast("struct<rank:int,verdict:string>")
+    return out.withColumn("_hit", first).drop(*[f"_h{i}" for i in range(len(hits))])
 
 
 def _with_policy(flows: DataFrame, policies: DataFrame, max_inline: int, max_broadcast_rows: int) -> DataFrame:
@@ -90,61 +142,38 @@ def _with_policy(flows: DataFrame, policies: DataFrame, max_inline: int, max_bro
     return flows.withColumn("_policy", default)
 
 
-def first_match(flows: DataFrame, rules: DataFrame, policies: DataFrame,
-                id_col: str = "flow_id", strategy: str = "auto", max_inline: int = 1024,
-                salt_buckets: int = 64, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def first_match(flows: DataFrame, rules: DataFrame, policies: DataFrame, strategy: str = "auto",
+                max_inline: int = 64, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Verdict of the first matching rule in rank order, else the chain policy.
 
     ``rules``: chain, rank, iface, proto, dst_lo, dst_hi, dport, state ARRAY,
     tcp_flags, syn, verdict (null = any).  ``policies``: chain, verdict.
-    Adds ``verdict`` and ``rule_rank`` (null when the policy decided).
+    Adds ``verdict`` and ``rule_rank`` (null when the policy decided).  Every flow row
+    gets one output row in either plan, whatever its id; a rule without a chain or
+    rank matches nothing, and of two rules with one rank the smaller verdict counts.
+    ``strategy``: ``inline`` (one CASE), ``join`` (keyed joins), or by the list's length.
     """
-    rs = None
-    if strategy in ("auto", "inline"):
-        got = rules.limit(max_inline + 1).collect()
-        if len(got) <= max_inline:
-            rs = sorted((r.asDict() for r in got), key=lambda r: (r["chain"], r["rank"]))
-            strategy = "inline"
-        elif strategy == "inline":
-            raise ValueError("rule list too large to inline; use strategy='join'")
-        else:
-            strategy = "join"
-    if strategy == "inline":
-        # one CASE finds the rule's place; its verdict and rank are looked up there
-        place = F.lit(None).cast("int")
-        if rs:
-            place = F.when(_rule_condition_row(rs[0]), F.lit(1))
-            for i, r in enumerate(rs[1:], 2):
-                place = place.when(_rule_condition_row(r), F.lit(i))
-        verdicts = F.array(*[F.lit(r["verdict"]).cast("string") for r in rs] or [F.lit(None).cast("string")])
-        ranks = F.array(*[F.lit(int(r["rank"])) for r in rs] or [F.lit(None).cast("int")])
-        out = _with_policy(flows.withColumn("_place", place), policies, max_inline, max_broadcast_rows)
-        return (out.withColumn("verdict", F.coalesce(F.get(verdicts, F.col("_place") - 1), F.col("_policy")))
-                .withColumn("rule_rank", F.get(ranks, F.col("_place") - 1)).drop("_place", "_policy"))
-
-    # join strategy: every flow row meets the rules it matches (left join, so a
-    # flow with no match survives with nulls), then the lowest rank per flow is
-    # kept by a row_number window that Spark limits map-side before the shuffle.
-    r = rules.select(*[F.col(c).alias(f"_r_{c}") for c in ("chain", "rank", *RULE_MATCH_COLUMNS, "verdict")])
-    r_b, small = broadcast_if_small(r, max_broadcast_rows)
-    renamed = {c: f"_r_{c}" for c in ("chain", "rank", *RULE_MATCH_COLUMNS, "verdict")}
-    if small:
-        f = flows.withColumn("_row", F.monotonically_increasing_id())
-        cond = _rule_condition_join(f, r_b, renamed)
-        matched = f.join(r_b, cond, "left")
-    else:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("_salt")
-        rr = r.select("*", salt)
-        f = flows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_fsalt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt_buckets)))
-        cond = _rule_condition_join(f, rr, renamed) & (F.col("_fsalt") == F.col("_salt"))
-        matched = f.join(rr, cond, "left").drop("_fsalt", "_salt")
-    # by row, not by id alone: flows that share an id each keep a verdict, as in the inline plan
-    w = Window.partitionBy(id_col, "_row").orderBy(F.col("_r_rank").asc_nulls_last())
-    first = matched.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1)
-    out = (_with_policy(first, policies, max_inline, max_broadcast_rows)
-           .withColumn("verdict", F.coalesce(F.col("_r_verdict"), F.col("_policy")))
-           .withColumn("rule_rank", F.col("_r_rank").cast("int")))
-    return out.drop("_k", "_row", "_policy", *renamed.values())
+    got = [] if strategy == "join" else rules.limit(max_inline + 1).collect()
+    if strategy == "inline" and len(got) > max_inline:
+        raise ValueError("rule list too large to inline; use strategy='join'")
+    if strategy == "join" or len(got) > max_inline:
+        out = _with_policy(_first_match_joined(flows, rules, max_broadcast_rows), policies, max_inline, max_broadcast_rows)
+        return (out.withColumn("verdict", F.when(F.col("_hit").isNull(), F.col("_policy")).otherwise(
+                    F.coalesce(F.col("_hit.verdict"), F.col("_policy"))))
+                .withColumn("rule_rank", F.col("_hit.rank").cast("int")).drop("_hit", "_policy"))
+    rs = sorted((r.asDict() for r in got if r["chain"] is not None and r["rank"] is not None),
+                key=lambda r: (r["chain"], r["rank"], r["verdict"] or ""))
+    # one CASE finds the rule's place; its verdict and rank are looked up there
+    place = F.lit(None).cast("int")
+    if rs:
+        place = F.when(_rule_condition_row(rs[0]), F.lit(1))
+        for i, r in enumerate(rs[1:], 2):
+            place = place.when(_rule_condition_row(r), F.lit(i))
+    verdicts = F.array(*[F.lit(r["verdict"]).cast("string") for r in rs] or [F.lit(None).cast("string")])
+    ranks = F.array(*[F.lit(int(r["rank"])) for r in rs] or [F.lit(None).cast("int")])
+    out = _with_policy(flows.withColumn("_place", place), policies, max_inline, max_broadcast_rows)
+    return (out.withColumn("verdict", F.coalesce(F.get(verdicts, F.col("_place") - 1), F.col("_policy")))
+            .withColumn("rule_rank", F.get(ranks, F.col("_place") - 1)).drop("_place", "_policy"))
 
 
 # --------------------------------------------------------------------------- J7

@@ -106,11 +106,11 @@ FROM dd GROUP BY l_orderkey""")
 
 
 def second_last(spark, d):
-    _views(spark, b_events=table(spark, d, "events"))
+    _views(spark, b_orders=table(spark, d, "orders"))
     return spark.sql("""
-SELECT user_id, event_id, ts FROM (
-  SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn,
-         count(*) OVER (PARTITION BY user_id) AS n FROM b_events)
+SELECT o_custkey, o_orderpriority, o_orderkey, o_orderdate FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn,
+         count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n FROM b_orders)
 WHERE rn = least(2, n)""")
 
 

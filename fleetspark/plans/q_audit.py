@@ -32,9 +32,13 @@ def template_references(spark, d):
 
 
 def secret_audit(spark, d):
-    """Assignments scanned from document lines; secret-like keys with a well-known value flagged."""
-    cfg = inline_assignments(doc_lines(spark, d), ASSIGNMENT, ["doc_id", "line_no"])
-    return default_secret_audit(cfg).select("doc_id", "line_no", "key", "value", "is_default")
+    """Assignments scanned from document lines and from the daemons' password lines (one an order, the
+    daemon's name as its password); secret-like keys with a well-known value flagged (F24)."""
+    passwords = _daemons(spark, d).select(F.lit("orders").alias("origin"), F.col("list_pos").alias("doc_id"), F.lit(1).alias("line_no"),
+                                          F.concat(F.lit('vty_password = "'), F.col("daemon"), F.lit('"')).alias("line"))
+    lines = doc_lines(spark, d).select(F.lit("documents").alias("origin"), "doc_id", "line_no", "line").unionByName(passwords)
+    cfg = inline_assignments(lines, ASSIGNMENT, ["origin", "doc_id", "line_no"])
+    return default_secret_audit(cfg).select("origin", "doc_id", "line_no", "key", "value", "is_default")
 
 
 def _daemons(spark, d):
@@ -137,9 +141,11 @@ SELECT name, mtime, content, side FROM r WHERE rn = 1""",
 
 from fleetspark.plans.q_lines import LINES_SQL  # noqa: E402
 
-ORACLE["secret_audit"] = f"""WITH {LINES_SQL},
-a AS (SELECT doc_id, line_no, regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_]*) = "([^"]*)"', 1) AS ks,
-             regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_]*) = "([^"]*)"', 2) AS vs FROM lines),
-c AS (SELECT doc_id, line_no, unnest(ks) AS key, unnest(vs) AS value FROM a)
-SELECT doc_id, line_no, key, value, trim(value) IN ('secret', 'soadmin', 'zebra', 'please-set-at-here') AS is_default
+ORACLE["secret_audit"] = f"""WITH {LINES_SQL}, {_DAEMONS_SQL},
+al AS (SELECT 'documents' AS origin, doc_id, line_no, line FROM lines
+       UNION ALL SELECT 'orders', list_pos, 1, 'vty_password = "' || daemon || '"' FROM p),
+a AS (SELECT origin, doc_id, line_no, regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_]*) = "([^"]*)"', 1) AS ks,
+             regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_]*) = "([^"]*)"', 2) AS vs FROM al),
+c AS (SELECT origin, doc_id, line_no, unnest(ks) AS key, unnest(vs) AS value FROM a)
+SELECT origin, doc_id, line_no, key, value, trim(value) IN ('secret', 'soadmin', 'zebra', 'please-set-at-here') AS is_default
 FROM c WHERE regexp_matches(lower(key), '(pass|secret|token)')"""

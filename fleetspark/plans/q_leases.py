@@ -9,6 +9,7 @@ from fleetspark.functions.predicate import compile_predicate
 from fleetspark.operators.leases import (bounded_allocation, keep_per_match, lookup_last,
                                          map_from_rows, nth_rows)
 from fleetspark.plans.tables import table
+from fleetspark.streaming.sources import shared_path, write_table
 
 # The lease predicates of the build plan.
 LEASE_PREDICATE = '["and",["==","$o_orderstatus","O"],["==","$o_orderpriority","1-URGENT"]]'
@@ -27,6 +28,23 @@ def lease_pick(spark, d):
     return out.select("o_custkey", "c_name", "idx", "o_orderkey", "o_orderdate")
 
 
+def lookup_repeated(spark, d):
+    """Every customer with the priority of its last order: a lookup whose keys repeat (J1); null without orders."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    return lookup_last(c, table(spark, d, "orders"), "c_custkey", "o_custkey", ["o_orderpriority"], "o_orderkey")
+
+
+def sink_append(spark, d):
+    """Orders written over an older listing, then the open ones appended again; read back, repeats counted."""
+    path = shared_path(spark, "order-listing")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    write_table(o.where(F.col("o_orderstatus") == "F"), path, "overwrite")
+    write_table(o, path, "overwrite")
+    write_table(o.where(F.col("o_orderstatus") == "O"), path, "append")
+    back = spark.read.schema(o.schema).parquet(path)
+    return back.groupBy("o_orderkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n_listed"))
+
+
 def _orders_with_lines(spark, d):
     li = table(spark, d, "lineitem")
     nested = li.groupBy("l_orderkey").agg(
@@ -77,6 +95,8 @@ def prop_predicate(spark, d):
 
 QUERIES = {
     "lease_pick": lease_pick,
+    "lookup_repeated": lookup_repeated,
+    "sink_append": sink_append,
     "explode_dup": explode_dup,
     "nested_exists": nested_exists,
     "bounded_alloc": bounded_alloc,
@@ -96,6 +116,12 @@ SELECT w.o_custkey, cu.c_name, CAST(w.idx AS INTEGER) AS idx, r.o_orderkey, r.o_
 FROM want w LEFT JOIN ranked r ON r.o_custkey = w.o_custkey AND r.rn = w.idx
 LEFT JOIN cust cu ON cu.c_custkey = w.o_custkey
 """,
+    "lookup_repeated": """
+WITH l AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey)
+SELECT c_custkey, c_name, o_orderpriority FROM customer LEFT JOIN l ON o_custkey = c_custkey""",
+    "sink_append": """
+SELECT o_orderkey, o_orderstatus, sum(CASE WHEN o_orderstatus = 'O' THEN 2 ELSE 1 END)::BIGINT AS n_listed
+FROM orders GROUP BY o_orderkey, o_orderstatus""",
     "explode_dup": """
 SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus
 FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey

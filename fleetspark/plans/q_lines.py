@@ -93,9 +93,9 @@ def q_name_parts(spark, d):
 
 
 def q_second_last(spark, d):
-    """Second-to-last event per user, the only one if there is one."""
-    e = table(spark, d, "events")
-    return second_last(e, ["user_id"], ["ts", "event_id"], ["event_id", "ts"])
+    """Second-to-last order per customer and priority, the only one if there is one."""
+    o = table(spark, d, "orders")
+    return second_last(o, ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderdate"])
 
 
 def q_latest_events(spark, d):
@@ -166,8 +166,8 @@ SELECT event_id,
        concat_ws('-', 'user' || CAST(user_id AS VARCHAR), event_type, 'lease') AS lease_name
 FROM events""",
     "second_last": """
-WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn,
-                  count(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT user_id, event_id, ts FROM r WHERE rn = least(2, n)""",
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn,
+                  count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n FROM orders)
+SELECT o_custkey, o_orderpriority, o_orderkey, o_orderdate FROM r WHERE rn = least(2, n)""",
     "latest_events": "SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 5",
 }

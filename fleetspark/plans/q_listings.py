@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetspark.functions.predicate import compile_predicate
 from fleetspark.operators.leases import keep_per_match, lookup_last
 from fleetspark.plans.tables import table
-from fleetspark.session import parallelism
+from fleetspark.session import documents_for
 from fleetspark.sources.listings import ALLOCATIONS_SCHEMA, HOSTS_SCHEMA, read_listing, write_listing_documents
 from fleetspark.streaming.sources import shared_path
 
@@ -20,13 +20,12 @@ LEASE = "1-URGENT"
 
 
 def _write_listings(spark, d):
-    n = parallelism(spark)
     c = table(spark, d, "customer")
     hosts = c.select(F.col("c_custkey").alias("k"), F.to_json(F.struct(
         F.concat(F.lit("h"), F.col("c_custkey").cast("string")).alias("id"),
         F.col("c_name").alias("hypervisor_hostname"), F.col("c_mktsegment").alias("node_type"))).alias("value"))
     hosts_path = shared_path(spark, "hosts-listing")
-    write_listing_documents(hosts, hosts_path, n, F.col("k"))
+    write_listing_documents(hosts, hosts_path, documents_for(hosts), F.col("k"))
     o = table(spark, d, "orders")
     allocs = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(
         F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("id"),
@@ -34,7 +33,7 @@ def _write_listings(spark, d):
     allocs = allocs.select(F.col("o_custkey").alias("k"), F.to_json(F.struct(
         F.concat(F.lit("h"), F.col("o_custkey").cast("string")).alias("resource_id"), "reservations")).alias("value"))
     allocs_path = shared_path(spark, "allocations-listing")
-    write_listing_documents(allocs, allocs_path, n, F.col("k"))
+    write_listing_documents(allocs, allocs_path, documents_for(allocs), F.col("k"))
     return hosts_path, allocs_path
 
 

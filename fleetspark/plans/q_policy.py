@@ -62,7 +62,7 @@ def first_match_policy(spark, d):
 
 
 def first_match_joined(spark, d):
-    """P11 through the rule-join plan (broadcast rules, first match by a window); same answer as the inline plan."""
+    """P11 through the keyed joins (one equality join per shape of rule); same answer as the inline plan."""
     out = first_match(flows(spark, d), rules_frame(spark), policies_frame(spark), strategy="join")
     return out.select("flow_id", "verdict", "rule_rank")
 
@@ -162,7 +162,7 @@ QUERIES = {
 
 FLOWS_SQL = """flows AS (
   SELECT event_id AS flow_id, ts, 'INPUT' AS chain,
-         CASE WHEN event_type = 'signup' THEN 'eth1' WHEN event_type = 'error' THEN 'lo' ELSE 'eth0' END AS iface,
+         CASE WHEN event_type = 'signup' THEN 'eth1' WHEN event_type = 'error' AND value < 25 THEN 'lo' ELSE 'eth0' END AS iface,
          'tcp' AS proto, 2886729728 + user_id AS src,
          CASE WHEN event_type = 'error' THEN 2130706433 ELSE 2886729728 + user_id END AS dst,
          [22, 80, 443, 8080, 50070][event_id % 5 + 1] AS dport,

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetspark.session import parallelism
+from fleetspark.session import documents_for
 
 from fleetspark.functions.ip import num_to_ip
 from fleetspark.plans.tables import BASE_ADDRESS, table
@@ -52,8 +52,8 @@ def _descriptions(spark, d):
 def rdf_scan(spark, d):
     """Requests written as RDF/XML documents and scanned back into long triples."""
     path = shared_path(spark, "rdf-requests")
-    write_rdf_documents(_descriptions(spark, d), path, parallelism(spark),
-                        F.col("value"), NS)
+    nodes = _descriptions(spark, d)
+    write_rdf_documents(nodes, path, documents_for(nodes), F.col("value"), NS)
     return read_rdf(spark, path, schema=DESCRIPTION_SCHEMA, request_from="subject", recursive=True)
 
 

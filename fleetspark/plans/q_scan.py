@@ -55,14 +55,28 @@ def _query_configs(spark, d):
     return to_lines(p.select(F.col("page_id").alias("file"), text.alias("text")), "text", ["file"])
 
 
+def _turn_configs(spark, d):
+    """A config per conversation, one line a turn: the role set to the quoted length of its
+    text (a role that speaks again is set again); every fifth turn is commented out."""
+    c = table(spark, d, "conversations")
+    line = F.concat(F.when(F.col("turn") % 5 == 4, F.lit("# ")).otherwise(F.lit("")), F.col("role"), F.lit(" = \""),
+                    F.length("text").cast("string"), F.lit("\""))
+    return c.select(F.col("conv_id").alias("file"), F.col("turn").alias("line_no"), line.alias("line"))
+
+
 def kv_scan(spark, d):
     """key=value lines with sections."""
     return parse_kv_lines(_query_configs(spark, d))
 
 
+def kv_comments(spark, d):
+    """key=value lines with comments and quoted values."""
+    return parse_kv_lines(_turn_configs(spark, d))
+
+
 def kv_last_wins(spark, d):
     """A key set twice keeps its last value (A4)."""
-    return last_wins_config(parse_kv_lines(_query_configs(spark, d)))
+    return last_wins_config(parse_kv_lines(_turn_configs(spark, d)))
 
 
 def xml_props(spark, d):
@@ -98,6 +112,7 @@ QUERIES = {
     "access_log": access_log,
     "access_log_rejects": access_log_rejects,
     "kv_scan": kv_scan,
+    "kv_comments": kv_comments,
     "kv_last_wins": kv_last_wins,
     "xml_props": xml_props,
     "block_scan": block_scan,
@@ -134,8 +149,12 @@ SELECT remote_addr || ' - ' || remote_user || ' [' || strftime(ts, '%d/%b/%Y:%H:
        || '" ' || CAST(status AS VARCHAR) || ' ' || CAST(body_bytes_sent AS VARCHAR) || ' "-" "' || user_agent || '" "-' AS line
 FROM lg WHERE event_type = 'view' AND value < 1""",
     "kv_scan": f"WITH {_KV_SQL} SELECT file, section, key, value, line_no FROM kv2",
-    "kv_last_wins": f"""WITH {_KV_SQL}
-SELECT file, key, arg_max(value, [line_no]) AS value, max(line_no) AS line_no FROM kv2 GROUP BY file, key""",
+    "kv_comments": """
+SELECT conv_id AS file, CAST(NULL AS VARCHAR) AS section, role AS key, CAST(length(text) AS VARCHAR) AS value, turn AS line_no
+FROM conversations WHERE turn % 5 <> 4""",
+    "kv_last_wins": """
+SELECT conv_id AS file, role AS key, arg_max(CAST(length(text) AS VARCHAR), turn) AS value, max(turn) AS line_no
+FROM conversations WHERE turn % 5 <> 4 GROUP BY conv_id, role""",
     "xml_props": f"""WITH {_KV_SQL}
 SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY line_no) AS INTEGER) AS line_no, key, value FROM kv2""",
     "block_scan": """

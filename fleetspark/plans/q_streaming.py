@@ -81,10 +81,20 @@ def stream_enrich(spark, d):
     return run_available(out, "enrich")
 
 
+def stream_policy_joined(spark, d):
+    """The same verdicts through the keyed joins of long rule lists: static sides, no state."""
+    events = table(spark, d, "events")
+    s = read_event_stream(spark, d, schema=events.schema, file_glob="events.parquet",
+                          spread_to=parallelism(spark))
+    verdicts = first_match(flows_from_events(s), rules_frame(spark), policies_frame(spark), strategy="join")
+    return run_available(verdicts.select("flow_id", "verdict", "rule_rank"), "policy-joined")
+
+
 QUERIES = {
     "deadline": deadline,
     "deadline_stream": deadline_streaming,
     "stream_policy": stream_policy,
+    "stream_policy_joined": stream_policy_joined,
     "stream_enrich": stream_enrich,
 }
 
@@ -102,6 +112,7 @@ ORACLE = {
     "deadline": _DEADLINE_SQL,
     "deadline_stream": _DEADLINE_SQL,
     "stream_policy": _POLICY_ORACLE["first_match_policy"],
+    "stream_policy_joined": _POLICY_ORACLE["first_match_policy"],
     "stream_enrich": f"""
 WITH {prefix_sql("user_id")}
 SELECT concat_ws('.', (e.src >> 24) & 255, (e.src >> 16) & 255, (e.src >> 8) & 255, e.src & 255) AS remote_addr,

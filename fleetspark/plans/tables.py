@@ -46,9 +46,9 @@ def flows_from_events(e: DataFrame) -> DataFrame:
     """src = 172.16.0.0 + user_id; dport by event id from PORTS; the interface,
     state and TCP flags are read off the event type and value (batch or stream)."""
     iface = (F.when(F.col("event_type") == "signup", "eth1")
-             .when(F.col("event_type") == "error", "lo").otherwise("eth0"))
+             .when((F.col("event_type") == "error") & (F.col("value") < 25), "lo").otherwise("eth0"))
     dst = F.when(F.col("event_type") == "error", F.lit(2130706433)).otherwise(
-        F.lit(BASE_ADDRESS) + F.col("user_id"))  # errors go to 127.0.0.1
+        F.lit(BASE_ADDRESS) + F.col("user_id"))  # errors go to 127.0.0.1, some from outside the loopback
     state = F.when(F.col("event_type") == "purchase", "ESTABLISHED").otherwise("NEW")
     flags = (F.when(F.col("value") < 1, "NONE").when(F.col("value") > 49, "ALL")
              .when(F.col("value") > 25, "SYN").otherwise("ACK"))

@@ -66,6 +66,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def documents_for(df: DataFrame, rows_per_document: int = 20_000) -> int:
+    """Number of files to write ``df`` into: by its rows (one aggregated count), so that no file grows with the data."""
+    return max(1, -(-df.count() // rows_per_document))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Total task slots of the cluster (``defaultParallelism``), falling back to
     the shuffle partition setting where no SparkContext is exposed."""

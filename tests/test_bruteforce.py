@@ -71,7 +71,7 @@ def test_first_match_matches_brute_force(spark, rules, flows):
         hit = next((k for k, r in enumerate(rules) if _rule_matches(r, f)), None)
         want[i] = (rules[hit]["verdict"], hit + 1) if hit is not None else ("DROP", None)
     for kw in ({"strategy": "inline"}, {"strategy": "join"},
-               {"strategy": "join", "max_broadcast_rows": 0, "salt_buckets": 2}):
+               {"strategy": "join", "max_broadcast_rows": 0}):
         got = {r["flow_id"]: (r["verdict"], r["rule_rank"]) for r in first_match(fdf, rdf, pol, **kw).collect()}
         assert got == want, kw
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from fleetspark.functions.ip import ip_to_num, parse_cidr
-from fleetspark.operators.policy import first_match, most_specific_prefix, range_membership
+from fleetspark.operators.policy import _range_blocks, first_match, most_specific_prefix, range_membership
 from fleetspark.plans.q_policy import policies_frame, rules_frame
 from tests.conftest import rows
 
@@ -28,12 +28,50 @@ def test_first_match_all_plans_agree(spark):
     f, r, p = trap_flows(spark), rules_frame(spark), policies_frame(spark)
     assert rows(first_match(f, r, p, strategy="inline"), "flow_id", "verdict") == EXPECTED
     assert rows(first_match(f, r, p, strategy="join"), "flow_id", "verdict") == EXPECTED
-    salted = first_match(f, r, p, strategy="join", max_broadcast_rows=0, salt_buckets=3)
-    assert rows(salted, "flow_id", "verdict") == EXPECTED
+    shuffled = first_match(f, r, p, strategy="join", max_broadcast_rows=0)
+    assert rows(shuffled, "flow_id", "verdict") == EXPECTED
+    # repeated flow ids keep a row each, in either plan
+    for how in ("inline", "join"):
+        assert rows(first_match(f.unionByName(f), r, p, strategy=how), "flow_id", "verdict") == sorted(EXPECTED * 2)
     # the head-inserted rule is rank 1
     assert first_match(f, r, p, strategy="inline").where("flow_id = 1").first()["rule_rank"] == 1
 
 
+def test_range_blocks_cover_a_range_once(spark):
+    ranges = [(0, 0), (5, 5), (0, 15), (1, 16), (3, 300), (15, 16), (16, 31), (2886729728, 2886729728 + 65535),
+              (2130706432, 2147483647), (0, (1 << 32) - 1), (7, 6), (123456, 9876543)]
+    df = spark.createDataFrame(ranges, "lo bigint, hi bigint")
+    got = df.select("lo", "hi", F.when(F.col("lo") <= F.col("hi"), _range_blocks(F.col("lo"), F.col("hi"))).alias("b")).collect()
+    for r in got:
+        spans = sorted((x["blk"] << x["lv"], (x["blk"] + 1) << x["lv"]) for x in r["b"] or [])
+        if r["lo"] > r["hi"]:
+            assert spans == []
+            continue
+        assert spans[0][0] == r["lo"] and spans[-1][1] == r["hi"] + 1
+        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_many_rules_one_answer(spark):
+    """300 rules, some without a chain or rank and some that share a rank: the keyed joins equal the CASE."""
+    r = spark.range(300).select(
+        F.when(F.col("id") % 50 != 7, "INPUT").alias("chain"), F.when(F.col("id") % 60 != 9, (F.col("id") / 2).cast("int")).alias("rank"),
+        F.when(F.col("id") % 3 == 0, "eth0").alias("iface"), F.when(F.col("id") % 2 == 0, "tcp").alias("proto"),
+        F.when(F.col("id") % 5 < 2, F.col("id") * 7).alias("dst_lo"), F.when(F.col("id") % 5 < 2, F.col("id") * 7 + F.col("id") % 90).alias("dst_hi"),
+        F.when(F.col("id") % 5 >= 1, (F.col("id") * 3 % 200).cast("int")).alias("dport"),
+        F.when(F.col("id") % 4 == 0, F.array(F.lit("NEW"), F.lit("NEW"))).alias("state"), F.lit(None).cast("string").alias("tcp_flags"),
+        F.lit(None).cast("boolean").alias("syn"), F.concat(F.lit("v"), F.col("id") % 9).alias("verdict"))
+    f = spark.range(4000).select(
+        (F.col("id") % 3000).alias("flow_id"), F.when(F.col("id") % 31 != 0, "INPUT").alias("chain"), F.lit("eth0").alias("iface"),
+        F.when(F.col("id") % 3 == 0, "udp").otherwise("tcp").alias("proto"), (F.col("id") * 13 % 2300).alias("dst"),
+        (F.col("id") % 211).cast("int").alias("dport"), F.when(F.col("id") % 2 == 0, "NEW").alias("state"),
+        F.lit("ACK").alias("tcp_flags"), F.lit(False).alias("syn"))
+    p = spark.createDataFrame([("INPUT", "DROP"), ("INPUT", "ACCEPT")], "chain string, verdict string")
+    want = rows(first_match(f, r, p, strategy="inline", max_inline=300), "flow_id", "dst", "verdict", "rule_rank")
+    assert len(want) == 4000 and sum(1 for w in want if w[3] is not None) > 500
+    for bound in (0, 2_000_000):
+        assert rows(first_match(f, r, p, max_broadcast_rows=bound), "flow_id", "dst", "verdict", "rule_rank") == want
+
+
 def test_rule_after_first_match_changes_nothing(spark):
     f, r, p = trap_flows(spark), rules_frame(spark), policies_frame(spark)
     before = {k: v for k, v, rk in rows(first_match(f, r, p), "flow_id", "verdict", "rule_rank") if rk is not None}
