@@ -4,7 +4,7 @@ cluster / link fan-out sizes (J5, J6 re-aimed).
 
 Scale notes
 * A basic graph pattern is a fold of inner equi-joins on the shared variables
-  *and* ``request_id``; constant terms become filters that reach the scan.  A
+  *and* ``request_id``, with a semi join for each pattern that binds nothing new; constant terms become filters that reach the scan.  A
   disconnected pattern is rejected instead of becoming a cross join.  Hot join
   values (one domain shared by every node) are split by AQE's skew join.
 * J5 / J6 ask for every pair of hosts in a cluster / on a link, which grows with
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from fleetspark.functions.ip import ip_to_num, num_to_ip
 from fleetspark.functions.ranges import number_range
+from fleetspark.operators.ranking import row_number_within
 
 Pattern = tuple[str, str, str]
 
@@ -54,18 +55,22 @@ def match_patterns(triples: DataFrame, patterns: Sequence[Pattern], optional: Se
     """
     if not patterns:
         raise ValueError("need at least one pattern")
-    out = _pattern_frame(triples, patterns[0], request_col)
-    pending = list(patterns[1:])
+    # start from a pattern that binds two variables, if there is one
+    first = max(patterns, key=lambda p: len(set(filter(_is_var, p))))
+    pending = list(patterns)
+    pending.remove(first)
+    out = _pattern_frame(triples, first, request_col)
     while pending:
-        for i, pat in enumerate(pending):
-            nxt = _pattern_frame(triples, pat, request_col)
-            shared = [c for c in nxt.columns if c in out.columns and c != request_col]
-            if shared:
-                out = out.join(nxt, [request_col, *shared], "inner")
-                pending.pop(i)
-                break
-        else:
+        frames = [(pat, _pattern_frame(triples, pat, request_col)) for pat in pending]
+        bound = [(pat, nxt) for pat, nxt in frames if set(nxt.columns) <= set(out.columns)]
+        linked = [(pat, nxt) for pat, nxt in frames if set(nxt.columns) & set(out.columns) - {request_col}]
+        if not linked:
             raise ValueError(f"patterns {pending} share no variable with the rest (would be a cross join)")
+        # a pattern that binds nothing new only filters: as soon as it can, as a semi join
+        pat, nxt = (bound or linked)[0]
+        shared = [request_col, *[c for c in nxt.columns if c in out.columns and c != request_col]]
+        out = out.join(nxt, shared, "left_semi" if bound else "inner")
+        pending.remove(pat)
     for pat in optional:
         nxt = _pattern_frame(triples, pat, request_col)
         shared = [c for c in nxt.columns if c in out.columns and c != request_col]
@@ -125,6 +130,17 @@ def ordered_list(df: DataFrame, group_cols: Sequence[str], value: Column, order:
         F.expr(f"listagg(_v, '{sep}') WITHIN GROUP (ORDER BY _o, _v)").alias(out_col))
 
 
+def ordered_list_pages(df: DataFrame, group_cols: Sequence[str], value: Column, order: Sequence[Column],
+                       page_size: int, sep: str = ",", out_col: str = "members", page_col: str = "page") -> DataFrame:
+    """``ordered_list`` for groups of any size (A2): pages of ``page_size`` members, numbered from 0, so no
+    string grows with its group.  ``order`` must be total within a group; a null value is skipped."""
+    d = df.select(*group_cols, value.alias("_v"), *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    numbered = row_number_within(d, group_cols, [f"_o{i}" for i in range(len(order))], "_rn")
+    paged = numbered.withColumn(page_col, F.floor((F.col("_rn") - 1) / F.lit(page_size)).cast("bigint"))
+    return paged.groupBy(*group_cols, page_col).agg(F.array_join(F.transform(F.array_sort(
+        F.collect_list(F.struct("_rn", "_v"))), lambda x: x["_v"]), sep).alias(out_col))
+
+
 def host_table(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """``>> /etc/hosts`` from several sources, duplicates kept.
 

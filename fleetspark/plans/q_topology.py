@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from fleetspark.functions.ip import num_to_ip
 from fleetspark.operators.graph import (NODE_IP_PATTERNS, address_conflicts, expand_groups, fanout_sizes,
-                                        group_sizes, host_table, match_patterns, node_link_ips, ordered_list)
+                                        group_sizes, host_table, match_patterns, node_link_ips, ordered_list_pages)
 from fleetspark.plans.tables import BASE_ADDRESS, table
 
+MEMBERS_PER_PAGE = 8
 GROUP_PATTERNS = [("?g", "type", "NodeGroup"), ("?g", "numCE", "?n"), ("?g", "baseIP", "?base")]
 
 
@@ -167,10 +168,10 @@ def conflicts(spark, d):
 
 
 def member_list(spark, d):
-    """``name=http://ip:2380`` members of each link joined by ',' in name order (A2)."""
+    """``name=http://ip:2380`` members of each link joined by ',' in name order, in pages (A2)."""
     ips = node_link_ips(triples_for(spark, d, NODE_IP_PATTERNS))
     value = F.concat(F.col("node"), F.lit("=http://"), F.col("ip"), F.lit(":2380"))
-    return ordered_list(ips, ["request_id", "link"], value, F.col("node"))
+    return ordered_list_pages(ips, ["request_id", "link"], value, [F.col("node"), F.col("ip_num")], MEMBERS_PER_PAGE)
 
 
 def link_peers(spark, d):
@@ -244,8 +245,9 @@ o AS (SELECT DISTINCT request_id, ip_num, owner FROM (SELECT request_id, ip_num,
 SELECT request_id, {_DOT.format(x='ip_num')} AS ip, count(*) AS n_owners, min(owner) AS first_owner, max(owner) AS last_owner
 FROM o GROUP BY request_id, ip_num HAVING count(*) >= 2""",
     "member_list": f"""WITH {_SINGLES}
-SELECT request_id, link, string_agg(node || '=http://' || ip || ':2380', ',' ORDER BY node) AS members
-FROM singles GROUP BY request_id, link""",
+, n AS (SELECT *, (row_number() OVER (PARTITION BY request_id, link ORDER BY node) - 1) // 8 AS page FROM singles)
+SELECT request_id, link, page, string_agg(node || '=http://' || ip || ':2380', ',' ORDER BY node) AS members
+FROM n GROUP BY request_id, link, page""",
     "link_peers": f"""WITH {_SINGLES}
 SELECT request_id, link, count(*) AS n_hosts, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS n_pairs
 FROM singles GROUP BY request_id, link""",
