@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOSTS_SCHEMA = "id string, hypervisor_hostname string, node_type string"
+HOSTS_SCHEMA = ("id string, hypervisor_hostname string, node_type string, "
+                "network_adapters array<struct<interface:string,enabled:string>>")
 ALLOCATIONS_SCHEMA = "resource_id string, reservations array<struct<id:string,lease_id:string>>"
 LEASE_SCHEMA = "id string, name string, reservations string, start_date string, end_date string"
 

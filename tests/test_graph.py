@@ -94,3 +94,12 @@ def test_rdf_scan(spark, tmp_path):
     assert dt.endswith("#integer")
     names = {r[0] for r in t.select(local_name("subject")).collect()}
     assert "Kiwi 3.1 (Lab)" in names
+
+
+def test_filtering_patterns_and_order_do_not_change_solutions(spark):
+    t = spark.createDataFrame([("r", "n1", "type", "Node"), ("r", "n1", "hasInterface", "i1"), ("r", "n2", "hasInterface", "i2"),
+                               ("r", "n1", "hasInterface", "i3"), ("q", "n2", "type", "Node")],
+                              "request_id string, subject string, predicate string, object string")
+    pats = [("?n", "type", "Node"), ("?n", "hasInterface", "?i")]
+    for order in (pats, pats[::-1]):
+        assert rows(match_patterns(t, order), "request_id", "n", "i") == [("r", "n1", "i1"), ("r", "n1", "i3")]

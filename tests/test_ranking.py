@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetspark.operators.graph import ordered_list
+from fleetspark.operators.graph import ordered_list, ordered_list_pages
 from fleetspark.operators.ranking import distributed_row_number, distributed_running_sum, ordered_list_chunks
 
 w_first = Window.unboundedPreceding
@@ -50,3 +50,13 @@ def test_extra_columns_and_null_groups_keep_every_row(spark):
         assert {r["k"]: r["rn"] for r in got.collect()} == {k: v[0] for k, v in want.items()}
     sums = distributed_running_sum(df, ["g"], ["o", "k"], "k", n_partitions=8)
     assert {r["k"]: r["running"] for r in sums.collect()} == {k: v[1] for k, v in want.items()}
+
+
+def test_pages_of_a_list_join_to_the_whole_list(spark):
+    df = spark.createDataFrame([("a", i, f"v{i:03d}") for i in range(25)] + [(None, 1, "x"), ("b", 1, "y"), ("b", 2, None)],
+                               "g string, k int, v string")
+    pages = sorted(((r["g"], r["page"], r["members"]) for r in ordered_list_pages(
+        df, ["g"], F.col("v"), [F.col("k")], 10).collect()), key=repr)
+    assert [p for g, p, _ in pages if g == "a"] == [0, 1, 2]
+    assert ",".join(m for g, _, m in pages if g == "a") == ",".join(f"v{i:03d}" for i in range(25))
+    assert (None, 0, "x") in pages and ("b", 0, "y") in pages
