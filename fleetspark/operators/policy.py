@@ -13,8 +13,8 @@ Scale notes
   on the masked address.  The smallest slices are broadcast while their sum is
   within the bound, and then the big side does not shuffle; larger slices are
   shuffle joins.  No row multiplies, so no window follows.
-* P10: ranges are cut into aligned address buckets and equi-joined on the
-  bucket, so no nested-loop join is planned on the big side.
+* P10: ranges are cut into aligned blocks, one left equality join per block size,
+  so no nested-loop join is planned on the big side and a wide range costs no more.
 """
 
 from __future__ import annotations
@@ -26,6 +26,16 @@ from fleetspark.functions.ip import network_key
 from fleetspark.operators.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, collect_bounded
 
 
+def _broadcastable(sizes: dict, max_rows: int) -> set:
+    """The keys of the smallest sides that stay within ``max_rows`` rows all together."""
+    room, small = max_rows, set()
+    for at in sorted(sizes, key=lambda x: (sizes[x], str(x))):
+        room -= sizes[at]
+        if room >= 0:
+            small.add(at)
+    return small
+
+
 # --------------------------------------------------------------------------- P11
 def rank_rules(commands: DataFrame) -> DataFrame:
     """Resolve ``-A`` (append) / ``-I`` (insert at head) commands into ranks.
@@ -106,12 +116,7 @@ def _first_match_joined(flows: DataFrame, rules: DataFrame, max_broadcast_rows:
         F.min(F.struct("rank", "verdict")).alias("hit"))
     sizes = {(x["shape"], x["lv"]): x["count"] for x in collect_bounded(
         keyed.groupBy("shape", "lv").count(), 2 ** len(_KEY_COLUMNS) * (_LEVELS + 1), "rule shapes")}
-    room, small = max_broadcast_rows, set()
-    for at in sorted(sizes, key=lambda x: (sizes[x], x[0], x[1] or -1)):
-        room -= sizes[at]
-        if room >= 0:
-            small.add(at)
-    out, hits = flows, []
+    small, out, hits = _broadcastable(sizes, max_broadcast_rows), flows, []
     for i, (shape, lv) in enumerate(sorted(sizes, key=lambda x: (x[0], x[1] if x[1] is not None else -1))):
         fixed = ["chain", *[c for c, bit in zip(_KEY_COLUMNS, shape) if bit == "1"]]
         of_level = F.col("lv").isNull() if lv is None else F.col("lv") == lv
@@ -203,11 +208,7 @@ def most_specific_prefix(points: DataFrame, ip_col: str, prefixes: DataFrame,
     p = normalize_prefixes(prefixes)
     sizes = {int(r[0]): int(r[1]) for r in collect_bounded(
         p.groupBy("prefix_len").count(), 33, "prefix lengths")}
-    room, small = max_broadcast_rows, set()
-    for length in sorted(sizes, key=lambda x: (sizes[x], x)):
-        room -= sizes[length]
-        if room >= 0:
-            small.add(length)
+    small = _broadcastable(sizes, max_broadcast_rows)
     out, attrs, lens, drop = points, [], [], []
     for i, length in enumerate(sorted(sizes, reverse=True)):
         side = p.where(F.col("prefix_len") == length).select(F.col("net").alias(f"_n{i}"), F.col("attr").alias(f"_a{i}"))
@@ -225,23 +226,27 @@ def most_specific_prefix(points: DataFrame, ip_col: str, prefixes: DataFrame,
 
 # --------------------------------------------------------------------------- P10
 def range_membership(points: DataFrame, ip_col: str, ranges: DataFrame, name_col: str = "network",
-                     lo_col: str = "lo", hi_col: str = "hi", bucket_bits: int | None = None,
-                     max_buckets_per_range: int = 64,
+                     lo_col: str = "lo", hi_col: str = "hi",
                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Left join of each address to every range containing it, both ends included (P10).
 
-    Ranges are expanded into the aligned ``2^bucket_bits`` buckets they cover and
-    equi-joined on the bucket; the exact test is the residual ``between``.
-    Without ``bucket_bits`` the width comes from the widest range (one small
-    aggregate), so no range expands to more than ``max_buckets_per_range`` rows.
+    Each range is cut into its aligned blocks, and each block size present (at most
+    ``_LEVELS``) is one left equality join on the address's block, which holds the list of
+    ranges around it, so no address multiplies before its ranges are listed, however
+    wide or narrow the ranges are.  A range with a null end or its ends swapped contains
+    nothing; an address in no range, or null, keeps one row with a null name.
     """
-    r = ranges.select(F.col(name_col).alias("_rn"), F.col(lo_col).alias("_lo"), F.col(hi_col).alias("_hi"))
-    if bucket_bits is None:
-        widest = r.agg(F.max(F.col("_hi") - F.col("_lo") + 1).alias("w")).first()["w"] or 1
-        bucket_bits = max(8, (int(widest) // max_buckets_per_range).bit_length())
-    r = r.withColumn("_rbk", F.explode(F.sequence(F.shiftright("_lo", bucket_bits), F.shiftright("_hi", bucket_bits))))
-    r, _ = broadcast_if_small(r, max_broadcast_rows)
-    pts = points.withColumn("_pbk", F.shiftright(F.col(ip_col), bucket_bits))
-    cond = (F.col("_pbk") == F.col("_rbk")) & F.col(ip_col).between(F.col("_lo"), F.col("_hi"))
-    out = pts.join(r, cond, "left")
-    return out.withColumnRenamed("_rn", name_col).drop("_pbk", "_rbk", "_lo", "_hi")
+    lo, hi = F.col(lo_col).cast("bigint"), F.col(hi_col).cast("bigint")
+    blocks = ranges.where(lo <= hi).select(F.struct(F.col(name_col).alias("name")).alias("r"), F.explode(_range_blocks(lo, hi)).alias("b"))
+    blocks = blocks.groupBy("b.lv", "b.blk").agg(F.collect_list("r").alias("rs"))
+    sizes = {r["lv"]: r["count"] for r in collect_bounded(blocks.groupBy("lv").count(), _LEVELS, "block sizes")}
+    small, out, found = _broadcastable(sizes, max_broadcast_rows), points, []
+    for lv in sorted(sizes):
+        side = blocks.where(F.col("lv") == lv).select(F.col("blk").alias(f"_b{lv}"), F.col("rs").alias(f"_r{lv}"))
+        out = out.join(F.broadcast(side) if lv in small else side,
+                       F.shiftright(F.col(ip_col).cast("bigint"), lv) == F.col(f"_b{lv}"), "left").drop(f"_b{lv}")
+        found.append(F.coalesce(F.col(f"_r{lv}"), F.array().cast(blocks.schema["rs"].dataType)))
+    if not found:
+        return out.withColumn(name_col, F.lit(None).cast(ranges.schema[name_col].dataType))
+    listed = out.withColumn("_r", F.concat(*found)).drop(*[f"_r{lv}" for lv in sizes])
+    return listed.withColumn("_r", F.explode_outer("_r")).withColumn(name_col, F.col("_r.name")).drop("_r")

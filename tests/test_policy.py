@@ -90,13 +90,24 @@ def test_range_membership_both_ends(spark):
     out = range_membership(pts, "n", pools)
     assert rows(out, "s", "network") == [("192.168.200.51", "pool"), ("192.168.200.90", "pool"),
                                          ("192.168.200.91", None)]
-    # a /8-wide range next to a narrow one: the bucket width adapts, answers do not change
+    # a /8-wide range next to a narrow one, then ranges that overlap, repeat, or are swapped
     wide = pools.unionByName(spark.createDataFrame([("ten", 10 << 24, (11 << 24) - 1)], "network string, lo bigint, hi bigint"))
     pts2 = pts.unionByName(spark.createDataFrame([("10.1.2.3", (10 << 24) + 66051)], "s string, n bigint"))
     got = rows(range_membership(pts2, "n", wide), "s", "network")
     assert ("10.1.2.3", "ten") in got and ("192.168.200.91", None) in got and len(got) == 4
 
 
+def test_range_membership_matches_brute_force(spark):
+    rs = [("all", 0, (1 << 32) - 1), ("a", 10, 300), ("a", 10, 300), ("b", 300, 300), ("c", 17, 4096), ("swapped", 9, 3), (None, 5, 5)]
+    ips = [0, 5, 9, 10, 16, 17, 255, 256, 300, 301, 4096, 4097, 1 << 31, (1 << 32) - 1, 1 << 33, 10]
+    rdf = spark.createDataFrame([*rs, ("open", None, 4)], "network string, lo bigint, hi bigint")
+    pdf = spark.createDataFrame([(i,) for i in [*ips, None]], "ip bigint")
+    want = sorted([(i, n) for i in ips for n, lo, hi in rs if lo <= i <= hi] + [(1 << 33, None), (None, None)], key=repr)
+    for bound in (0, 3, 1000):
+        assert rows(range_membership(pdf, "ip", rdf, max_broadcast_rows=bound), "ip", "network") == want
+    assert rows(range_membership(pdf, "ip", rdf.limit(0)), "ip", "network") == sorted([(i, None) for i in [*ips, None]], key=repr)
+
+
 def test_most_specific_prefix(spark):
     pf = spark.createDataFrame([(parse_cidr("172.16.0.0/16")[0], 16, "campus"),
                                 (parse_cidr("172.16.1.0/24")[0], 24, "lab")], "net bigint, prefix_len int, attr string")
