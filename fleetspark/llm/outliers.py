@@ -18,9 +18,13 @@ logarithmic (1/32 of a power of two), which makes the kept share exact to a buck
 has none of its own).
 
 Defined results: a null text has no words, so it fails the base rule; null
-languages and sources are groups of their own; groups with fewer than
-``min_group`` rows past the base rule reject nothing; repeated rows count each;
-extra columns pass through ``judge``; an empty table gives an empty result.
+languages and sources are groups of their own; a group with fewer than
+``min_group`` rows past the base rule is judged by a pooled estimate, that of its
+language over all sources, else (fewer than ``min_group`` there too) of its source
+over all languages, else of all rows, however few; so every row past the base rule
+has a distance, and so have base-failed rows of a group that holds one; repeated
+rows count each; extra columns pass through ``judge``; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -200,11 +204,27 @@ def _ranked(buckets: DataFrame) -> DataFrame:
             .withColumn("below", F.coalesce("below", F.lit(0))).withColumn("all", F.sum("n").over(w)))
 
 
+def _pools(vectors: DataFrame, min_group: int) -> DataFrame:
+    """gkey -> lkey, skey (its language, its source) and ``judged_by``, the first of gkey, lkey, skey with
+    ``min_group`` rows, else ``all``."""
+    sized = written(vectors.groupBy("gkey").agg(F.count("*").alias("n")), "groups")
+    of = F.from_json("gkey", "lang string, source string")
+    sized = sized.select("gkey", "n", F.concat(F.lit("lang "), F.to_json(F.struct(of["lang"].alias("lang")))).alias("lkey"),
+                         F.concat(F.lit("source "), F.to_json(F.struct(of["source"].alias("source")))).alias("skey"))
+    for key, n in (("lkey", "n_lang"), ("skey", "n_source")):
+        sized = sized.join(sized.groupBy(key).agg(F.sum("n").alias(n)), key)
+    judged_by = (F.when(F.col("n") >= min_group, F.col("gkey")).when(F.col("n_lang") >= min_group, F.col("lkey"))
+                 .when(F.col("n_source") >= min_group, F.col("skey")).otherwise("all"))
+    return written(sized.select("gkey", "lkey", "skey", judged_by.alias("judged_by")), "pools")
+
+
 def fit(vectors: DataFrame, support: float = 0.75, steps: int = 5, min_group: int = 30) -> DataFrame:
-    """gkey -> centre, inverse scatter (upper triangle) of the rows' vectors."""
-    w_min = F.col("n") >= min_group
-    sized = vectors.groupBy("gkey").agg(F.count("*").alias("n")).where(w_min).select("gkey")
-    vectors = vectors.join(written(sized, "groups"), "gkey")
+    """gkey -> centre, inverse scatter (upper triangle) of the rows' vectors, or of the pool that judges the group."""
+    pools = _pools(vectors, min_group)
+    estimates = pools.select("gkey", F.explode(F.array("gkey", "lkey", "skey", F.lit("all"))).alias("judged_by")).join(
+        pools.select("judged_by").distinct(), "judged_by", "left_semi")
+    # from here on gkey names an estimate: a row counts in its group's and in each pool that judges some group
+    vectors = vectors.join(written(estimates, "estimates"), "gkey").drop("gkey").withColumnRenamed("judged_by", "gkey")
     centres = _centres(vectors)
     z = [F.tanh((F.col(v) - F.col("med")[i]) / F.col("scale")[i]) for i, v in enumerate(VECTOR)]
     scored = vectors.join(centres, "gkey").groupBy("gkey", "med", "scale").agg(
@@ -244,14 +264,17 @@ def fit(vectors: DataFrame, support: float = 0.75, steps: int = 5, min_group: in
                         / chi2_quantile(P, 0.5), F.lit(0.25))
     ranked = ranked.withColumn("factor", factor)
     kept = ranked.where((middle <= F.col("factor") * chi2_quantile(P, 0.025)) | (F.col("below") == 0))
-    return written(_summed(kept, F.greatest(F.lit(1.0), F.least(F.col("factor"), F.lit(4.0))))
-                   .mapInPandas(_inverted, _PARAMS).drop("start", "log_det"), "mcd")
+    model = written(_summed(kept, F.greatest(F.lit(1.0), F.least(F.col("factor"), F.lit(4.0))))
+                    .mapInPandas(_inverted, _PARAMS).drop("start", "log_det"), "mcd")
+    return written(pools.select("gkey", "judged_by").join(model.withColumnRenamed("gkey", "judged_by"), "judged_by")
+                   .drop("judged_by"), "models")
 
 
 def judge(statistics: DataFrame, tail: float = 1e-9, **params) -> DataFrame:
-    """Adds ``distance`` (squared, robust; null where no estimate applies) and ``kept``."""
+    """Adds ``distance`` (squared, robust; null where no row of the group is past the base rule) and ``kept``."""
     model = fit(statistics.where("NOT base_failed").select("gkey", *VECTOR), **params)
-    scored = statistics.join(model, "gkey", "left").withColumn("distance", _distance()).drop("centre", "inverse")
+    distance = F.when(F.col("centre").isNotNull(), _distance())  # greatest() in it passes over nulls
+    scored = statistics.join(model, "gkey", "left").withColumn("distance", distance).drop("centre", "inverse")
     out = F.coalesce(F.col("distance") > chi2_quantile(P, tail), F.lit(False))
     return scored.withColumn("kept", ~F.col("base_failed") & ~out)
 

@@ -227,6 +227,22 @@ def test_outliers_are_rejected_whatever_their_number(spark, awkward, nothing):
     assert outliers.quality(nothing).count() == 0
 
 
+def test_small_groups_are_judged_by_pools(spark):
+    draw = random.Random(6)
+    words = ["the", "of", "and", "to", "in", "river", "stone", "because", "another", "small", "wonderful"]
+    prose = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    junk = lambda: " ".join(w + "$$$" for w in prose(100).split())
+    groups = [("en", f"rare{i // 4}") for i in range(60)]  # by language: no source has min_group rows
+    groups += [(f"l{i}", "shared") for i in range(60)]  # by source: no language has
+    groups += [(f"m{i}", f"own{i}") for i in range(5)] + [(None, None)]  # by all rows
+    rows = [(i, prose(draw.randint(60, 300)), *g) for i, g in enumerate(groups)]
+    bad = [(1000 + i, junk(), *g) for i, g in enumerate([("en", "five")] * 5 + [("x", "shared"), ("y", "alone"), (None, "z"), (None, None)])]
+    judged = {r["doc_id"]: r for r in outliers.quality(frame(spark, rows + bad)).collect()}
+    assert len(judged) == len(rows + bad) and all(r["distance"] is not None for r in judged.values() if not r["base_failed"])
+    assert not any(judged[1000 + i]["base_failed"] or judged[1000 + i]["kept"] for i in range(len(bad)))
+    assert sum(judged[i]["kept"] for i in range(len(rows))) >= len(rows) - 3
+
+
 # 5: SimHash ---------------------------------------------------------------------------------------
 
 def fingerprint_by_hand(text):
