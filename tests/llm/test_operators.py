@@ -243,6 +243,26 @@ def test_small_groups_are_judged_by_pools(spark):
     assert sum(judged[i]["kept"] for i in range(len(rows))) >= len(rows) - 3
 
 
+def test_milder_junk_is_rejected_and_clean_tables_stay(spark):
+    draw = random.Random(7)
+    words = [a + b for a in "the of and to in river stone because another small".split() for b in ["", "er", "ing", "s", "ness"]]
+    prose = lambda n: [[draw.choice(words) for _ in range(8)] for _ in range(n)]
+    text = lambda lines: "\n".join(" ".join(w).capitalize() + "." for w in lines)
+    every = lambda k, change: [[change(w) if i % k == 0 else w for i, w in enumerate(ln)] for ln in prose(20)]
+    mild = {"numbers": lambda: text(every(3, lambda w: str(draw.randint(1000, 99999)))),
+            "capitals": lambda: "\n".join(map(" ".join, every(2, str.upper))),
+            "symbols": lambda: text(every(2, lambda w: w + "|")),
+            "lines": lambda: text([x for ln in prose(20) for x in (ln, ["see", "also"])][:-10])}
+    clean = [(i, text(prose(draw.randint(6, 40))), "en", "a") for i in range(300)]
+    rows = clean + [(1000 * k + i, make(), "en", "a") for k, make in enumerate(mild.values(), 1) for i in range(10)]
+    judged = {r["doc_id"]: r for r in outliers.quality(frame(spark, rows)).collect()}
+    assert not any(r["base_failed"] for r in judged.values())
+    assert {k for k in range(1, 5) for i in range(10) if judged[1000 * k + i]["kept"]} == set()
+    assert sum(judged[i]["kept"] for i in range(300)) >= 294
+    alone = outliers.quality(frame(spark, clean)).where("kept").count()
+    assert alone >= 294
+
+
 # 5: SimHash ---------------------------------------------------------------------------------------
 
 def fingerprint_by_hand(text):
