@@ -75,15 +75,16 @@ class BestFit:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = SEQUENCE_TOKENS, end_id: int = END_ID,
-                 with_ids: bool = False) -> DataFrame:
+                 with_ids: bool = False, added: bool = False) -> DataFrame:
     """Cut each document's ids (plus the end id) into pieces of at most ``max_tokens``.
 
-    ``with_ids`` adds the ids themselves, for writers of packed sequences.
+    ``with_ids`` adds the ids themselves, for writers of packed sequences;
+    ``added`` as for ``ChunkEncoder``.
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        encoder = ChunkEncoder.of_worker(tokenizer, words=True)
+        encoder = ChunkEncoder.of_worker(tokenizer, words=True, added=added)
         step = 4 * max_tokens
         for batch in batches:
             for first, texts in text_blocks(batch.column("text"), 2 << 20):

@@ -11,7 +11,7 @@ from fleetspark.llm.common import documents
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.tokenize_to_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.tokenize_to_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
 def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_pieces(packing.token_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack_pieces(packing.token_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"),
+                                                    added=True))
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

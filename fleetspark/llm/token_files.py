@@ -76,13 +76,19 @@ class ChunkEncoder:
     it, goes straight to the vocabulary's model; anything else through the whole
     tokenizer.  At most ``max_entries`` chunks of ``longest`` characters are kept; beyond
     that the cache starts anew.
+
+    ``added=True`` gives the ids of the library's default call, in which the string of an
+    added token (``<|endoftext|>``) is that token; a text that holds one goes through the
+    library whole. Otherwise such strings are ordinary text.
     """
 
-    def __init__(self, path: str, words: bool, max_entries: int = 1_300_000, longest: int = 40):
+    def __init__(self, path: str, words: bool, max_entries: int = 1_300_000, longest: int = 40,
+                 added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.model = self.tokenizer.model
         self.words, self.max_entries = words, max_entries
         self.tails: dict[str, bytes] = {"": b""}
@@ -91,15 +97,23 @@ class ChunkEncoder:
         self.newline = self._bytes(self._ids("\n"))
 
     @classmethod
-    def of_worker(cls, path: str, words: bool) -> ChunkEncoder:
+    def of_worker(cls, path: str, words: bool, added: bool = False) -> ChunkEncoder:
         """The Python worker's encoder, which later tasks use again."""
-        if (path, words) not in _ENCODERS:
-            _ENCODERS[path, words] = cls(path, words)
-        return _ENCODERS[path, words]
+        if (path, words, added) not in _ENCODERS:
+            _ENCODERS[path, words, added] = cls(path, words, added=added)
+        return _ENCODERS[path, words, added]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _whole(self, text: str) -> bytes:
+        """Id bytes of a whole text, added tokens as ``added`` says."""
+        self.tokenizer.encode_special_tokens = not self.added
+        try:
+            return self._bytes(self._ids(text))
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     @staticmethod
     def _bytes(ids) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -141,8 +155,8 @@ class ChunkEncoder:
         return [part.tobytes() for part in np.split(ids, np.cumsum(n)[:-1])]
 
     def _words(self, text: str) -> bytes:
-        if any(c in text for c in _ODD):  # white space to Python only
-            return self._bytes(self._ids(text))
+        if any(c in text for c in _ODD) or any(t in text for t in self.added):  # _ODD: white space to Python only
+            return self._whole(text)
         return b"".join(map(self.led.__getitem__, text.split()))
 
     def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +170,10 @@ class ChunkEncoder:
         codes = coded.indices.to_numpy().astype(np.int64)
         table = [self.led[chunk] for chunk in distinct]
         whole = np.logical_or.reduceat(np.asarray([ids is None for ids in table])[codes], heads)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         # a text's first piece follows no blank: it, or the whole text, has an entry of its own
-        first = [self._bytes(self._ids(texts[i].as_py())) if alone else self.first[distinct[code]]
+        first = [self._whole(texts[i].as_py()) if alone else self.first[distinct[code]]
                  for i, (alone, code) in enumerate(zip(whole.tolist(), codes[heads].tolist(), strict=True))]
         codes[heads] = len(table) + np.arange(len(first))
         if whole.any():
@@ -174,7 +190,7 @@ class ChunkEncoder:
         return np.frombuffer(b"".join(table), dtype="<i4")[at], np.add.reduceat(n, heads)
 
 
-_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], ChunkEncoder] = {}
 
 
 def text_blocks(texts: pa.Array, max_bytes: int = 4 << 20):
@@ -187,9 +203,9 @@ def text_blocks(texts: pa.Array, max_bytes: int = 4 << 20):
             yield first, texts.slice(first, end - first)
 
 
-def _encoder_map(path: str, end_id: int):
+def _encoder_map(path: str, end_id: int, added: bool):
     def encode(batches):
-        encoder = ChunkEncoder.of_worker(path, words=False)
+        encoder = ChunkEncoder.of_worker(path, words=False, added=added)
         part, local = TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, texts in text_blocks(batch.column("text")):
@@ -210,9 +226,12 @@ def _encoder_map(path: str, end_id: int):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, encoding: str = "dictionary",
-                 row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, page_rows: int = 2_000) -> None:
+                 row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, page_rows: int = 2_000,
+                 added: bool = False) -> None:
     """Encode ``docs`` (``doc_id``, ``text``) and write the token files in ``doc_id`` order.
 
+    ``added`` as for ``ChunkEncoder``.
+
     ``part`` numbers the files in ``doc_id`` order; ``local_start`` counts the ids
     before a document within its file.
     """
@@ -220,7 +239,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         raise ValueError(f"encoding: {encoding}")
     ordered = (docs.select("doc_id", "text").repartitionByRange("doc_id")
                .sortWithinPartitions("doc_id", F.xxhash64("text"), "text"))
-    (ordered.mapInArrow(_encoder_map(tokenizer, end_id), TOKEN_SCHEMA)
+    (ordered.mapInArrow(_encoder_map(tokenizer, end_id, added), TOKEN_SCHEMA)
      .write.option("compression", "zstd")
      .option("parquet.block.size", row_group_bytes)
      .option("parquet.page.size", page_bytes)
@@ -265,9 +284,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
         "doc_id", (F.col("part_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokenize_to_files(docs: DataFrame, tokenizer: str) -> DataFrame:
+def tokenize_to_files(docs: DataFrame, tokenizer: str, added: bool = False) -> DataFrame:
     """Write ``docs`` as token files into the shared folder and return their index."""
     spark = docs.sparkSession
     path = scratch(spark, "tokens")
-    write_tokens(docs, path, tokenizer)
+    write_tokens(docs, path, tokenizer, added=added)
     return token_index(spark, path)

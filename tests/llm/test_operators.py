@@ -92,6 +92,23 @@ def test_blocks_of_texts_encode_like_each_text():
     assert [[*ids, 0] for ids in got] == encoded(BYTE_BPE, texts)
 
 
+@pytest.mark.parametrize("path,words", [(BYTE_BPE, False), (WORD_BPE, True)])
+def test_added_tokens_like_the_librarys_default_call(path, words):
+    draw = random.Random(3)
+    parts = [*"abÉ.,! \n\t1\x1c", "  ", "thonre", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endof"]
+    texts = ["a <|endoftext|> b", "", *["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(3000)]]
+    plain = Tokenizer.from_file(path)
+    got = token_files.ChunkEncoder(path, words, added=True).encode(texts)
+    assert got == [np.asarray(e.ids, dtype="<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_queries_encode_added_tokens(spark, tmp_path):
+    frame(spark, [(1, "a <|endoftext|> b", "en", "a")]).write.parquet(f"{tmp_path}/documents.parquet")
+    for query, path in ((queries.op1_token_files, BYTE_BPE), (queries.op6_best_fit_packing, WORD_BPE)):
+        ids = Tokenizer.from_file(path).encode("a <|endoftext|> b", add_special_tokens=False).ids + [0]
+        assert [r["ids_crc32"] for r in query(spark, str(tmp_path)).collect()] == [crc(ids)]
+
+
 def by_id(rows):
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
 
