@@ -1,4 +1,4 @@
-"""The ten registered queries of the training-data operators, and their DuckDB twins."""
+"""The thirteen registered queries of the training-data operators, and their DuckDB twins."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import licenses, mixing, omh, outliers, packing, ppm, simhash, suffix, token_files, warc
+from fleetspark.llm import (divergence, fim, licenses, mixing, omh, outliers, packing, pieces, ppm, simhash, suffix,
+                            token_files, warc)
 from fleetspark.llm.common import documents
 
 
@@ -58,9 +59,27 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.restore(fim.transform(documents(spark, sf_dir))).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.decode(pieces.encode(documents(spark, sf_dir), model), model).select(
+        "doc_id", "n_tokens", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_ppm_language, op3_warc_revisits, op4_robust_outliers,
                                    op5_bit_sliced_simhash, op6_best_fit_packing, op7_order_minhash, op8_suffix_dedup,
-                                   op9_license_scan, op10_source_mix)}
+                                   op9_license_scan, op10_source_mix, op11_fill_in_middle, op12_sentencepiece,
+                                   op13_source_divergence)}
 
 ORACLE = {
     "op3_warc_revisits": """
@@ -99,4 +118,43 @@ ORACLE = {
         SELECT doc_id, size, source_size, target,
                (epochs * size + CASE WHEN upto - size / 2.0 <= rest THEN size ELSE 0 END)::BIGINT AS taken
         FROM m""",
+    "op11_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        u AS (SELECT *, length(t)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+                     ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+                          THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (SELECT *, substr(t, 1, low) AS pre, substr(t, low + 1, high - low) AS mid, substr(t, high + 1) AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                                ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                       'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        w AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+        a AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        b AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, sum(n) OVER (PARTITION BY lang) AS lang_total,
+                     sum(n) OVER (PARTITION BY lang, term) AS lang_n FROM a JOIN v USING (lang)),
+        p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS p,
+                     1 + (1000000000::HUGEINT * (lang_n + 2)) // (lang_total + 2 * v) AS q FROM b),
+        s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+              FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+              GROUP BY x.lang, x.source, y.source),
+        r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+              FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+              LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+              UNION ALL
+              SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+        SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10""",
 }
