@@ -4,9 +4,14 @@ Every run of ``K`` words of a text is hashed and joined to the positions of the
 run in the licence templates (a broadcast of a fixed list; equal words are checked
 in the join, so a hash never decides alone).  A hit at text position p and template
 position t votes for the diagonal p - t.  Votes are counted by (document, template,
-diagonal); neighbouring diagonals, where words were put in or left out, merge into
-one span.  A span is verified: the share of the template's runs it contains must
-reach ``min_share``, over at most ``max_stretch`` times the template's words.
+diagonal); a run that stands more than once in its template counts at each text position for the
+diagonal with the most votes.  Where words were put in or left out, a notice goes on in a neighbouring
+diagonal: spans whose text and template positions both go on in order, at most as many words
+apart as the template has (or ``max_gap``, if more), merge into one span, so a second copy of
+the notice begins a span of its own.  A span is verified: the share of the template's runs it contains must
+reach ``min_share``, over at most ``max_stretch`` times the template's words (or ``max_gap`` more
+than those); a text that holds most of two templates has both labels.  Words put in at one place
+cost ``K`` - 1 runs, however many they are.
 
 Base phrases are templates of their own: a diagonal with all their runs is a place
 where the phrase stands, word by word.
@@ -86,19 +91,25 @@ def hits(docs: DataFrame) -> DataFrame:
             .select("doc_id", "text_hash", "tid", "base", "label", "runs", "n_template", "pos", "tpos"))
 
 
-def spans(docs: DataFrame, max_gap: int = 2, min_share: float = 0.7, max_stretch: float = 1.5) -> DataFrame:
+def spans(docs: DataFrame, max_gap: int = 10, min_share: float = 0.7, max_stretch: float = 2.0) -> DataFrame:
     """Verified spans (doc_id, text_hash, base, label, first, last, share) in word positions, ``last`` included."""
     key = ["doc_id", "text_hash", "tid", "base", "label", "runs", "n_template"]
-    diagonals = (hits(docs).withColumn("diagonal", F.col("pos") - F.col("tpos")).groupBy(*key, "diagonal")
-                 .agg(F.collect_set("tpos").alias("seen"), F.min("pos").alias("first"),
-                      (F.max("pos") + (K - 1)).alias("last")))
-    w = Window.partitionBy("doc_id", "text_hash", "tid").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > F.when(F.col("base"), 0).otherwise(max_gap),
-                       F.lit(True))
-    merged = (diagonals.withColumn("apart", apart).withColumn("span", F.sum(F.col("apart").cast("long")).over(w))
+    of_text = Window.partitionBy("doc_id", "text_hash", "tid")
+    voted = (hits(docs).withColumn("diagonal", F.col("pos") - F.col("tpos"))
+             .withColumn("votes", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "text_hash", "tid", "diagonal")))
+             .groupBy(*key, "pos").agg(F.max_by(F.struct("diagonal", "tpos"), F.struct("votes", "diagonal")).alias("best")))
+    diagonals = (voted.select(*key, "pos", "best.diagonal", "best.tpos").groupBy(*key, "diagonal")
+                 .agg(F.collect_set("tpos").alias("seen"), F.min("pos").alias("first"), F.max("pos").alias("last_run")))
+    w = of_text.orderBy("first", "diagonal")
+    before = F.lag(F.struct("diagonal", "last_run")).over(w)
+    gap = F.col("first") - before["last_run"]
+    goes_on = (~F.col("base") & (gap > 0) & (F.col("first") - F.col("diagonal") > before["last_run"] - before["diagonal"])
+               & (gap <= F.greatest("n_template", F.lit(max_gap)) + K))
+    merged = (diagonals.withColumn("apart", ~F.coalesce(goes_on, F.lit(False)))
+              .withColumn("span", F.sum(F.col("apart").cast("long")).over(w))
               .groupBy(*key, "span").agg(
                   F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n_seen"),
-                  F.min("first").alias("first"), F.max("last").alias("last")))
+                  F.min("first").alias("first"), (F.max("last_run") + (K - 1)).alias("last")))
     share = F.col("n_seen") / F.col("runs")
     length = F.col("last") - F.col("first") + 1
     whole = F.when(F.col("base"), F.col("n_seen") == F.col("runs")).otherwise(

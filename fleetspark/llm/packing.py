@@ -6,14 +6,18 @@ still takes a piece is the lowest set bit at or above the piece's length.  A bin
 closes when it is full; when a new one would exceed the fixed number, the
 fullest open one closes first.
 
-Spark deals the pieces by a hash into groups of about ``group_rows`` pieces, each
+Spark deals the pieces by a hash of all their columns and their place in the written table (so
+repeated rows spread too) into groups of about ``group_rows`` pieces, each
 packed as one online stream.  Bins that still have a twentieth free at a group's
 end are undone: their pieces go on to the next level, where far fewer groups remain,
-until one group is left.  So no task sees more than a group, and only the last
-group leaves partly filled bins behind.
+until one group is left, or until a level undoes more than half of its pieces (then groups hold
+fewer bins than ``open_bins``, or pieces too long to share a bin, and a further level would gain
+little).  So no task sees more than a group, and only the last level's groups leave
+partly filled bins behind, at most ``open_bins`` each.
 
 Defined results: a null text is empty (one piece with the end id only); repeated
-rows are packed each; null ``doc_id`` values stay null; extra columns are
+rows are packed each; null ``doc_id`` values stay null; pieces of equal hash are taken in the order of
+their columns; a text of any length is cut, and only its last piece may be short; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -156,6 +160,8 @@ def _pack_level(pieces: DataFrame, capacity: int, open_bins: int, groups: int, l
         return out.assign(level=level, sequence_id=sequence, offset=[o for _, o in spots])[
             [c.split(" ")[0] for c in PLACED_SCHEMA.split(", ")]].astype({"doc_id": "Int64"})
 
-    keyed = pieces.withColumn("order", F.xxhash64("doc_id", "piece", F.lit(level)))
+    # the place in the written table: the same in a retry, which reads the same file splits
+    keyed = pieces.withColumn("order", F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32",
+                                                  F.monotonically_increasing_id(), F.lit(level)))
     keyed = keyed.withColumn("group_id", F.pmod(F.xxhash64("order"), F.lit(groups)))
     return keyed.groupBy("group_id").applyInPandas(pack, PLACED_SCHEMA)

@@ -16,14 +16,14 @@ sums of integers, so batches and retries agree exactly).
 
 Fitting reads a bounded sample: about ``train_docs`` documents a language, those
 with the smallest hash of their id, which bounds the trees' size; contexts seen
-fewer than ``min_context`` times are left to their shorter context.  Scoring reads
+fewer than ``min_context`` times in every language are left to their shorter context.  Scoring reads
 every text whole.
 
 Texts are lower-cased, and runs of ASCII characters other than letters count as
 one blank.  Defined results: a null text, or one without a letter, is ``und`` with score 0;
 ties go to the language that sorts first; with no labelled row at all every text
-is ``und``; languages are the non-null labels; repeated rows and extra columns do
-no harm; an empty table gives an empty result.
+is ``und``; languages are the non-null labels; a null ``doc_id`` counts as held
+out (it is scored, never learned from); repeated rows and extra columns do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -138,8 +138,11 @@ class Model:
         return sums
 
 
-def build(langs: list[str], rows: dict[str, np.ndarray], order: int, min_context: int, max_contexts: int) -> Model:
-    """The model from the columns of ``gram_counts`` (``lang`` as index into ``langs``)."""
+def build(langs: list[str], rows: dict[str, np.ndarray], order: int, min_context: int) -> Model:
+    """The model from the columns of ``gram_counts`` (``lang`` as index into ``langs``).
+
+    A context is a node if some language saw it ``min_context`` times or more.
+    """
     byte = rows["gram"] & 255
     seen = np.unique(byte)
     symbol = np.zeros(256, dtype=np.int32)
@@ -176,14 +179,11 @@ def build(langs: list[str], rows: dict[str, np.ndarray], order: int, min_context
     for k in range(1, order + 1):
         context, sym, lang, n = level(k)
         values, inverse = np.unique(context, return_inverse=True)
-        weight = np.bincount(inverse, weights=n, minlength=len(values))
+        weight = np.zeros((len(values), L), dtype=np.int64)
+        np.add.at(weight, (inverse, lang), n)
         parent_value = values & ((1 << (8 * (k - 1))) - 1)
-        keep = (weight >= min_context) & np.asarray([v in nodes for v in parent_value.tolist()], dtype=bool)
-        if keep.sum() > max_contexts:
-            order_by = np.lexsort((values, -np.where(keep, weight, -1)))
-            chosen = np.zeros(len(values), dtype=bool)
-            chosen[order_by[:max_contexts]] = True
-            keep &= chosen
+        often = weight.max(axis=1, initial=0) >= min_context  # in one language, however many others there are
+        keep = often & np.asarray([v in nodes for v in parent_value.tolist()], dtype=bool)
         index = np.full(len(values), -1)
         index[keep] = np.arange(keep.sum())
         counts = np.zeros((int(keep.sum()), A, L))
@@ -201,16 +201,16 @@ def build(langs: list[str], rows: dict[str, np.ndarray], order: int, min_context
         total_nodes += len(ids)
     for k, child in enumerate(children):  # every level is looked up with any node's number
         children[k] = np.vstack([child, np.zeros((total_nodes - len(child), A), dtype=np.int32)])
-    cost = np.rint(-np.log2(np.concatenate(all_probs)) * BITS).astype(np.uint16)
+    cost = np.rint(-np.log2(np.concatenate(all_probs)) * BITS).astype(np.uint32)  # a byte may cost far over 64 bits
     return Model(langs, symbol, children, cost.reshape(total_nodes * A, L), A)
 
 
-def fit(docs: DataFrame, learn: Column, order: int = 3, train_docs: int = 1500, min_context: int = 16,
-        max_contexts: int = 20_000) -> Model | None:
+def fit(docs: DataFrame, learn: Column, order: int = 3, train_docs: int = 1500, min_context: int = 16) -> Model | None:
     """Fit on the rows where ``learn`` holds and ``lang`` is not null; None if there are none.
 
     ``train_docs`` bounds the sample: a document is used if its id's hash falls
-    below the share that makes about so many documents of its language.
+    below the share that makes about so many documents of its language.  That sample is
+    the only bound on the tree: no number of contexts is cut off.
     """
     labelled = docs.where(learn & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, learn: Column, order: int = 3, train_docs: int = 1500,
     index = {x: i for i, x in enumerate(langs)}
     rows = {"gram": grams["gram"].to_numpy(), "depth": grams["depth"].to_numpy(), "n": grams["n"].to_numpy(),
             "lang": grams["lang"].map(index).to_numpy()}
-    return build(langs, rows, order, min_context, max_contexts)
+    return build(langs, rows, order, min_context)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:

@@ -230,16 +230,19 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def classes(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """fp -> component_id (smallest doc_id reachable by links) for a written table of fingerprints."""
+    """fp -> root (one fingerprint of its class) and component_id (smallest doc_id reachable by links, null if all are).
+
+    ``prints`` is a written table of fingerprints.
+    """
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     pairs = written(links(distinct.select("fp"), radius), "pairs")
     if pairs.isEmpty():
-        return distinct.select("fp", F.col("least").alias("component_id"))
+        return distinct.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     roots = written(connected_components(pairs).withColumnRenamed("node", "fp"), "roots")
     least = written(distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    linked = written(roots.join(least, "root").select("fp", "component_id"), "linked")
+    linked = written(roots.join(least, "root").select("fp", "root", "component_id"), "linked")
     return written(distinct.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")), "classes")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -255,7 +258,7 @@ def hex_print(fp: str = "fp"):
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the smallest ``doc_id`` (nulls last).
 
-    A class of null ids only keeps the row with the smallest text hash; of rows
+    A class of null ids only keeps one row too, that with the smallest text hash; of rows
     that repeat the chosen id and text one stays.
     """
     prints = written(fingerprints(docs, words), "fingerprints")
@@ -263,11 +266,9 @@ def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     nothing = F.lit((1 << 63) - 1)
     key = F.struct(F.coalesce("doc_id", nothing).alias("id"), "text_hash", F.col("fp").alias("own"))
     firsts = written(prints.groupBy("fp").agg(F.min(key).alias("first")), "firsts")
-    heads = firsts.join(of_fp, "fp")
-    loose = heads.where("component_id IS NULL").select("first.id", "first.text_hash", "first.own")
-    chosen = heads.where("first.id = component_id").groupBy("component_id").agg(F.min("first").alias("first")).select(
-        "first.id", "first.text_hash", "first.own").unionByName(loose)
-    stay = written(chosen.select("id", "text_hash"), "stay")
+    chosen = firsts.join(of_fp, "fp").groupBy("root").agg(F.min("first").alias("first")).select(
+        "first.id", "first.text_hash")
+    stay = written(chosen, "stay")
     marked = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), nothing)).withColumn(
         "__hash", F.xxhash64("text"))
     kept = marked.join(stay.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")),

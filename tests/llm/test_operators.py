@@ -191,7 +191,7 @@ def test_language_probabilities_add_up():
     gram = np.asarray([sum(data[i - k] << (8 * k) for k in range(min(i, 2) + 1)) for i in range(len(data))])
     depth = np.minimum(np.arange(len(data)), 2)
     rows = {"gram": gram, "depth": depth, "n": np.ones(len(data), dtype=int), "lang": np.zeros(len(data), dtype=int)}
-    m = ppm.build(["x"], rows, order=2, min_context=1, max_contexts=100)
+    m = ppm.build(["x"], rows, order=2, min_context=1)
     p = np.exp2(-m.cost.reshape(-1, m.n_symbols).astype(float) / ppm.BITS)
     assert np.allclose(p[:, 1:].sum(axis=1) + p[:, 0] * (256 - (m.n_symbols - 1)), 1, atol=5e-3)
 
