@@ -45,3 +45,11 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str = "table") -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what} has more than {max_rows} rows; use the distributed path")
     return rows
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder under the shared checkpoint folder and read back, for plans that use it several times."""
+    from fleetspark.streaming.sources import shared_path
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
