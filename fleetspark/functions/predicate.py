@@ -108,16 +108,31 @@ def unresolved_names(expr, df: DataFrame) -> list[str]:
     return out
 
 
+def _bracket_end(glob: str, start: int) -> int:
+    """Index of the ``]`` that closes the bracket expression at ``start``, -1 if none does (a ``]`` in first place is a member)."""
+    first = start + 2 if glob[start + 1:start + 2] in ("!", "^") else start + 1
+    return glob.find("]", first + 1)
+
+
 def glob_to_regex(glob: str) -> str:
-    """Shell glob -> anchored Java regex (``*`` any run, ``?`` one char)."""
-    out = []
-    for ch in glob:
+    """Shell glob -> anchored Java regex (``*`` any run, ``?`` one char, ``[a-c]`` one of, ``[!a-c]`` none of)."""
+    out, i = [], 0
+    while i < len(glob):
+        ch = glob[i]
+        end = _bracket_end(glob, i) if ch == "[" else -1
         if ch == "*":
             out.append(".*")
         elif ch == "?":
             out.append(".")
+        elif end > 0:
+            members = glob[i + 1:end]
+            negated = members[:1] in ("!", "^")
+            inner = re.sub(r"([\\\[\]&^])", r"\\\1", members[negated:])
+            out.append(f"[{'^' if negated else ''}{inner}]")
+            i = end
         else:
             out.append(re.escape(ch))
+        i += 1
     return "^(?s)" + "".join(out) + "$"
 
 
@@ -125,9 +140,9 @@ def matches_glob(col, glob: str) -> Column:
     """``[[ $x == pattern ]]`` (P5, P8): equality without wildcards, prefix test for
     ``abc*``, regex otherwise."""
     c = F.col(col) if isinstance(col, str) else col
-    if not any(ch in glob for ch in "*?"):
+    if not any(ch in glob for ch in "*?["):
         return c == F.lit(glob)
-    if glob.endswith("*") and not any(ch in glob[:-1] for ch in "*?"):
+    if glob.endswith("*") and not any(ch in glob[:-1] for ch in "*?["):
         return c.startswith(glob[:-1])
     return c.rlike(glob_to_regex(glob))
 

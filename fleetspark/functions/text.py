@@ -156,8 +156,8 @@ def split_get(s, sep_regex: str, index: int) -> Column:
     return F.get(F.split(_c(s), sep_regex), index)
 
 
-def split_size(s, sep_regex: str = " ") -> Column:
-    """List length as a count (A6); an empty string has no elements."""
+def split_size(s, sep_regex: str = r"\s+") -> Column:
+    """List length as a count (A6), words parted by any run of white space; an empty string has no elements."""
     s = _c(s)
     return F.when(F.trim(s) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(s), sep_regex)))
 

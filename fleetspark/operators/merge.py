@@ -20,20 +20,23 @@ def _tagged(src: DataFrame, dst: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def newer_wins(src: DataFrame, dst: DataFrame, name_col: str = "name", mtime_col: str = "mtime",
                value_cols: Sequence[str] = ("content",)) -> DataFrame:
-    """Per name keep the newer file; equal times keep the target; one-sided names stay."""
+    """Per name keep the newer file; equal times keep the target; one-sided names stay.
+
+    Of rows that repeat a name, time and side the one with the greatest values stays."""
     cols = [name_col, mtime_col, *value_cols]
     u = _tagged(src, dst, cols)
     keep = F.struct(*[F.col(c) for c in [mtime_col, *value_cols, "side"]])
-    order = F.struct(F.col(mtime_col), F.col("_is_target"))
+    order = F.struct(F.col(mtime_col), F.col("_is_target"), *[F.col(c) for c in value_cols])
     out = u.groupBy(name_col).agg(F.max_by(keep, order).alias("_w"))
     return out.select(name_col, *[F.col("_w")[c].alias(c) for c in [mtime_col, *value_cols, "side"]])
 
 
 def force_merge(src: DataFrame, dst: DataFrame, name_col: str = "name", mtime_col: str = "mtime",
                 value_cols: Sequence[str] = ("content",)) -> DataFrame:
-    """Per name the source file whenever it exists, else the target."""
+    """Per name the source file whenever it exists, else the target (U3); of rows that repeat a name and side the latest."""
     cols = [name_col, mtime_col, *value_cols]
     u = _tagged(src, dst, cols)
     keep = F.struct(*[F.col(c) for c in [mtime_col, *value_cols, "side"]])
-    out = u.groupBy(name_col).agg(F.min_by(keep, F.col("_is_target")).alias("_w"))
+    out = u.groupBy(name_col).agg(F.max_by(keep, F.struct(
+        -F.col("_is_target"), F.col(mtime_col), *[F.col(c) for c in value_cols])).alias("_w"))
     return out.select(name_col, *[F.col("_w")[c].alias(c) for c in [mtime_col, *value_cols, "side"]])

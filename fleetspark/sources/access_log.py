@@ -3,7 +3,7 @@
 ``$remote_addr - $remote_user [$time_local] "$request" $status
 $body_bytes_sent "$http_referer" "$http_user_agent" "$http_x_forwarded_for"``
 
-One anchored regex per line; each field is ``regexp_extract``-ed, the local
+One anchored regex decides on a line; its fields are cut off at blanks and quotes, the local
 time is parsed with its zone and kept as a UTC ``TIMESTAMP_NTZ``.  Lines that
 do not match go to the rejects DataFrame, never silently dropped.
 """
@@ -33,25 +33,34 @@ def local_time_to_utc(text) -> F.Column:
 
 
 def parse_access_log(lines: DataFrame, line_col: str = "value", keep_cols=()) -> tuple[DataFrame, DataFrame]:
-    """Split into (parsed, rejects).  ``parsed`` has the nine declared fields."""
+    """Split into (parsed, rejects).  ``parsed`` has the nine declared fields.
+
+    The long pattern is tried once a line.  In a line of that form blanks end the first fields,
+    and the others are counted off by quotes from its end, where no field holds one.
+    """
+    line = F.col(line_col)
+    head = F.split(line, " ", 4)  # address, '-', user, the rest from '[' on
+    time = local_time_to_utc(F.substring_index(F.substr(head[3], F.lit(2)), "]", 1))
+    quoted = F.split(line, '"')
+    numbers = F.split(F.trim(F.element_at(quoted, -7)), " ")
     # a line of the right form whose date is none is a reject, not an error
-    dated = local_time_to_utc(F.regexp_extract(F.col(line_col), MAIN_FORMAT, 3)).isNotNull()
-    ok = F.coalesce(F.col(line_col).rlike(MAIN_FORMAT) & dated, F.lit(False))
-    good = lines.where(ok)
-    g = lambda i: F.regexp_extract(F.col(line_col), MAIN_FORMAT, i)
-    parsed = good.select(
-        *keep_cols,
-        g(1).alias("remote_addr"),
-        g(2).alias("remote_user"),
-        local_time_to_utc(g(3)).alias("time_local"),
-        g(4).alias("request"),
-        g(5).cast("int").alias("status"),
-        F.when(g(6) != "-", g(6).try_cast("bigint")).alias("body_bytes_sent"),
-        g(7).alias("referer"),
-        g(8).alias("user_agent"),
-        g(9).alias("x_forwarded_for"),
+    formed = F.coalesce(line.rlike(MAIN_FORMAT), F.lit(False))
+    fields = F.struct(
+        head[0].alias("remote_addr"),
+        head[2].alias("remote_user"),
+        F.when(formed, time).alias("time_local"),
+        F.element_at(quoted, -8).alias("request"),
+        numbers[0].try_cast("int").alias("status"),
+        F.when(numbers[1] != "-", numbers[1].try_cast("bigint")).alias("body_bytes_sent"),
+        F.element_at(quoted, -6).alias("referer"),
+        F.element_at(quoted, -4).alias("user_agent"),
+        F.element_at(quoted, -2).alias("x_forwarded_for"),
     )
-    rejects = lines.where(~ok)
+    # one row a line through a generator: a filter on its output stays above it, so a line is taken apart once
+    taken = lines.select(*keep_cols, line.alias("_line"), F.inline(F.array(F.when(formed, fields))))
+    parsed = taken.where(F.col("time_local").isNotNull()).drop("_line")
+    stamped = lines.select("*", F.explode(F.array(F.when(formed, time))).alias("_time"))
+    rejects = stamped.where(F.col("_time").isNull()).drop("_time")
     return parsed, rejects
 
 

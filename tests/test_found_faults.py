@@ -49,3 +49,39 @@ def test_truncated_listing_is_reported(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"id": "2", "hypervisor_hostname": "h"')
     assert [r["id"] for r in read_listing(spark, str(tmp_path), HOSTS_SCHEMA).collect()] == ["1"]
     assert rejected_listings(spark, str(tmp_path), HOSTS_SCHEMA).select(F.col("file").endswith("b.json")).collect()[0][0]
+
+
+def test_bracket_globs(spark):
+    import fnmatch
+
+    from fleetspark.functions.predicate import matches_glob
+    names = ["a1", "ab", "a-", "a]", "a^", "a\\", "a[0-9]*", "b1", "a9zz", "a&", "[x"]
+    df = spark.createDataFrame([(x,) for x in names], "s string")
+    for glob in ["a[0-9]*", "a[!0-9]", "a[]]", "a[]^]", "a[\\]", "[x", "a[&&x]", "a[^b]", "?[b-z]"]:
+        got = sorted(r["s"] for r in df.where(matches_glob("s", glob)).collect())
+        assert got == sorted(x for x in names if fnmatch.fnmatchcase(x, glob.replace("[^", "[!"))), glob
+
+
+def test_runs_of_blanks_part_words(spark):
+    from fleetspark.functions.text import split_size
+    df = spark.createDataFrame([("a  b", 2), (" a\tb c ", 3), ("", 0), ("   ", 0), ("x", 1)], "s string, n int")
+    assert df.where(split_size("s") != df.n).count() == 0
+
+
+def test_merge_of_repeated_names_is_total(spark):
+    from fleetspark.operators.merge import force_merge, newer_wins
+    files = spark.createDataFrame([("x", 1, "b"), ("x", 1, "a"), ("x", 0, "z")], "name string, mtime int, content string")
+    for merged in (newer_wins(files, files.limit(0)), newer_wins(files.limit(0), files), force_merge(files, files.limit(0))):
+        assert [tuple(r)[:3] for r in merged.collect()] == [("x", 1, "b")]
+
+
+def test_quotes_and_brackets_in_the_first_fields(spark):
+    tail = '[10/Oct/2000:13:55:36 -0700] "GET /a [b] HTTP/1.0" 200 - "-" "agent, \'x\' [y]" "1.2.3.4, 5.6.7.8"'
+    df = spark.createDataFrame([('h"o - u"s[er ' + tail,), ('h - u ' + tail + ' ',), (None,), ("",)], "value string")
+    parsed, rejects = parse_access_log(df)
+    r = parsed.collect()
+    assert len(r) == 1 and rejects.count() == 3
+    assert (r[0]["remote_addr"], r[0]["remote_user"], r[0]["request"], r[0]["status"], r[0]["body_bytes_sent"]) == (
+        'h"o', 'u"s[er', "GET /a [b] HTTP/1.0", 200, None)
+    assert (str(r[0]["time_local"]), r[0]["user_agent"], r[0]["x_forwarded_for"]) == (
+        "2000-10-10 20:55:36", "agent, 'x' [y]", "1.2.3.4, 5.6.7.8")

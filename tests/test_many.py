@@ -72,7 +72,7 @@ def test_predicates_that_are_none(spark, hosts):
 def test_no_condition_is_planned_per_predicate(spark, hosts):
     few, many = (spark.createDataFrame([(i, f'["==","$q","{i}"]') for i in range(n)], "lease int, pred string") for n in (3, 3000))
     sizes = [len(plan_of(match_predicates(p, "pred", hosts, "host")[0]).splitlines()) for p in (few, many)]
-    assert sizes[0] == sizes[1]
+    assert abs(sizes[0] - sizes[1]) < 10  # joins may pick other sides to broadcast
 
 
 # Overlapping ranges ------------------------------------------------------------------------------
