@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from fleetspark.plans import (q_audit, q_leases, q_lines, q_listings, q_many, q_policy, q_rdf, q_retention, q_scan,
-                              q_streaming, q_topology)
+                              q_stars, q_streaming, q_topology)
 
 _MODULES = [q_leases, q_listings, q_policy, q_lines, q_audit, q_retention, q_topology, q_rdf, q_scan, q_streaming,
-            q_many]
+            q_many, q_stars]
 
 QUERIES = {}
 ORACLE_SQL = {}
