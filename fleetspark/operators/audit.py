@@ -23,6 +23,8 @@ SECRET_KEY_PATTERN = "(?i)(pass|secret|token)"
 # Fixed value: the routing daemon that keeps its priority (every other enabled
 # daemon is moved one step later so it starts first).
 PRIORITY_ANCHOR_DAEMON = "zebra"
+# Fixed value: an entry of the daemon file that has a priority but is no daemon; only a list that names it schedules it.
+NO_DAEMON = "vtysh_enable"
 
 
 def fill_placeholders(text, params: Sequence[tuple[str, str]] | Mapping[str, str],
@@ -77,27 +79,43 @@ def normalize_priority(name, value, special: str = PRIORITY_ANCHOR_DAEMON) -> Co
     return F.when((n != special) & (base > 0), base + 1).otherwise(base)
 
 
+def _listed(daemons: DataFrame, name_col: str, daemon_list: Sequence[str] | None) -> tuple[DataFrame, list[Column]]:
+    """The daemons of the list and the order of ties it asks for; without a list, every entry that is a daemon."""
+    name = F.col(name_col)
+    if daemon_list is None:
+        return daemons.where(name.isNull() | (name != NO_DAEMON)), []
+    names = F.array(*[F.lit(n) for n in daemon_list]) if daemon_list else F.array().cast("array<string>")
+    return daemons.where(F.array_contains(names, name)), [F.array_position(names, name)]
+
+
 def _sequence(df: DataFrame, host_col: str, order: list, seq_col: str, skew_safe, max_group_rows: int) -> DataFrame:
     return row_number_within(df, [host_col], order, seq_col, skew_safe=skew_safe, max_group_rows=max_group_rows)
 
 
 def start_order(daemons: DataFrame, host_col: str, name_col: str, pos_col: str, prio_col: str,
                 wanted: int = 10, seq_col: str = "start_seq", skew_safe: bool | str = "auto",
-                max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
-    """``start_prio N``: priorities 1..N ascending, ties in list order (O1).
+                max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, daemon_list: Sequence[str] | None = None) -> DataFrame:
+    """``start_prio N [list]``: priorities 1..N ascending, ties in list order (O1).
+
+    ``daemon_list`` schedules only the daemons it names, ties in its order; without it every entry but
+    ``vtysh_enable``, ties in the order of the host's table.
 
     The per-host sequence is :func:`row_number_within`: a plain window while
     every host's table is provably small, the distributed numbering (no host in
     one task) otherwise; ``skew_safe`` forces either."""
-    order = [F.col(prio_col), F.col(pos_col), F.col(name_col)]
-    return _sequence(daemons.where(F.col(prio_col).between(1, wanted)), host_col, order, seq_col, skew_safe,
+    listed, ties = _listed(daemons, name_col, daemon_list)
+    order = [F.col(prio_col), *ties, F.col(pos_col), F.col(name_col)]
+    return _sequence(listed.where(F.col(prio_col).between(1, wanted)), host_col, order, seq_col, skew_safe,
                      max_group_rows)
 
 
 def stop_order(daemons: DataFrame, host_col: str, name_col: str, pos_col: str, prio_col: str,
                wanted: int = 0, seq_col: str = "stop_seq", skew_safe: bool | str = "auto",
-               max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
-    """``stop_prio N``: priorities 10 down to N, ties in list order (O2); N=0 includes disabled."""
-    order = [F.col(prio_col).desc(), F.col(pos_col), F.col(name_col)]
-    return _sequence(daemons.where(F.col(prio_col).between(wanted, 10)), host_col, order, seq_col, skew_safe,
+               max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, daemon_list: Sequence[str] | None = None) -> DataFrame:
+    """``stop_prio N [list]``: priorities 10 down to N, ties in list order (O2); N=0 includes disabled.
+
+    ``daemon_list`` as for :func:`start_order`."""
+    listed, ties = _listed(daemons, name_col, daemon_list)
+    order = [F.col(prio_col).desc(), *ties, F.col(pos_col), F.col(name_col)]
+    return _sequence(listed.where(F.col(prio_col).between(wanted, 10)), host_col, order, seq_col, skew_safe,
                      max_group_rows)

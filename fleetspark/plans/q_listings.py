@@ -60,7 +60,7 @@ def listing_lease(spark, d):
                             "lease of that name")
     lease_id, reservation = (found[0]["id"], found[0]["reservation"]) if found else (None, None)
     mine = keep_per_match(allocs, "reservations", lambda r: r["lease_id"] == F.lit(lease_id))
-    named = lookup_last(mine, eligible, "resource_id", "id", ["hypervisor_hostname"], "ord")
+    named = lookup_last(mine, eligible, "resource_id", "id", ["hypervisor_hostname"], "place")
     return named.select("resource_id", "hypervisor_hostname", F.lit(reservation).cast("string").alias("reservation_id"))
 
 

@@ -22,15 +22,15 @@ LEASE_SCHEMA = "id string, name string, reservations string, start_date string,
 
 def read_listing(spark: SparkSession, paths: str | Sequence[str], schema: str,
                  recursive: bool = False) -> DataFrame:
-    """Rows of JSON-array listing files, with the file and the element's position
-    in it (``ord``) so "last duplicate wins" has an explicit order.  ``null``
-    elements are skipped.  Each listing file is one row while it is parsed, as a
+    """Rows of JSON-array listing files, with the file, the element's position in
+    it (``ord``) and both together (``place``): "last duplicate wins" orders by
+    ``place``, files by name as a shell lists them.  ``null`` elements are skipped.  Each listing file is one row while it is parsed, as a
     CLI listing is; many files are spread over tasks."""
     reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
     raw = reader.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("js"))
     elems = raw.select("file", F.posexplode(F.from_json("js", f"array<struct<{_struct_fields(schema)}>>")).alias(
         "ord", "e"))
-    return elems.where(F.col("e").isNotNull()).select("file", "ord", "e.*")
+    return elems.where(F.col("e").isNotNull()).select("file", "ord", F.struct("file", "ord").alias("place"), "e.*")
 
 
 def rejected_listings(spark: SparkSession, paths: str | Sequence[str], schema: str, recursive: bool = False) -> DataFrame:
@@ -81,7 +81,7 @@ def _struct_fields(ddl: str) -> str:
 
 
 def host_map(hosts: DataFrame, key_col: str = "id", value_col: str = "hypervisor_hostname",
-             order_col: str = "ord") -> DataFrame:
+             order_col: str = "place") -> DataFrame:
     """``map({"key": .id, "value": .hypervisor_hostname}) | from_entries`` as a
     two-column lookup table (P2, A3): one row per key, the last listed wins."""
     from fleetspark.operators.leases import last_wins
