@@ -18,6 +18,7 @@ from fleetspark.streaming.sources import read_event_stream, run_available, share
 
 TIMEOUT_S = 120
 WATERMARK = "10 minutes"
+POLL_S = 5
 
 
 def deadline(spark, d):
@@ -29,6 +30,14 @@ def deadline(spark, d):
         "user_id", "event_id", "started", "done_at", "status")
 
 
+def deadline_polls(spark, d):
+    """The same steps as a waiter sees them that looks every 5 s, the last time after 115 s."""
+    e = table(spark, d, "events")
+    return deadline_batch(e.where(F.col("event_type") == "click"), e.where(F.col("event_type") == "purchase"), ["user_id"],
+                          "event_id", "ts", "ts", TIMEOUT_S, POLL_S).select(
+        "user_id", "event_id", "started", "done_at", "seen_at", "status")
+
+
 def _event_stream_with_close(spark, d):
     """The events file as a stream, plus an end-of-input marker one day after
     the last event (derived from the table) so the watermark passes every real row; with the last
@@ -92,6 +101,7 @@ def stream_policy_joined(spark, d):
 
 QUERIES = {
     "deadline": deadline,
+    "deadline_polls": deadline_polls,
     "deadline_stream": deadline_streaming,
     "stream_policy": stream_policy,
     "stream_policy_joined": stream_policy_joined,
@@ -111,6 +121,14 @@ from fleetspark.plans.q_policy import ORACLE as _POLICY_ORACLE, prefix_sql  # no
 ORACLE = {
     "deadline": _DEADLINE_SQL,
     "deadline_stream": _DEADLINE_SQL,
+    "deadline_polls": """
+WITH s AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'),
+p AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'),
+m AS (SELECT s.user_id, s.event_id, s.ts AS started, min(p.ts) AS done_at
+      FROM s LEFT JOIN p ON p.user_id = s.user_id AND p.ts BETWEEN s.ts AND s.ts + INTERVAL 115 SECOND
+      GROUP BY s.user_id, s.event_id, s.ts)
+SELECT *, started + to_seconds(5 * ((epoch_us(done_at) - epoch_us(started) + 4999999) // 5000000)) AS seen_at,
+       CASE WHEN done_at IS NOT NULL THEN 'done' ELSE 'timeout' END AS status FROM m""",
     "stream_policy": _POLICY_ORACLE["first_match_policy"],
     "stream_policy_joined": _POLICY_ORACLE["first_match_policy"],
     "stream_enrich": f"""

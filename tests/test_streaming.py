@@ -96,3 +96,29 @@ def test_cut_lineage_uses_shared_checkpoint_dir(spark):
     cut = cut_lineage(df)
     assert cut.count() == 100 and cut.agg(F.sum("x")).first()[0] == 9900
     assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def waiter(start, dones, timeout_s, poll_s):
+    """The wait loop by hand: (status, seen_at)."""
+    look, left = start, timeout_s
+    while not any(start <= c <= look for c in dones):
+        look, left = look + dt.timedelta(seconds=poll_s), left - poll_s
+        if left <= 0:
+            return "timeout", None
+    return "done", look
+
+
+def test_polls_against_the_wait_loop(spark):
+    sec = lambda x: dt.timedelta(seconds=x)
+    gaps = [0, 0.000001, 4.999999, 5, 5.000001, 114.9, 115, 115.000001, 119, 120, 121, -1]
+    data = []
+    for k, gap in enumerate(gaps):
+        data += [(f"u{k}", "start", T0 + sec(k), f"s{k}"), (f"u{k}", "done", T0 + sec(k) + sec(gap), None),
+                 (f"u{k}", "done", T0 + sec(k) + sec(gap + 1), None)]
+    data.append(("none", "start", T0, "s-none"))
+    e = spark.createDataFrame(data, EV)
+    for timeout_s, poll_s in ((120, 5), (120, 7), (4, 5), (12, 3)):
+        out = deadline_batch(e.where("kind = 'start'"), e.where("kind = 'done'"), ["user"], "sid", "ts", "ts", timeout_s, poll_s)
+        want = [(sid, *waiter(ts, [t for u, k, t, _ in data if u == user and k == "done"], timeout_s, poll_s))
+                for user, kind, ts, sid in data if kind == "start"]
+        assert rows(out, "sid", "status", "seen_at") == sorted(want, key=repr)
