@@ -2,7 +2,7 @@
 threshold bands (P12).
 
 ``compile_predicate`` folds a prefix-array expression such as
-``["and", ["==", "$node_type", "compute_haswell"], ["==", "$a.1.b", "True"]]``
+``["and", ["==", "$node_type", "gpu_large"], ["==", "$a.1.b", "True"]]``
 into one ordinary ``Column`` on the driver, so Catalyst sees a normal filter
 and pushes it into the scan.
 """

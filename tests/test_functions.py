@@ -81,9 +81,9 @@ def test_lease_window_and_term(spark):
 
 def test_prefix_predicate(spark):
     df = spark.createDataFrame(
-        [("h1", "compute_haswell", {"1": {"enabled": "True"}}), ("h2", "compute_haswell", {"1": {"enabled": "False"}})],
+        [("h1", "gpu_large", {"1": {"enabled": "True"}}), ("h2", "gpu_large", {"1": {"enabled": "False"}})],
         "id string, node_type string, network_adapters map<string,map<string,string>>")
-    pred = '["and",["==","$network_adapters.1.enabled","True"],["==","$node_type","compute_haswell"]]'
+    pred = '["and",["==","$network_adapters.1.enabled","True"],["==","$node_type","gpu_large"]]'
     assert [r["id"] for r in df.where(predicate.compile_predicate(pred, df)).collect()] == ["h1"]
     with pytest.raises(predicate.PredicateError):
         predicate.compile_predicate('["~","$node_type","x"]', df)

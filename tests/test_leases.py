@@ -51,9 +51,9 @@ def test_json_listings_scan(spark, tmp_path):
     from fleetspark.functions.jsonx import decode_inner
     from fleetspark.sources.listings import ALLOCATIONS_SCHEMA, HOSTS_SCHEMA, host_map, read_listing
     (tmp_path / "hosts.json").write_text(json.dumps([
-        {"id": "1", "hypervisor_hostname": "c01", "node_type": "compute_haswell"},
+        {"id": "1", "hypervisor_hostname": "c01", "node_type": "gpu_large"},
         {"id": "2", "hypervisor_hostname": "c02", "node_type": "compute_skylake"},
-        {"id": "1", "hypervisor_hostname": "c01b", "node_type": "compute_haswell"}]))
+        {"id": "1", "hypervisor_hostname": "c01b", "node_type": "gpu_large"}]))
     (tmp_path / "allocs.json").write_text(json.dumps([
         {"resource_id": "1", "reservations": [{"id": "r1", "lease_id": "L"}, {"id": "r2", "lease_id": "L"}]},
         {"resource_id": "3", "reservations": [{"id": "r3", "lease_id": "L"}]}]))

@@ -64,13 +64,13 @@ def test_topology_request_to_host_table(spark, tmp_path):
 
 def test_lease_query(spark, tmp_path):
     hosts = spark.createDataFrame(
-        [("h1", "c01", "compute_haswell", {"1": {"enabled": "True"}}, 1),
-         ("h2", "c02", "compute_haswell", {"1": {"enabled": "False"}}, 2),
-         ("h3", "c03", "compute_haswell", {"1": {"enabled": "True"}}, 3),
-         ("h1", "c01-new", "compute_haswell", {"1": {"enabled": "True"}}, 4)],
+        [("h1", "c01", "gpu_large", {"1": {"enabled": "True"}}, 1),
+         ("h2", "c02", "gpu_large", {"1": {"enabled": "False"}}, 2),
+         ("h3", "c03", "gpu_large", {"1": {"enabled": "True"}}, 3),
+         ("h1", "c01-new", "gpu_large", {"1": {"enabled": "True"}}, 4)],
         "id string, hypervisor_hostname string, node_type string, "
         "network_adapters map<string,map<string,string>>, ord int")
-    pred = '["and",["==","$network_adapters.1.enabled","True"],["==","$node_type","compute_haswell"]]'
+    pred = '["and",["==","$network_adapters.1.enabled","True"],["==","$node_type","gpu_large"]]'
     eligible = hosts.where(compile_predicate(pred, hosts))
     (tmp_path / "alloc.json").write_text(json.dumps([
         {"resource_id": "h1", "reservations": [{"id": "r1", "lease_id": "L"}]},
