@@ -46,13 +46,17 @@ def access_log_rejects(spark, d):
     return rejects.select(F.col("value").alias("line"))
 
 
-def _query_configs(spark, d):
+def query_config_texts(spark, d):
     """One small config text per page: a ``[lang]`` section line, then its query pairs."""
     p = table(spark, d, "pages")
     lang = F.regexp_extract("url", r"/([a-z]{2})/", 1)
     query = F.regexp_extract("url", r"\?([^#]*)", 1)
     text = F.concat(F.lit("["), lang, F.lit("]\n"), F.replace(query, F.lit("&"), F.lit("\n")))
-    return to_lines(p.select(F.col("page_id").alias("file"), text.alias("text")), "text", ["file"])
+    return p.select(F.col("page_id").alias("file"), text.alias("text"))
+
+
+def _query_configs(spark, d):
+    return to_lines(query_config_texts(spark, d), "text", ["file"])
 
 
 def _turn_configs(spark, d):
@@ -92,14 +96,18 @@ def xml_props(spark, d):
     return xml_property_strings(docs, "xml", ["file"])
 
 
-def block_scan(spark, d):
-    """``interface:`` blocks of indented ``key: value`` lines, one row per block."""
+def block_texts(spark, d):
+    """A text per conversation: an ``interface:`` block of role and turn for each turn."""
     c = table(spark, d, "conversations")
     block = F.concat(F.lit("interface:\n     role: "), F.col("role"), F.lit("\n     turn: "),
                      F.col("turn").cast("string"))
-    texts = c.groupBy(F.col("conv_id").alias("file")).agg(F.array_join(F.transform(
+    return c.groupBy(F.col("conv_id").alias("file")).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
-    return blocks(to_lines(texts, "text", ["file"]), "interface", keys=["role", "turn"])
+
+
+def block_scan(spark, d):
+    """``interface:`` blocks of indented ``key: value`` lines, one row per block."""
+    return blocks(to_lines(block_texts(spark, d), "text", ["file"]), "interface", keys=["role", "turn"])
 
 
 def glob_filter(spark, d):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from fleetspark.plans import (q_audit, q_fill, q_leases, q_lines, q_listings, q_many, q_policy, q_rdf, q_records, q_retention,
-                              q_scan, q_stars, q_streaming, q_topology)
+from fleetspark.plans import (q_audit, q_fill, q_folds, q_late, q_leases, q_lines, q_listings, q_many, q_policy, q_rdf, q_records,
+                              q_retention, q_scan, q_stars, q_streaming, q_topology)
 
 _MODULES = [q_leases, q_listings, q_policy, q_lines, q_audit, q_retention, q_topology, q_rdf, q_scan, q_streaming,
-            q_many, q_stars, q_records, q_fill]
+            q_many, q_stars, q_records, q_fill, q_folds, q_late]
 
 QUERIES = {}
 ORACLE_SQL = {}

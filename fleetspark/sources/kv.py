@@ -19,6 +19,7 @@ from fleetspark.operators.lines import to_lines
 KV_LINE = r"^\s*([^=\s#!;\[][^=]*?)\s*=\s*(.*?)\s*$"
 SECTION_LINE = r"^\s*\[([^\]]+)\]\s*$"
 COMMENT_LINE = r"^\s*([#!;].*)?$"
+BLOCK_LINE = r"^\s+([A-Za-z0-9_.-]+):\s*(.*?)\s*$"
 
 
 def _unquote(c):
@@ -31,7 +32,11 @@ def parse_kv_lines(lines: DataFrame, file_col: str = "file", line_col: str = "li
     split on the first ``=``, quotes stripped, ``[section]`` remembered (S2, W5)."""
     w = Window.partitionBy(file_col).orderBy(no_col).rowsBetween(Window.unboundedPreceding, 0)
     sec = F.when(F.col(line_col).rlike(SECTION_LINE), F.regexp_extract(F.col(line_col), SECTION_LINE, 1))
-    tagged = lines.withColumn("section", F.last(sec, ignorenulls=True).over(w))
+    return kv_columns(lines.withColumn("section", F.last(sec, ignorenulls=True).over(w)), file_col, line_col, no_col)
+
+
+def kv_columns(tagged: DataFrame, file_col: str, line_col: str, no_col: str) -> DataFrame:
+    """``config`` rows of lines that know their ``section``."""
     kv = tagged.where(~F.col(line_col).rlike(COMMENT_LINE) & F.col(line_col).rlike(KV_LINE))
     return kv.select(F.col(file_col).alias("file"), "section",
                      F.regexp_extract(F.col(line_col), KV_LINE, 1).alias("key"),
@@ -86,6 +91,12 @@ def xml_property_strings(df: DataFrame, xml_col: str, key_cols: Sequence[str]) -
                              F.col("kv.value").alias("value"))
 
 
+def block_entry():
+    """Functions of a line column: whether it is an indented ``key: value``, its key, its value."""
+    return (lambda x: x.rlike(BLOCK_LINE)), (lambda x: F.regexp_extract(x, BLOCK_LINE, 1)), (
+        lambda x: F.regexp_extract(x, BLOCK_LINE, 2))
+
+
 def blocks(lines: DataFrame, header: str, file_col: str = "file", line_col: str = "line",
            no_col: str = "line_no", keys: Sequence[str] | None = None) -> DataFrame:
     """Repeated ``header:`` blocks with indented ``key: value`` lines -> one row per
@@ -93,10 +104,9 @@ def blocks(lines: DataFrame, header: str, file_col: str = "file", line_col: str
     w = Window.partitionBy(file_col).orderBy(no_col).rowsBetween(Window.unboundedPreceding, 0)
     is_header = F.trim(F.col(line_col)) == F.lit(header + ":")
     b = lines.withColumn("block", F.sum(F.when(is_header, 1).otherwise(0)).over(w))
-    rx = r"^\s+([A-Za-z0-9_.-]+):\s*(.*?)\s*$"
-    kv = b.where((F.col("block") > 0) & ~is_header & F.col(line_col).rlike(rx)).select(
-        file_col, "block", F.regexp_extract(line_col, rx, 1).alias("key"),
-        F.regexp_extract(line_col, rx, 2).alias("value"), no_col)
+    is_entry, key, value = block_entry()
+    kv = b.where((F.col("block") > 0) & ~is_header & is_entry(F.col(line_col))).select(
+        file_col, "block", key(F.col(line_col)).alias("key"), value(F.col(line_col)).alias("value"), no_col)
     piv = kv.groupBy(file_col, "block").pivot("key", list(keys) if keys else None).agg(
         F.max_by("value", no_col))
     return piv
