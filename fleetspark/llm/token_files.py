@@ -17,9 +17,9 @@ whose white space could make the result depend on more than one chunk go through
 the library whole.
 
 Defined results: a null text counts as empty (only the end id); rows are ordered
-by ``doc_id`` with nulls first, rows of one ``doc_id`` by their text; repeated
-rows are kept, each with its own ``start``; extra columns are ignored; an empty
-table gives an empty result.
+by ``doc_id`` with nulls first, rows of one ``doc_id`` by the hash of their text;
+repeated rows are kept, each with its own ``start``; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -237,9 +237,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding: {encoding}")
-    ordered = (docs.select("doc_id", "text").repartitionByRange("doc_id")
-               .sortWithinPartitions("doc_id", F.xxhash64("text"), "text"))
-    (ordered.mapInArrow(_encoder_map(tokenizer, end_id, added), TOKEN_SCHEMA)
+    # ranges by id, text and, for rows alike in both, their number in the input: one id may hold a third of all rows
+    placed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
+    ordered = placed.repartitionByRange("doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "text")
+    (ordered.select("doc_id", "text").mapInArrow(_encoder_map(tokenizer, end_id, added), TOKEN_SCHEMA)
      .write.option("compression", "zstd")
      .option("parquet.block.size", row_group_bytes)
      .option("parquet.page.size", page_bytes)

@@ -1,8 +1,10 @@
 """Operator 3: WARC archives with revisit resolution.
 
-``plan_records`` shuffles only headers (page id, payload size and digest): an
-aggregation by payload digest finds, for each digest that repeats, the original
-response, and a join hands every other record of it a reference.  ``write_warc``
+``plan_records`` shuffles only headers (page id, payload size and digest) by payload
+digest: an aggregation finds, for each digest that repeats, the original response,
+and a join hands every other record of it a reference.  These references, as many as
+there are revisits, go back to the pages by page id and digest, so a digest that a third
+of the pages share gathers no payloads.  ``write_warc``
 then writes one WARC/1.1 record a page with fresh headers - a full ``response``
 or a bodiless ``revisit`` - through Spark's text writer, so it works on any
 file system Spark writes to and a lost executor's file is written again.
@@ -45,14 +47,18 @@ def headers(pages: DataFrame) -> DataFrame:
 def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """Headers and payload of each page with ``record_type`` and ``refers_to``."""
     heads = headers(pages)
-    originals = written(
-        heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("original"), F.count("*").alias("copies"))
-        .where("copies > 1 AND original IS NOT NULL").drop("copies"), "originals")
-    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return (heads.join(originals, ["payload_digest", "payload_bytes"], "left")
-            .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-            .withColumn("refers_to", F.when(revisit, F.col("original"))).drop("original"))
+    payload = ["payload_digest", "payload_bytes"]
+    large = written(heads.where(F.col("payload_bytes") >= min_bytes).select("page_id", *payload), "headers")
+    originals = (large.groupBy(*payload).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies"))
+                 .where("copies > 1 AND refers_to IS NOT NULL").drop("copies"))
+    # the digest is in the key: rows without a page id are not one key
+    revisits = written(
+        large.join(originals, payload).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+        .select(F.col("page_id").alias("of_page"), F.col("payload_digest").alias("of_digest"), "refers_to").distinct(), "revisits")
+    again = (heads["payload_digest"] == F.col("of_digest")) & heads["page_id"].eqNullSafe(F.col("of_page"))
+    found = heads.join(revisits, again & (heads["payload_bytes"] >= min_bytes), "left")
+    return (found.withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
+            .select(*payload, "page_id", "url", "payload", "record_type", "refers_to"))
 
 
 def _record_id(page_id: Column, digest: Column) -> Column:
