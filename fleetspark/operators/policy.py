@@ -19,10 +19,11 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.functions.ip import network_key
+from fleetspark.operators.ranking import row_number_within
 from fleetspark.operators.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, collect_bounded
 
 
@@ -41,11 +42,12 @@ def rank_rules(commands: DataFrame) -> DataFrame:
     """Resolve ``-A`` (append) / ``-I`` (insert at head) commands into ranks.
 
     ``commands`` has ``chain, seq, op`` plus the match columns; a later ``-I``
-    goes before every earlier rule, a later ``-A`` after them.
+    goes before every earlier rule, a later ``-A`` after them.  A long chain is numbered
+    in range partitions (``ranking``), not in one task.
     """
     key = F.when(F.upper(F.col("op")).isin("I", "-I", "INSERT"), -F.col("seq")).otherwise(F.col("seq"))
-    w = Window.partitionBy("chain").orderBy(key)
-    return commands.withColumn("rank", F.row_number().over(w)).drop("op", "seq")
+    ranked = row_number_within(commands.withColumn("_place", key), ["chain"], ["_place"], "rank")
+    return ranked.withColumn("rank", F.col("rank").cast("int")).drop("op", "seq", "_place")
 
 
 def _rule_condition_row(r: dict) -> Column:

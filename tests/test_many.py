@@ -211,3 +211,13 @@ def test_bounds_are_checked(spark):
     for bound in ({"max_rules": 20}, {"max_bytes": 100}):
         with pytest.raises(ValueError, match="strategy='join'"):
             first_match_bits(flows, rules, policies, **bound)
+
+
+@pytest.mark.parametrize("n,ports,addresses,options", [
+    (21_000, 3000, 200_000, {}), (300, 2, 100, {"slice_rules": 40}), (300, 3, 300, {"broadcast_bytes": 0})])
+def test_a_list_of_any_length_is_taken(spark, n, ports, addresses, options):
+    rules, flows = random_rules(n, 7, ports, addresses), random_flows(150, 8, ports, addresses)
+    policies = spark.createDataFrame(list(POLICIES.items()), "chain string, verdict string")
+    out = first_match_bits(spark.createDataFrame(flows, FLOWS), spark.createDataFrame(rules, RULES), policies, **options)
+    got = [(r["flow_id"], r["verdict"], r["rule_rank"]) for r in out.orderBy("flow_id").collect()]
+    assert got == first_by_hand(flows, rules)
