@@ -18,8 +18,13 @@ def _c(c) -> Column:
 
 def ip_to_num(ip) -> Column:
     """Dotted quad -> BIGINT; null when the text is not four numeric octets 0..255."""
-    ip = _c(ip)
-    parts = F.split(ip, r"\.")
+    return octets_to_num(F.split(_c(ip), r"\."))
+
+
+def octets_to_num(parts) -> Column:
+    """The split parts of a dotted quad -> BIGINT.  On a column of parts each text is split once; inside
+    ``ip_to_num`` every octet, test and sum splits it again."""
+    parts = _c(parts)
     octs = [F.get(parts, i).try_cast("bigint") for i in range(4)]
     ok = (F.size(parts) == 4)
     for o in octs:

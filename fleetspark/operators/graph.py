@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.functions.ip import ip_to_num, num_to_ip
+from fleetspark.functions.ip import ip_to_num, num_to_ip, octets_to_num
 from fleetspark.functions.ranges import number_range
 from fleetspark.operators.ranking import row_number_within
 
@@ -93,7 +93,7 @@ NODE_IP_PATTERNS: list[Pattern] = [
 def node_link_ips(triples: DataFrame, request_col: str = "request_id") -> DataFrame:
     """``$Node.IP("Link")`` for every node and link (J2): one address per (node, link)."""
     m = match_patterns(triples, NODE_IP_PATTERNS, request_col=request_col)
-    return m.select(request_col, "node", "link", "ip", ip_to_num("ip").alias("ip_num"))
+    return m.withColumn("_parts", F.split("ip", r"\.")).select(request_col, "node", "link", "ip", octets_to_num("_parts").alias("ip_num"))
 
 
 def expand_groups(groups: DataFrame, group_col: str, count_col: str, base_ip_col: str,

@@ -5,7 +5,8 @@ anything is sorted; the running sum along the places of a group is how many rang
 stretch up to the next place.  Groups of any size: where the largest group is over
 ``max_group_rows`` changes, places are range-partitioned and each chunk of a group gets the sum of the
 chunks before it and the first place of the chunk after it from the small chunk table
-(``ranking``), so no task holds a hot group.
+(``ranking``), so no task holds a hot group.  The changes of each sweep are written once: sizing the groups and
+sweeping them would each run everything before them again.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.operators.ranking import DEFAULT_MAX_GROUP_ROWS, _chunked, _join_chunks, largest_group
+from fleetspark.operators.sizing import write_once
 
 
 def range_changes(ranges: DataFrame, keys: Sequence[str], lo_col: str, hi_col: str) -> DataFrame:
@@ -65,9 +67,10 @@ def range_overlaps(ranges: DataFrame, group_cols: Sequence[str], lo_col: str, hi
     is one of its own; a range with a null end or swapped ends claims nothing; repeated rows change nothing.
     """
     own = [*group_cols, owner_col]
-    of_owner = stretches(range_changes(ranges, own, lo_col, hi_col), own, max_group_rows, n_partitions)
+    changes = write_once(range_changes(ranges, own, lo_col, hi_col), "range-changes")
+    of_owner = stretches(changes, own, max_group_rows, n_partitions)
     edges = of_owner.where("before = 0 OR depth = 0").select(
         *group_cols, "pos", F.when(F.col("depth") > 0, 1).otherwise(-1).cast("bigint").alias("delta"))
-    covered = stretches(net_changes(edges, group_cols), group_cols, max_group_rows, n_partitions)
+    covered = stretches(write_once(net_changes(edges, group_cols), "owner-changes"), group_cols, max_group_rows, n_partitions)
     return covered.where(F.col("depth") >= min_owners).select(
         *group_cols, F.col("pos").alias("first"), (F.col("next_pos") - 1).alias("last"), F.col("depth").alias("n_owners"))

@@ -11,6 +11,7 @@ from fleetspark.operators.intervals import deepest_prefix
 from fleetspark.operators.policy import rank_rules
 from fleetspark.operators.predicate_table import match_predicates, split_predicates
 from fleetspark.operators.rule_bits import first_match_bits
+from fleetspark.operators.sizing import write_once
 from fleetspark.operators.sweep import range_overlaps
 from fleetspark.plans.q_policy import (_FIRST_MATCH_SQL, _PREFIX_Q, FLOWS_SQL, policies_frame, prefix_points, prefixes_frame,
                                        rules_frame)
@@ -75,10 +76,12 @@ def range_conflicts(spark, d):
     t = triples_for(spark, d, NODE_IP_PATTERNS + GROUP_PATTERNS)
     singles = node_link_ips(t).select("request_id", F.col("ip_num").alias("lo"), F.col("ip_num").alias("hi"),
                                       F.col("node").alias("owner"))
-    base = ip_to_num("base")
-    groups = match_patterns(t, GROUP_PATTERNS).select(
+    base = F.col("base_num")
+    groups = match_patterns(t, GROUP_PATTERNS).withColumn("base_num", ip_to_num("base")).select(
         "request_id", base.alias("lo"), (base + F.col("n").cast("bigint") - 1).alias("hi"), F.col("g").alias("owner"))
-    out = range_overlaps(singles.unionByName(groups), ["request_id"], "lo", "hi", "owner")
+    # written with numbers: a filter on the ranges would be pushed below the patterns' joins and read every address again
+    claims = write_once(singles.unionByName(groups), "claims")
+    out = range_overlaps(claims, ["request_id"], "lo", "hi", "owner")
     return out.select("request_id", num_to_ip("first").alias("first_ip"), num_to_ip("last").alias("last_ip"), "n_owners")
 
 

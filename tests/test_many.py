@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetspark.functions.predicate import compile_predicate
-from fleetspark.operators import intervals, policy, sweep
+from fleetspark.operators import graph, intervals, policy, sweep
 from fleetspark.operators.predicate_table import match_predicates, split_predicates, unconditional
 from fleetspark.operators.rule_bits import first_match_bits
 from fleetspark.plans.q_policy import RULE_SCHEMA
@@ -221,3 +221,20 @@ def test_a_list_of_any_length_is_taken(spark, n, ports, addresses, options):
     out = first_match_bits(spark.createDataFrame(flows, FLOWS), spark.createDataFrame(rules, RULES), policies, **options)
     got = [(r["flow_id"], r["verdict"], r["rule_rank"]) for r in out.orderBy("flow_id").collect()]
     assert got == first_by_hand(flows, rules)
+
+
+def test_what_lies_before_the_sweeps_runs_once(spark):
+    df = spark.createDataFrame([("g", 0, 9, "a"), ("g", 5, 12, "b")], "g string, lo long, hi long, o string")
+    out = sweep.range_overlaps(df, ["g"], "lo", "hi", "o")
+    text = plan_of(out)
+    assert "FileScan" in text and "ExistingRDD" not in text and "LocalTableScan" not in text
+    assert [tuple(r) for r in out.collect()] == [("g", 5, 9, 2)]
+
+
+def test_an_address_is_split_once(spark):
+    triples = [("r", "n", "type", "Node"), ("r", "n", "hasInterface", "i"), ("r", "l", "hasInterface", "i"),
+               ("r", "l", "type", "BroadcastConnection"), ("r", "i", "localIPAddress", "a"), ("r", "a", "label_ID", "10.0.0.7")]
+    df = spark.createDataFrame(triples, "request_id string, subject string, predicate string, object string")
+    out = graph.node_link_ips(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [tuple(r) for r in out.collect()] == [("r", "n", "l", "10.0.0.7", (10 << 24) + 7)]
