@@ -33,13 +33,14 @@ def _event_records(spark, d):
         .otherwise(value).alias("value"),
         F.lit(TOPIC).alias("topic"), "partition", (F.col("_n") - 1).alias("offset"), F.col("ts").alias("timestamp"))
     path = shared_path(spark, "records")
-    records.repartition(parallelism(spark)).write.parquet(path)
+    # two batches, each with a file per core
+    records.repartition(2 * parallelism(spark)).write.parquet(path)
     return path, records.schema, e.schema
 
 
 def _sinks(spark, d):
     path, shape, events = _event_records(spark, d)
-    stream = read_event_stream(spark, path, schema=shape, max_files_per_trigger=max(1, parallelism(spark) // 2))
+    stream = read_event_stream(spark, path, schema=shape, max_files_per_trigger=parallelism(spark))
     return run_records(stream, events, REQUIRED, shared_path(spark, "records-sink"),
                        shared_path(spark, "records-ckpt"), "first")
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,9 +146,16 @@ def run_records(stream: DataFrame, schema: T.StructType | str, required: Sequenc
     dead = OffsetSink(spark, f"{path}/dead", dead_letters(shape).schema, writer)
 
     def both(batch: DataFrame, batch_id: int) -> None:
-        decoded = decode(batch, schema, required)
-        good.write(good_rows(decoded), batch_id)
-        dead.write(dead_letters(decoded), batch_id)
+        # read and decoded once for both sinks; key and value go on with dead letters only
+        lost = F.col("reason").isNotNull()
+        decoded = decode(batch, schema, required).select(
+            *RECORD_ID, "reason", "decoded", *[F.when(lost, F.col(c)).alias(c) for c in ("key", "value")])
+        decoded = decoded.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            good.write(good_rows(decoded), batch_id)
+            dead.write(dead_letters(decoded), batch_id)
+        finally:
+            decoded.unpersist()
 
     query = (stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

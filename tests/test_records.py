@@ -120,3 +120,21 @@ def test_stream_restarts_and_replays(spark, tmp_path):
     good, dead = run("c2", "w2")  # reads all again with another checkpoint
     assert rows(good.read(), "partition", "offset", "id") == [*[(0, i, i) for i in range(6)], (1, 0, 10)]
     assert rows(dead.read(), "partition", "offset", "reason") == [(0, 6, "malformed"), (1, 1, "tombstone")]
+
+
+def test_a_batch_is_read_once_for_both_sinks(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    first = records(spark, [event(i) for i in range(6)] + [b"{", None])
+    first.repartition(2).write.parquet(source)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        read.add(1)
+        return value
+
+    stream = read_event_stream(spark, source, schema=first.schema, max_files_per_trigger=1).withColumn(
+        "value", F.udf(counted, "binary")("value"))
+    good, dead = run_records(stream, EVENT, ["id"], path, str(tmp_path / "c"), "w")
+    assert rows(good.read(), "offset", "id") == [(i, i) for i in range(6)]
+    assert rows(dead.read(), "offset", "reason", "key", "value") == [(6, "malformed", b"k", b"{"), (7, "tombstone", b"k", None)]
+    assert read.value == 8
